@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import dates
@@ -123,11 +123,9 @@ def top_drivers(explained: DataFrame, top_k: int | None = None) -> DataFrame:
         .groupBy("driver")
         .agg(F.count(F.lit(1)).alias("students"))
     )
-    total = counts.agg(F.sum("students").alias("total"))
-    # One row with the total next to one row per model feature.
-    shares = counts.join(F.broadcast(total), F.lit(True)).select(
-        "driver", "students", (F.col("students") / F.col("total")).alias("share")
-    )
+    # One row per model feature is left here, so one window over all of them is small.
+    total = F.sum("students").over(Window.partitionBy(F.lit(1)))
+    shares = counts.withColumn("share", F.col("students") / total)
     ordered = shares.orderBy(F.desc("students"), "driver")
     return ordered if top_k is None else ordered.limit(top_k)
 
