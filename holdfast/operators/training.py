@@ -192,7 +192,8 @@ def train(
     data = materialize(with_class_weight(prepare(df, numeric, categorical), target))
     encode = encoder(numeric, categorical).fit(data)
     forest = forest_classifier(trees, max_depth, seed, **params).fit(encode.transform(data))
-    model = PipelineModel(stages=[*encode.stages, forest])
+    # The copy leaves the training summary behind, which would drag the session into every task.
+    model = PipelineModel(stages=[*encode.stages, forest.copy()])
     contract = {
         "feature_order": [c for c, r in roles.items() if r in ("numeric", "categorical")],
         "numeric_cols": numeric,

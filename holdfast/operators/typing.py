@@ -35,47 +35,63 @@ def value_predicates(c: Column) -> dict[str, Column]:
     }
 
 
-def _type_label(c: Column) -> Column:
-    """First type that all non-blank values of a column satisfy, as an aggregate."""
-    v = values.blank_to_null(c)
-    looks = value_predicates(v)
-    longest = F.max(F.length(v))
-
-    def every(test: Column) -> Column:
-        return F.coalesce(F.bool_and(test), F.lit(True))
-
-    number = looks["is_int"] | looks["is_decimal"]
-    return (
-        F.when(F.count(v) == 0, "VARCHAR(255)")
-        .when(every(looks["is_bool"]), "TINYINT(1)")
-        .when(every(looks["is_int"]) & every(values.fits_int32(v)), "INT")
-        .when(every(looks["is_int"]), "BIGINT")
-        .when(every(number), "DECIMAL(18,6)")
-        .when(every(looks["is_datetime"]), "DATETIME")
-        .when(every(looks["is_date"]), "DATE")
-        .when(longest > 1000, "LONGTEXT")
-        .when(longest > 255, "TEXT")
-        .otherwise("VARCHAR(255)")
-    )
-
-
 def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None) -> DataFrame:
-    """One row (position, column_name, type_label) per text column, from one pass over all rows.
+    """One row (position, column_name, type_label) per text column: the first type all its non-blank
+    values satisfy, from one pass over all rows.
 
-    ``sample_rows`` looks at that many rows only.
+    Values are unpivoted and combined per column before the shuffle, which carries one row per column
+    and task. ``sample_rows`` looks at that many rows only.
     """
     columns = columns or df.columns
-    source = df.select(*columns)
+    source = df.select(*[F.col(f"`{c}`") for c in columns])
     if sample_rows is not None:
         source = source.limit(sample_rows)
-    labels = source.agg(*[_type_label(F.col(f"`{name}`")).alias(f"c{i}") for i, name in enumerate(columns)])
-    entries = F.array(
+    pairs = F.array(
         *[
-            F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("column_name"), F.col(f"c{i}").alias("type_label"))
-            for i, name in enumerate(columns)
+            F.struct(F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
+            for i, c in enumerate(columns)
         ]
     )
-    return labels.select(F.inline(entries))
+    v = F.col("v")
+    looks = value_predicates(v)
+    tested = (
+        source.select(F.inline(pairs))
+        .select("position", values.blank_to_null(F.col("value")).alias("v"))
+        .select(
+            "position",
+            F.length(v).alias("length"),
+            looks["is_bool"].alias("bool"),
+            looks["is_int"].alias("int"),
+            values.fits_int32(v).alias("int32"),
+            v.rlike(values.DECIMAL_PATTERN).alias("number"),
+            looks["is_datetime"].alias("datetime"),
+            looks["is_date"].alias("date"),
+        )
+    )
+    # NULL for a blank value, which then counts for no test.
+    tests = ("bool", "int", "int32", "number", "datetime", "date")
+    every = tested.groupBy("position").agg(
+        F.count("length").alias("filled"),
+        F.max("length").alias("longest"),
+        *[F.bool_and(F.when(F.col("length").isNotNull(), F.col(t))).alias(t) for t in tests],
+    )
+    label = (
+        F.when(F.col("filled") == 0, "VARCHAR(255)")
+        .when(F.col("bool"), "TINYINT(1)")
+        .when(F.col("int"), F.when(F.col("int32"), "INT").otherwise("BIGINT"))
+        .when(F.col("number"), "DECIMAL(18,6)")
+        .when(F.col("datetime"), "DATETIME")
+        .when(F.col("date"), "DATE")
+        .when(F.col("longest") > 1000, "LONGTEXT")
+        .when(F.col("longest") > 255, "TEXT")
+        .otherwise("VARCHAR(255)")
+    )
+    # A table without rows gives no groups; every column is listed all the same.
+    names = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name")) for i, c in enumerate(columns)])
+    listed = df.sparkSession.range(1).select(F.inline(names))
+    return listed.join(every.select("position", label.alias("type_label")), "position", "left").select(
+        "position", "column_name", F.coalesce("type_label", F.lit("VARCHAR(255)")).alias("type_label")
+    )
 
 
 def schema_of(inferred: DataFrame) -> dict[str, str]:

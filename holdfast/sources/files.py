@@ -47,7 +47,10 @@ def csv_scan(
 
 
 def csv_write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"')
+    """Blanks around a value are part of it."""
+    df.write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def _first_characters(spark: SparkSession, path: str) -> DataFrame:

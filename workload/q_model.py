@@ -70,7 +70,7 @@ def cv_auc(spark, sf_dir):
 
 def auc(spark, sf_dir):
     """Of the fixed forest against the training target."""
-    scored = pinned_scores(spark, feature_rows(spark, sf_dir)).select("student_id", "churn_risk")
+    scored = pinned_scores(spark, feature_rows(spark, sf_dir)).select("student_id", F.round("churn_risk", 9).alias("churn_risk"))
     labels = training_table(spark, sf_dir).select("student_id", F.col("abandono").alias(training.LABEL))
     area = training.auc(scored.join(labels, "student_id"))
     return spark.createDataFrame([(round(area, 9),)], "auc double")
