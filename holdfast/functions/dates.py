@@ -8,16 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{4}/\d{1,2}/\d{1,2}$"
-YEAR_LAST = r"^\d{1,2}/\d{1,2}/\d{4}$|^\d{1,2}-\d{1,2}-\d{4}$"
-ISO = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"(.\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
-)
-# Date and time with a blank between; a T only after a year-month-day with dashes, seconds
-# optional only there.
-DASHED_WITH_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2})?$"
-SLASHED_WITH_TIME = r"^(\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}) \d{1,2}:\d{1,2}:\d{1,2}$"
+# Layouts with their three numbers in year-month-day order as the replacement. A day comes before the
+# month where the middle number can be a month; only otherwise the first number is the month.
+_DAY_FIRST = r"^(\d{1,2})([-/])(0?[1-9]|1[0-2])\2(\d{4})"
+_MONTH_FIRST = r"^(0?[1-9]|1[0-2])([-/])(\d{1,2})\2(\d{4})"
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})"
+DATE_LAYOUTS = [
+    (_YEAR_FIRST + "$", "$1-$3-$4"),
+    (_DAY_FIRST + "$", "$4-$3-$1"),
+    (_MONTH_FIRST + "$", "$4-$1-$3"),
+]
+_CLOCK = r"(\d{1,2}:\d{1,2}:\d{1,2})$"
+DATETIME_LAYOUTS = [
+    # ISO: an offset or fraction is left out, an hour alone gets its minutes.
+    (r"^(\d{4}-\d{2}-\d{2})$", "$1 00:00:00"),
+    (r"^(\d{4}-\d{2}-\d{2}).(\d{2})(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?$", "$1 $2:00:00"),
+    (r"^(\d{4}-\d{2}-\d{2}).(\d{2}:\d{2}(?::\d{2})?)(?:[.,]\d+)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?$", "$1 $2"),
+    # One-digit fields. Seconds are optional and a T may stand for the blank only after dashes.
+    (r"^(\d{4}-\d{1,2}-\d{1,2})[ T](\d{1,2}:\d{1,2}(?::\d{1,2})?)$", "$1 $2"),
+    (_YEAR_FIRST.replace("[-/]", "/") + " " + _CLOCK, "$1-$3-$4 $5"),
+    (_DAY_FIRST.replace("[-/]", "/") + " " + _CLOCK, "$4-$3-$1 $5"),
+    (_MONTH_FIRST.replace("[-/]", "/") + " " + _CLOCK, "$4-$1-$3 $5"),
+]
 
 
 def as_date(value: str | dt.date) -> dt.date:
@@ -41,49 +53,34 @@ def midnight(df: DataFrame, column: str, day: dt.date) -> Column:
     return F.lit(day.isoformat()).cast("timestamp_ntz")
 
 
-def parse_date(c: Column) -> Column:
-    """Date from six layouts: year first, else day before month, else month before day; else NULL."""
-    parts = F.split(c, "[-/]")
-    a, b, z = (F.get(parts, F.lit(i)) for i in range(3))
-
-    def build(y: Column, m: Column, d: Column) -> Column:
-        return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
-
-    return F.when(c.rlike(YEAR_FIRST), build(a, b, z)).when(
-        c.rlike(YEAR_LAST), F.coalesce(build(z, b, a), build(z, a, b))
-    )
+def _rearranged(c: Column, layouts: list[tuple[str, str]]) -> Column:
+    """The text in year-month-day order by the first layout that fits, or NULL."""
+    out = None
+    for pattern, order in layouts:
+        text = F.regexp_replace(c, pattern, order)
+        out = F.when(c.rlike(pattern), text) if out is None else out.when(c.rlike(pattern), text)
+    # One look at the first characters spares all other text the layouts.
+    return F.when(c.rlike(r"^\d{1,4}[-/]"), out)
 
 
-def parse_iso(c: Column) -> Column:
-    """ISO date or date-time to the second; an offset is dropped and the wall clock kept."""
-    hour = F.coalesce(F.nullif(F.substring(c, 12, 2), F.lit("")), F.lit("00"))
-    time = F.regexp_extract(c, r"^.{11}\d{2}:(\d{2}(:\d{2})?)", 1)
-    rest = F.when(F.length(time) == 5, time).when(F.length(time) == 2, F.concat(time, F.lit(":00")))
-    text = F.concat(F.substring(c, 1, 10), F.lit(" "), hour, F.lit(":"), F.coalesce(rest, F.lit("00:00")))
-    return F.when(c.rlike(ISO), text.try_cast("timestamp_ntz"))
+def parse_date(c: Column) -> Column:
+    """Date from six layouts: year first, else day before month, else month before day; else NULL."""
+    return _rearranged(c, DATE_LAYOUTS).try_cast("date")
 
 
 def parse_datetime(c: Column) -> Column:
-    """ISO first, then the layouts with one-digit fields; else NULL."""
-    parts = F.split(c, "[ T]")
-    day = parse_date(F.get(parts, F.lit(0)))
-    clock = F.split(F.get(parts, F.lit(1)), ":")
-    time = F.concat_ws(
-        ":",
-        *[F.lpad(F.coalesce(F.get(clock, F.lit(i)), F.lit("0")), 2, "0") for i in range(3)],
-    )
-    other = F.when(
-        c.rlike(DASHED_WITH_TIME) | c.rlike(SLASHED_WITH_TIME),
-        F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), time)).try_cast("timestamp_ntz"),
-    )
-    return F.coalesce(parse_iso(c), other)
+    """Timestamp without zone, to the second, from ISO text or layouts with one-digit fields; else NULL.
+
+    An offset is dropped and the wall clock kept.
+    """
+    return _rearranged(c, DATETIME_LAYOUTS).try_cast("timestamp_ntz")
 
 
 def lenient_timestamp(df: DataFrame, column: str) -> Column:
     """Timestamp without zone, NULL where the text is no date."""
     c = F.col(column)
     if isinstance(df.schema[column].dataType, T.StringType):
-        return c.try_cast("timestamp_ntz")
+        return F.when(c.rlike(r"^\s*[+-]?\d"), c.try_cast("timestamp_ntz"))
     return c.cast("timestamp_ntz")
 
 

@@ -16,7 +16,19 @@ SPACES = " \t\n\r\f\x0b"
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(SPACES))
+    """Text without outer white space.
+
+    Trimming blanks is cheap; trimming a set of characters copies the text and is done only where
+    another kind of white space is left at an end.
+    """
+    t = F.trim(c)
+    others = [s for s in SPACES if s != " "]
+    left_over = F.left(t, F.lit(1)).isin(*others) | F.right(t, F.lit(1)).isin(*others)
+    return F.when(left_over, F.trim(t, F.lit(SPACES))).otherwise(t)
+
+
+def is_blank(c: Column) -> Column:
+    return ~c.rlike(r"\S")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -39,9 +51,14 @@ def is_decimal_not_int(c: Column) -> Column:
     return c.rlike(DECIMAL_PATTERN) & ~is_int(c)
 
 
+def to_int(c: Column, kind: str) -> Column:
+    """Integer or NULL. A failed ``try_cast`` costs an exception per value, so the pattern goes first."""
+    return F.when(is_int(c), c.try_cast(kind))
+
+
 def fits_int32(c: Column) -> Column:
     """True for an integer text whose absolute value is at most 2,147,483,647."""
-    n = c.try_cast("bigint")
+    n = to_int(c, "bigint")
     return n.isNotNull() & (n >= -2147483647) & (n <= 2147483647)
 
 

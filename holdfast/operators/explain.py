@@ -77,36 +77,42 @@ def local_reasons(
     the contributions by position.
     """
     vector = F.col(phi)
-    entries = []
-    for rank, (name, first, length) in enumerate(r for r in _blocks(origins) if r[0] != UNKNOWN):
-        loud = F.filter(F.slice(vector, first + 1, length), lambda v: F.abs(v) > NOISE)
-        entries.append(
-            F.struct(
-                (-F.aggregate(loud, F.lit(0.0), lambda acc, v: acc + F.abs(v))).alias("order"),
-                F.lit(rank).alias("rank"),
-                F.lit(name).alias("feature"),
-                F.aggregate(loud, F.lit(0.0), lambda acc, v: acc + v).alias("impact"),
-                display_value(df, name).alias("value"),
-                (F.size(loud) > 0).alias("counts"),
-            )
-        )
-    quiet = [
-        F.struct(
-            (-F.abs(vector[i])).alias("order"),
-            F.lit(i).alias("rank"),
+    best, fallback = "_best", "_fallback"
+
+    def entry(order: Column, rank: int, name: str, impact: Column) -> Column:
+        return F.struct(
+            order.alias("order"),
+            F.lit(rank).alias("rank"),
             F.lit(name).alias("feature"),
-            vector[i].alias("impact"),
+            impact.alias("impact"),
             display_value(df, name).alias("value"),
-            F.lit(True).alias("counts"),
         )
-        for i, name in enumerate(list(contract)[: len(origins)])
+
+    def loud(v: Column, size: Column) -> Column:
+        return F.when(F.abs(v) > NOISE, size).otherwise(0.0)
+
+    entries = []
+    for rank, (name, first, length) in enumerate(r for r in _blocks(origins) if r[0] != UNKNOWN):
+        if length == 1:
+            v = vector[first]
+            total, net = loud(v, F.abs(v)), loud(v, v)
+        else:
+            block = F.slice(vector, first + 1, length)
+            total = F.aggregate(block, F.lit(0.0), lambda acc, v: acc + loud(v, F.abs(v)))
+            net = F.aggregate(block, F.lit(0.0), lambda acc, v: acc + loud(v, v))
+        entries.append(entry(-total, rank, name, net))
+    quiet = [
+        entry(-F.abs(vector[i]), i, name, vector[i]) for i, name in enumerate(list(contract)[: len(origins)])
     ]
-    loud_ones = F.filter(F.array(*entries), lambda e: e["counts"])
-    picked = F.when(F.size(loud_ones) > 0, loud_ones).otherwise(F.array(*quiet))
-    return df.withColumn(
+    # Only a loud entry has a total above 0. The two columns keep each array from being built twice.
+    ranked = df.withColumn(best, F.slice(F.array_sort(F.array(*entries)), 1, top_k)).withColumn(
+        fallback, F.when(F.col(best)[0]["order"] < 0, F.lit(None)).otherwise(F.slice(F.array_sort(F.array(*quiet)), 1, top_k))
+    )
+    kept = F.coalesce(F.col(fallback), F.filter(F.col(best), lambda e: e["order"] < 0))
+    return ranked.withColumn(
         out,
         F.transform(
-            F.slice(F.array_sort(picked), 1, top_k),
+            kept,
             lambda e: F.struct(
                 e["feature"].alias("feature"),
                 e["impact"].alias("impact"),
@@ -114,7 +120,7 @@ def local_reasons(
                 e["value"].alias("value"),
             ),
         ),
-    )
+    ).drop(best, fallback)
 
 
 def column_statistics(df: DataFrame, phi: str = "phi") -> DataFrame:

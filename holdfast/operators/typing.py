@@ -99,12 +99,12 @@ def schema_of(inferred: DataFrame) -> dict[str, str]:
     return {r["column_name"]: r["type_label"] for r in inferred.orderBy("position").collect()}
 
 
-def coerce_value(c: Column, label: str) -> Column:
-    v = values.blank_to_null(c)
+def coerce_value(v: Column, label: str) -> Column:
+    """Typed value of a stripped, non-blank text."""
     if label == "TINYINT(1)":
         return values.bool_to_bit(v)
     if label in ("INT", "BIGINT"):
-        return F.when(values.is_int(v), v.try_cast(SPARK_TYPES[label]))
+        return values.to_int(v, SPARK_TYPES[label])
     if label.startswith("DECIMAL"):
         return F.when(v.rlike(values.DECIMAL_PATTERN), v.try_cast(SPARK_TYPES[label]))
     if label == "DATE":
@@ -114,29 +114,43 @@ def coerce_value(c: Column, label: str) -> Column:
     return v
 
 
+def _keeps_raw(label: str) -> bool:
+    return label in ("TINYINT(1)", "INT", "BIGINT") or label.startswith("DECIMAL")
+
+
 def coerce_rows(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Typed columns for the names in ``schema``; other columns pass through.
 
     A text that does not fit a boolean, integer or decimal column becomes NULL and is kept in the
     map column ``_rescued`` (NULL when the whole row fits). A text that is no date becomes NULL.
     """
-    typed, raw = [], []
-    for name in df.columns:
-        c = F.col(f"`{name}`")
-        if name not in schema:
-            typed.append(c)
-            continue
-        value = coerce_value(c, schema[name])
-        typed.append(value.alias(name))
-        if schema[name] == "TINYINT(1)" or schema[name].startswith(("INT", "BIGINT", "DECIMAL")):
-            left_over = F.when(value.isNull(), values.blank_to_null(c))
-            raw.append(F.struct(F.lit(name).alias("key"), left_over.alias("value")))
+    # Three projections, so that each text is stripped once and each value is typed once.
+    names = {c: f"_text_{i}" for i, c in enumerate(df.columns) if c in schema}
+    others = [F.col(f"`{c}`") for c in df.columns if c not in schema]
+    texts = df.select(*others, *[values.blank_to_null(F.col(f"`{c}`")).alias(t) for c, t in names.items()])
+    raw = {c: t for c, t in names.items() if _keeps_raw(schema[c])}
+    typed = texts.select(
+        *others,
+        *[coerce_value(F.col(t), schema[c]).alias(c) for c, t in names.items()],
+        *[F.col(t) for t in raw.values()],
+    )
     if raw:
-        kept = F.filter(F.array(*raw), lambda e: e["value"].isNotNull())
-        rescued = F.when(F.size(kept) > 0, F.map_from_entries(kept))
+        left_over = F.array(
+            *[
+                F.struct(F.lit(c).alias("key"), F.col(t).alias("value"))
+                for c, t in raw.items()
+            ]
+        )
+        unfit = [F.col(t).isNotNull() & F.col(f"`{c}`").isNull() for c, t in raw.items()]
+        any_unfit = unfit[0]
+        for u in unfit[1:]:
+            any_unfit = any_unfit | u
+        fits = F.array(*unfit)
+        kept = F.filter(left_over, lambda e, i: F.get(fits, i))
+        rescued = F.when(any_unfit, F.map_from_entries(kept))
     else:
         rescued = F.lit(None).cast("map<string,string>")
-    return df.select(*typed, rescued.alias(RESCUED))
+    return typed.select(*[F.col(f"`{c}`") for c in df.columns], rescued.alias(RESCUED))
 
 
 def evolve(existing: DataFrame, incoming: DataFrame) -> DataFrame:
