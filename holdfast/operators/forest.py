@@ -168,7 +168,7 @@ def _part_function(spark: SparkSession, part: list[dict], width: int, explain: b
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for x in batches:
                 phi = kernel.contributions(_matrix(x, width), blocks.value)
-                offsets = pa.array(np.arange(0, phi.size + 1, width, dtype=np.int32))
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
                 yield pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))
 
     else:
@@ -204,11 +204,19 @@ def score(df: DataFrame, forest: Forest, x: str = "x", out: str = "churn_risk")
     return df.withColumn(out, total)
 
 
-def shap_values(df: DataFrame, forest: Forest, x: str = "x", out: str = "phi") -> DataFrame:
+def shap_values(
+    df: DataFrame, forest: Forest, x: str = "x", out: str = "phi", tasks: int | None = None
+) -> DataFrame:
     """Contribution of every encoded column to the score; ``forest.base`` plus their sum is the score.
 
-    Only the vector ``x`` is sent to Python; all other columns stay in the JVM.
+    Only the vector ``x`` is sent to Python; all other columns stay in the JVM. The work per row grows
+    with the forest, which the bytes that adaptive execution sizes its tasks by do not show: for a large
+    forest the rows are spread over ``tasks`` (twice the session's cores if not given).
     """
+    if tasks is None and forest.small_nodes is None:
+        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if tasks is not None:
+        df = df.repartition(tasks)
     phi = None
     for part in forest.parts:
         one = _part_function(df.sparkSession, part, forest.width, explain=True)(F.col(x))

@@ -38,54 +38,86 @@ def group_paths(features, lower, upper, share, value):
     return blocks
 
 
-def _chunks(n_rows, n_paths):
-    paths = min(n_paths, 2048)
-    rows = max(1, min(n_rows, CHUNK // max(paths, 1)))
-    for p in range(0, n_paths, paths):
-        for r in range(0, n_rows, rows):
-            yield slice(r, min(r + rows, n_rows)), slice(p, min(p + paths, n_paths))
+def _follows(columns, block, path, j):
+    values = columns[block["feature"][path, j]]
+    low, high = block["lower"][path, j], block["upper"][path, j]
+    if low == -np.inf:
+        return values <= high
+    if high == np.inf:
+        return values > low
+    return (values > low) & (values <= high)
 
 
-def _follows(x, block, paths, j):
-    values = x[:, block["feature"][paths, j]]
-    return (values > block["lower"][paths, j]) & (values <= block["upper"][paths, j])
+def _leaf_terms(follows, share, leaf):
+    """The formula above for each feature: ``follows[j]`` is rows x paths (or fits it), the rest is per path."""
+    d = len(follows)
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    nodes, weights = (nodes + 1) / 2, weights / 2
+    total = [0.0] * d
+    for t, w in zip(nodes, weights):
+        factor = [(1 - t) * share[j] + t * follows[j] for j in range(d)]
+        product = w
+        for f in factor:
+            product = product * f
+        for j in range(d):
+            total[j] = total[j] + product / factor[j]
+    return [total[j] * (follows[j] - share[j]) * leaf for j in range(d)]
+
+
+def _add_by_pattern(columns, block, out):
+    """One table per path with the terms of all 2**d ways to follow it or not; rows look theirs up."""
+    n_paths, d = block["feature"].shape
+    patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+    code_type = np.uint8 if d <= 8 else np.uint32
+    step = max(1, CHUNK >> d)
+    for first in range(0, n_paths, step):
+        some = slice(first, min(first + step, n_paths))
+        share = [block["share"][some, j] for j in range(d)]
+        terms = _leaf_terms([patterns[:, [j]] for j in range(d)], share, block["value"][some])
+        tables = [np.ascontiguousarray(t.T) for t in terms]
+        for path in range(some.start, some.stop):
+            code = np.zeros(columns.shape[1], dtype=code_type)
+            for j in range(d):
+                code |= _follows(columns, block, path, j).astype(code_type) << code_type(j)
+            code = code.astype(np.intp)
+            for j in range(d):
+                out[block["feature"][path, j]] += tables[j][path - first].take(code)
+
+
+def _add_by_row(columns, block, out):
+    """Terms row by row, for paths with more patterns than there are rows."""
+    n_paths, d = block["feature"].shape
+    step = max(1, CHUNK // columns.shape[1])
+    for first in range(0, n_paths, step):
+        paths = range(first, min(first + step, n_paths))
+        some = slice(paths.start, paths.stop)
+        follows = [np.stack([_follows(columns, block, p, j) for p in paths], axis=1).astype(np.float64) for j in range(d)]
+        terms = _leaf_terms(follows, [block["share"][some, j] for j in range(d)], block["value"][some])
+        for j in range(d):
+            for k, p in enumerate(paths):
+                out[block["feature"][p, j]] += terms[j][:, k]
 
 
 def contributions(x, blocks):
     """Contribution of every column of ``x`` (rows x columns), summed over the paths."""
-    out = np.zeros(x.shape, dtype=np.float64)
-    for block in blocks:
-        n_paths, d = block["feature"].shape
-        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-        nodes, weights = (nodes + 1) / 2, weights / 2
-        for rows, paths in _chunks(len(x), n_paths):
-            part = x[rows]
-            follows = [_follows(part, block, paths, j) for j in range(d)]
-            share = [block["share"][paths, j] for j in range(d)]
-            total = [np.zeros(follows[0].shape) for _ in range(d)]
-            for t, w in zip(nodes, weights):
-                factor = [(1 - t) * share[j] + t * follows[j] for j in range(d)]
-                product = np.full(follows[0].shape, w)
-                for f in factor:
-                    product *= f
-                for j in range(d):
-                    total[j] += product / factor[j]
-            leaf = block["value"][paths]
-            for j in range(d):
-                column = np.zeros((leaf.size, x.shape[1]))
-                column[np.arange(leaf.size), block["feature"][paths, j]] = leaf
-                out[rows] += (total[j] * (follows[j] - share[j])) @ column
-    return out
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape, dtype=np.float64)
+    if len(x):
+        for block in blocks:
+            few_patterns = 1 << block["feature"].shape[1] <= max(16, len(x) // 2)
+            (_add_by_pattern if few_patterns else _add_by_row)(columns, block, out)
+    return np.ascontiguousarray(out.T)
 
 
 def predictions(x, blocks):
     """Sum of the leaf values whose path a row follows."""
+    columns = np.ascontiguousarray(x.T)
     out = np.zeros(len(x), dtype=np.float64)
     for block in blocks:
         n_paths, d = block["feature"].shape
-        for rows, paths in _chunks(len(x), n_paths):
-            reached = np.ones((rows.stop - rows.start, paths.stop - paths.start), dtype=bool)
-            for j in range(d):
-                reached &= _follows(x[rows], block, paths, j)
-            out[rows] += reached @ block["value"][paths]
+        for path in range(n_paths):
+            reached = _follows(columns, block, path, 0)
+            for j in range(1, d):
+                reached = reached & _follows(columns, block, path, j)
+            out += block["value"][path] * reached
     return out

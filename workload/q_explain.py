@@ -51,7 +51,7 @@ def shap_additivity(spark, sf_dir):
     model, contract = models.load_bundle(spark, path)
     ensemble = scoring.forest_of_bundle(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model, keep_vector=True)
-    phi = forest.shap_values(forest.score(scored, ensemble, out="own_score"), ensemble)
+    phi = forest.score(forest.shap_values(scored, ensemble), ensemble, out="own_score")
     total = F.lit(ensemble.base) + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
     return phi.agg(
         F.count(F.lit(1)).alias("n"),
