@@ -11,7 +11,7 @@ TRUE_WORDS = ("true", "1", "yes", "y")
 
 INT_PATTERN = r"^[+-]?[0-9]+$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-NUMBER_PATTERN = r"^(?i)[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+NUMBER_PATTERN = r"^(?i)\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
 SPACES = " \t\n\r\f\x0b"
 
 
@@ -63,10 +63,8 @@ def fits_int32(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Double, or NULL where the value is not a number; NaN counts as missing."""
-    text = strip(c.cast("string"))
-    n = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    return F.when(~F.isnan(n), n)
+    """Double, or NULL where the text is not a number; outer blanks are allowed, NaN counts as missing."""
+    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
 def number_or_zero(c: Column, text: bool = True) -> Column:

@@ -124,9 +124,14 @@ def local_reasons(
 
 
 def column_statistics(df: DataFrame, phi: str = "phi") -> DataFrame:
-    """Per encoded column: sum and mean of the absolute contribution and mean contribution."""
+    """Per encoded column: sum and mean of the absolute contribution and mean contribution.
+
+    The outer form of explode keeps Spark from testing the array's size first, which would compute the
+    contributions a second time.
+    """
     return (
-        df.select(F.posexplode(phi).alias("position", "value"))
+        df.select(F.posexplode_outer(phi).alias("position", "value"))
+        .filter(F.col("position").isNotNull())
         .groupBy("position")
         .agg(
             F.sum(F.abs("value")).alias("sum_abs"),
@@ -136,15 +141,19 @@ def column_statistics(df: DataFrame, phi: str = "phi") -> DataFrame:
     )
 
 
-def global_importance(df: DataFrame, features: DataFrame, phi: str = "phi") -> DataFrame:
+def at_position(names: Sequence[str], position: Column) -> Column:
+    """Name of an encoded column: a lookup in a literal array, so that no join shuffles rows by position."""
+    return F.get(F.array(*[F.lit(n) for n in names]), position)
+
+
+def global_importance(df: DataFrame, origins: Sequence[str], phi: str = "phi") -> DataFrame:
     """Ranked original features: sum of the sums, plain mean of the means over their encoded columns.
 
-    ``features`` is the feature map; everything after the first aggregation has one row per column.
+    Everything after the first aggregation has one row per encoded column.
     """
     by_feature = (
         column_statistics(df, phi)
-        .join(features, "position", "left")
-        .groupBy(F.coalesce("orig_feature", F.lit(UNKNOWN)).alias("orig_feature"))
+        .groupBy(F.coalesce(at_position(origins, F.col("position")), F.lit(UNKNOWN)).alias("orig_feature"))
         .agg(
             F.sum("sum_abs").alias("global_sum_abs_shap"),
             F.avg("mean_abs").alias("global_mean_abs_shap"),

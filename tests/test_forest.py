@@ -163,5 +163,5 @@ def test_local_reasons_fold_and_fallback(spark):
 
 def test_global_importance_means(spark):
     rows = spark.createDataFrame([([1.0, 0.5, -0.5],), ([-1.0, 0.0, 0.5],)], "phi array<double>")
-    got = explain.global_importance(rows, explain.feature_map(spark, ["a"], {"plan": ["x", "y"]})).orderBy("rank").collect()
+    got = explain.global_importance(rows, explain.encoded_origins(["a"], {"plan": ["x", "y"]})).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [("a", 2.0, 1.0, 0.0, 1), ("plan", 1.5, 0.375, 0.125, 2)]

@@ -27,8 +27,8 @@ def explained(spark, sf_dir, top_k=5):
     return scoring.explain_features(feature_rows(spark, sf_dir), pinned_forest(spark), CONTRACT, top_k)
 
 
-def _map(spark):
-    return explain.feature_map(spark, CONTRACT["numeric_cols"], CONTRACT["categories"])
+NAMES = explain.encoded_names(CONTRACT["numeric_cols"], CONTRACT["categories"])
+ORIGINS = explain.encoded_origins(CONTRACT["numeric_cols"], CONTRACT["categories"])
 
 
 def feature_map(spark, sf_dir):
@@ -40,9 +40,9 @@ def feature_map(spark, sf_dir):
 
 
 def shap_values(spark, sf_dir):
-    long = _contributions(spark, sf_dir).select("student_id", F.posexplode("phi").alias("position", "phi"))
-    named = long.join(_map(spark), "position")
-    return named.select("student_id", "encoded_name", F.round("phi", 9).alias("phi"))
+    long = _contributions(spark, sf_dir).select("student_id", F.posexplode_outer("phi").alias("position", "phi"))
+    name = explain.at_position(NAMES, F.col("position")).alias("encoded_name")
+    return long.select("student_id", name, F.round("phi", 9).alias("phi"))
 
 
 def shap_additivity(spark, sf_dir):
@@ -61,7 +61,7 @@ def shap_additivity(spark, sf_dir):
 
 
 def explain_students(spark, sf_dir):
-    rows = explained(spark, sf_dir).select("student_id", "churn_risk", F.posexplode("reasons").alias("place", "r"))
+    rows = explained(spark, sf_dir).select("student_id", "churn_risk", F.posexplode_outer("reasons").alias("place", "r"))
     return rows.select(
         "student_id",
         F.round("churn_risk", 9).alias("prob_churn"),
@@ -74,7 +74,7 @@ def explain_students(spark, sf_dir):
 
 
 def global_importance(spark, sf_dir):
-    ranked = explain.global_importance(_contributions(spark, sf_dir), _map(spark))
+    ranked = explain.global_importance(_contributions(spark, sf_dir), ORIGINS)
     return ranked.select(
         "orig_feature",
         F.round("global_sum_abs_shap", 7).alias("global_sum_abs_shap"),
