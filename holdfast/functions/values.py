@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +86,8 @@ def first_truthy(*options: Column) -> Column:
 def plain_number(c: Column) -> Column:
     """A number as text without exponent or trailing zeros, at most six decimals."""
     return F.regexp_replace(c.try_cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+
+
+def literal_bigints(numbers: Sequence[int]) -> Column:
+    """An array literal from one JSON text, which the optimizer folds; a call per element would be slow."""
+    return F.from_json(F.lit(json.dumps(list(numbers))), "array<bigint>")

@@ -149,7 +149,7 @@ def stratified_folds(
     start = F.lit(0).cast("bigint")
     for label, sizes in by_class.items():
         before = list(accumulate([sizes.get(b, 0) for b in range(n_buckets)], initial=0))[:-1]
-        earlier = F.get(F.lit(before).cast("array<bigint>"), F.col(bucket))
+        earlier = F.get(values.literal_bigints(before), F.col(bucket))
         start = F.when(F.col(target).eqNullSafe(F.lit(label)), earlier).otherwise(start)
     inside = Window.partitionBy(target, bucket).orderBy(draw)
     return (
@@ -183,13 +183,19 @@ def train(
     max_depth: int = MAX_DEPTH,
     seed: int = SEED,
     dropped: Sequence[str] = DROPPED,
+    checkpoint: bool = True,
     **params,
 ) -> tuple[PipelineModel, dict]:
-    """Fit the encoder and a balanced forest on all rows; returns the model and its contract."""
+    """Fit the encoder and a balanced forest on all rows; returns the model and its contract.
+
+    The rows are read many times, so they are checkpointed unless the caller has done it.
+    """
     roles = column_roles(df, target, dropped)
     numeric = [c for c, r in roles.items() if r == "numeric"]
     categorical = [c for c, r in roles.items() if r == "categorical"]
-    data = materialize(with_class_weight(prepare(df, numeric, categorical), target))
+    columns = [F.col(c) for c in (*numeric, *categorical, target)]
+    data = prepare(df.select(*columns), numeric, categorical)
+    data = with_class_weight(materialize(data) if checkpoint else data, target)
     encode = encoder(numeric, categorical).fit(data)
     forest = forest_classifier(trees, max_depth, seed, **params).fit(encode.transform(data))
     # The copy leaves the training summary behind, which would drag the session into every task.
@@ -236,7 +242,13 @@ def cross_validate(
     scores = []
     for fold in range(folds):
         model, contract = train(
-            assigned.filter(F.col(FOLD) != fold).drop(FOLD), target, trees, max_depth, seed, **params
+            assigned.filter(F.col(FOLD) != fold).drop(FOLD),
+            target,
+            trees,
+            max_depth,
+            seed,
+            checkpoint=False,
+            **params,
         )
         held_out = assigned.filter(F.col(FOLD) == fold)
         held_out = prepare(held_out, contract["numeric_cols"], contract["categorical_cols"])

@@ -180,7 +180,7 @@ def with_dense_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
         starts.append(total)
         total += counts.get(p, 0)
     # One start per partition of this table: bounded by the partition count, not by the rows.
-    start = F.get(F.lit(starts).cast("array<bigint>") if starts else F.array().cast("array<bigint>"), F.col(part))
+    start = F.get(values.literal_bigints(starts), F.col(part))
     return numbered.withColumn(name, start + F.col(place) + 1).drop(part, place)
 
 
