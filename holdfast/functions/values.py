@@ -30,10 +30,6 @@ def strip(c: Column) -> Column:
     return F.when(left_over, F.trim(t, F.lit(SPACES))).otherwise(t)
 
 
-def is_blank(c: Column) -> Column:
-    return ~c.rlike(r"\S")
-
-
 def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
