@@ -11,6 +11,7 @@ forest in the driver and in every executor. Its paths are shipped in parts of bo
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import kernel
 
-# The kernel travels with the tasks, so workers need not have this package installed.
+# The functions below travel with the tasks, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(kernel)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, threshold double, left int, right int, value double, cover double"

@@ -56,24 +56,23 @@ def candidates(spark, sf_dir):
     return _flat(records.pick_candidates(_normalized(spark, sf_dir)), "record_id", "tier")
 
 
-def _array_files(batches):
-    """Lines of one JSON array per partition."""
-    yield pd.DataFrame({"line": ["["]})
-    first = True
-    for batch in batches:
-        lines = batch["line"]
-        if len(lines):
-            marked = ("," + lines).where(~((lines.index == lines.index[0]) & first), lines)
-            first = False
-            yield pd.DataFrame({"line": marked})
-    yield pd.DataFrame({"line": ["]"]})
-
-
 def json_records_scan(spark, sf_dir):
     """Records written as files of one JSON array each, read back."""
+
+    def array_files(batches):
+        """Lines of one JSON array per partition."""
+        yield pd.DataFrame({"line": ["["]})
+        first = True
+        for batch in batches:
+            commas = [""] * first + [","] * (len(batch) - first)
+            if len(batch):
+                yield pd.DataFrame({"line": commas + batch["line"].reset_index(drop=True)})
+                first = False
+        yield pd.DataFrame({"line": ["]"]})
+
     path = work_path(spark, "json")
     lines = _normalized(spark, sf_dir).select(F.to_json(F.struct("customer_id", "asof_date", "prob_churn", "top_reasons")).alias("line"))
-    lines.mapInPandas(_array_files, "line string").write.text(path)
+    lines.mapInPandas(array_files, "line string").write.text(path)
     return _flat(files.json_records_scan(spark, path))
 
 
