@@ -1,16 +1,17 @@
 """Similarity self-join of documents on word shingles, by token groups.
 
 A document's set holds its distinct shingles of `k` words (a shorter text is one shingle; no words, no set). Two sets
-link when 100 * intersection >= percent * union. The result is exact up to equal 51-bit hashes inside one pair.
-
-1. Equal sets are one class. Each class orders its shingles rare first and keeps a prefix so long that two classes
-   that link share a prefix shingle. (Which shingles count as frequent is estimated on a bounded sample. It orders the
-   shingles and so decides the cost; every order gives the same links.)
-2. Each shared prefix shingle names a leader among its classes, and every class is compared with the leaders of its
-   shingles. The links found partition the similar classes into groups, split into blocks of bounded size.
-3. The token-group matrix: every shared shingle with the blocks that have it. A class outside a group that meets one of
-   its blocks is bounded by the overlap with the block's union of shingles. Only blocks where the bound suffices are
-   opened, and their members compared. Pairs inside a group need no comparison, as they are connected already.
+link when 100 * intersection >= percent * union. The result is exact up to equal hashes of 52 bits inside one pair.
+
+1. Equal sets are one class. Of every class the tokens below a hash threshold are counted over all classes. A token that no
+   other class has is a miss against every other; a class with more misses than a link allows is alone. What is left are
+   the candidates, whose whole sets are made.
+2. Candidates keep a prefix of their sets so long that two that link share a token of it. Each shared token names a leader
+   among its classes, and every class is compared with the leader that most of its tokens name. The links partition similar
+   classes into groups, split into blocks of bounded size.
+3. The token-group matrix: every shared token with the blocks that have it. A class outside a group that meets one of its
+   blocks is bounded by the overlap with the block's union of tokens. Only blocks where the bound suffices are opened, and
+   their members compared. Pairs inside a group need no comparison, as they are connected already.
 4. Components over all links.
 """
 
@@ -26,19 +27,16 @@ from holdfast.llm.words import coded, hashes, mix, rolled, slices, split, starts
 
 PERCENT = 75
 SHINGLE = 5
-SAMPLE_DOCS = 8192
-FREQUENT_IN_SAMPLE = 4
-MAX_FREQUENT = 65_536
+COUNTED = 0.4
 BLOCK = 128
 
-_LOW = np.uint64((1 << 51) - 1)
-_HOT = np.uint64(1 << 51)
+_LOW = np.uint64((1 << 52) - 1)
 
 
-def _sets(texts: pa.Array, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner and token of every distinct shingle, frequent ones last; and the first position of each text's tokens.
+def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and token (52 bits of a hash) of every distinct shingle, in order; and where each text's tokens start.
 
-    A token is the low 51 bits of a hash, with the next bit set if it is frequent. At most 4096 texts at once.
+    At most 4096 texts at once, so that both fit one number.
     """
     n = len(texts)
     words, owner = split(texts, lower=True)
@@ -56,13 +54,10 @@ def _sets(texts: pa.Array, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np
         tokens.append(mix(value))
         owners.append(short)
     token, own = np.concatenate(tokens) & _LOW, np.concatenate(owners).astype(np.uint64)
-    if len(frequent) and len(token):
-        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-        token = np.where(frequent[at] == token, token | _HOT, token)
     key = np.sort((own << np.uint64(52)) | token)
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     own = (key >> np.uint64(52)).astype(np.int64)
-    return own, (key & np.uint64((1 << 52) - 1)).astype(np.int64), starts_of(own, n)[0]
+    return own, (key & _LOW).astype(np.int64), starts_of(own, n)[0]
 
 
 def _class_of(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -70,18 +65,17 @@ def _class_of(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     total = np.zeros(len(size), np.uint64)
     full = np.flatnonzero(size)
     if len(full):
-        plain = mix(tokens.astype(np.uint64) & _LOW)
+        plain = mix(tokens.astype(np.uint64))
         total[full] = np.add.reduceat(plain, first[full])
     return mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _per_document(k: int, frequent, emit):
+def _per_document(k: int, emit):
     """A task function over (doc_id, mark, text) batches; `emit` makes the rows from a slice's sets."""
 
     def run(batches):
-        hot = np.asarray(frequent.value if hasattr(frequent, "value") else frequent, np.uint64)
         for part in slices(batches, "text"):
-            own, tokens, first = _sets(part.column("text"), k, hot)
+            own, tokens, first = _sets(part.column("text"), k)
             size = np.bincount(own, minlength=part.num_rows)
             yield emit(part, own, tokens, first, size, _class_of(tokens, first, size))
 
@@ -93,25 +87,16 @@ def _describe(part, own, tokens, first, size, cls):
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "cls"])
 
 
-def _all_tokens(part, own, tokens, first, size, cls):
-    return pa.RecordBatch.from_arrays([pa.array(tokens)], ["token"])
-
-
-def _prefix(percent: int):
-    def emit(part, own, tokens, first, size, cls):
-        keep = size - -(-size * percent // 100) + 1
-        usable = ~np.asarray(part.column("doc_id").is_null())
-        rank = np.arange(len(own)) - first[own]
-        at = np.flatnonzero((rank < keep[own]) & usable[own]) if len(own) else np.zeros(0, np.int64)
-        row = own[at]
-        return pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(cls[row]), pa.array(size[row])], ["token", "cls", "n"])
-
-    return emit
+def _counted(part, own, tokens, first, size, cls):
+    """The tokens below the threshold with their class."""
+    usable = ~np.asarray(part.column("doc_id").is_null())
+    at = np.flatnonzero((tokens < int(COUNTED * (1 << 52))) & usable[own])
+    return pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(cls[own[at]])], ["token", "cls"])
 
 
 def _whole(part, own, tokens, first, size, cls):
     offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens & int(_LOW)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cls), lists], ["doc_id", "cls", "tokens"])
 
 
@@ -126,20 +111,6 @@ def _sizes_fit(a: str, low: str, high: str, percent: int):
     return (F.col(a) * 100 >= F.col(low) * percent) & (F.col(high) * 100 >= F.col(a) * percent)
 
 
-def frequent_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted tokens that several documents of a sample share; at most MAX_FREQUENT. Only guides the order."""
-    n = docs.count()
-    if not n:
-        return np.zeros(0, np.uint64)
-    scale = 1 << 30
-    bound = min(scale, int(scale * sample_docs / n) + 1)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bound)
-    tokens = sample.mapInArrow(_per_document(k, [], _all_tokens), "token long")
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_IN_SAMPLE)
-    rows = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy().astype(np.uint64))
-
-
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), mark (of the text).
 
@@ -147,25 +118,14 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     component_id is null, and the row links with nothing. Equal texts are in one component. Rows that repeat a doc_id
     are separate documents. Other columns of the input are ignored; an empty table gives an empty table.
     """
-    spark = documents.sparkSession
     text = F.col("text").cast("string")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    base = stored(docs.mapInArrow(_per_document(k, frequent, _describe), "doc_id long, mark long, n_shingles long, cls long"), "sets")
-
-    prefixes = docs.mapInArrow(_per_document(k, frequent, _prefix(percent)), "token long, cls long, n long")
-    ends = prefixes.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"), F.max("cls").alias("last"))
-    ends = ends.where("lead.cls < last").select("token", F.col("lead.cls").alias("leader"), F.col("lead.n").alias("leader_n"))
-    shared = stored(prefixes.join(ends, "token").distinct(), "shared")
-
-    reps = base.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    reps = stored(reps.where("doc_id IS NOT NULL"), "reps")
-    chosen = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_per_document(k, frequent, _whole), "doc_id long, cls long, tokens array<long>")
-    sets = stored(sets.join(reps, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"]).drop("doc_id"), "tokens")
+    base = stored(docs.mapInArrow(_per_document(k, _describe), "doc_id long, mark long, n_shingles long, cls long"), "sets")
+    sets = _candidate_sets(docs, base, k, percent)
+    shared = _shared_prefixes(sets, percent)
 
-    pairs = shared.where(F.col("cls") != F.col("leader")).where(_sizes_fit("n", "leader_n", "leader_n", percent))
-    pairs = pairs.select("cls", "leader").distinct()
+    named_by = shared.where(F.col("cls") != F.col("leader")).groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    pairs = named_by.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
     pairs = pairs.join(sets.select("cls", F.col("tokens").alias("own")), "cls")
     pairs = pairs.join(sets.select(F.col("cls").alias("leader"), "tokens"), "leader")
     found = stored(pairs.where(_links("own", "tokens", percent)).select("cls", "leader"), "found")
@@ -180,6 +140,34 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), "mark")
 
 
+def _allowed_misses(n: str, percent: int):
+    """How many tokens of a set of size n may be missing from a set that links with it."""
+    return F.col(n) - F.ceil(F.col(n) * percent / 100)
+
+
+def _candidate_sets(docs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cls, n, tokens) of the classes that may link with another one."""
+    counted = docs.mapInArrow(_per_document(k, _counted), "token long, cls long")
+    ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
+    misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
+    classes = base.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls")
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(misses, "cls", "left")
+    reps = classes.where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent)).select("cls", "doc_id")
+    reps = stored(reps, "candidates")
+    chosen = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>")
+    sets = sets.join(reps, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
+    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens"), "tokens")
+
+
+def _shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n, leader) for every prefix token that several classes have; the leader is the least of them."""
+    length = (_allowed_misses("n", percent) + 1).cast("int")
+    prefixes = sets.select("cls", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
+    ends = prefixes.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last"))
+    return stored(prefixes.join(ends.where("leader < last").drop("last"), "token"), "shared")
+
+
 def _open_groups(shared: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of different groups that share a prefix token."""
     labels = grouped.select(F.col("node").alias("cls"), "root")
