@@ -39,14 +39,14 @@ _SCHEMA = ", ".join(["row_key long, doc_id long, stratum string", *[f"{c} long"
 
 # Measures lie between 0 and 1; a rule rejects what lies above its cutoff.
 RULES = {
-    "symbols": F.try_divide("n_symbols", F.col("word_chars")),
-    "repeated_words": F.try_divide("n_repeat_words", F.col("n_words")),
-    "repeated_lines": F.try_divide("n_dup_lines", F.col("n_lines")),
-    "few_distinct_words": 1 - F.try_divide("n_distinct", F.col("n_words")),
-    "pipes": F.try_divide("n_pipes", F.col("n_words")),
-    "exclamations": F.try_divide("n_marks", F.col("n_words")),
-    "capitals": F.try_divide("n_capitals", F.col("n_letters")),
-    "few_letters": 1 - F.try_divide("n_letters", F.col("word_chars")),
+    "symbols": "try_divide(n_symbols, word_chars)",
+    "repeated_words": "try_divide(n_repeat_words, n_words)",
+    "repeated_lines": "try_divide(n_dup_lines, n_lines)",
+    "few_distinct_words": "1 - try_divide(n_distinct, n_words)",
+    "pipes": "try_divide(n_pipes, n_words)",
+    "exclamations": "try_divide(n_marks, n_words)",
+    "capitals": "try_divide(n_capitals, n_letters)",
+    "few_letters": "1 - try_divide(n_letters, word_chars)",
 }
 
 
@@ -152,9 +152,9 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float)
     return chosen
 
 
-def _bin(measure: Column) -> Column:
+def _bin(rule: str) -> Column:
     """Number of the grid's bin; measures at or below 0 are in bin 0, missing ones too."""
-    return F.coalesce(F.least(F.lit(STEPS), F.greatest(F.lit(0), F.ceil(measure * STEPS))), F.lit(0))
+    return F.coalesce(F.least(F.lit(STEPS), F.greatest(F.lit(0), F.ceil(F.expr(RULES[rule]) * STEPS))), F.lit(0))
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
@@ -165,7 +165,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delt
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min(F.col("quality").cast("int")).alias("quality"))
     labelled = measured.where(~base_failed()).join(known, "doc_id")
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _bin(m).alias("bin")) for r, m in RULES.items()])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES])
     long = labelled.select("stratum", "quality", F.inline(pairs))
     counts = long.groupBy("stratum", "rule", "bin").agg(
         F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")
@@ -190,7 +190,7 @@ def rejected(cutoffs: dict[tuple[str, str], float]) -> Column:
     """Whether any rule of the row's stratum fires."""
     fired = F.lit(False)
     for (stratum, rule), cutoff in sorted(cutoffs.items()):
-        fired = fired | ((F.col("stratum") == stratum) & (_bin(RULES[rule]) >= round(cutoff * STEPS)))
+        fired = fired | ((F.col("stratum") == stratum) & (_bin(rule) >= round(cutoff * STEPS)))
     return fired
 
 

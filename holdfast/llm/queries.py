@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import group_join, language, mixing, ring, winnowing
+from holdfast.llm import doubling, group_join, language, main_text, mixing, quality_rules, ring, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark, sf_dir):
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark, sf_dir):
     return language.predict_language(table(spark, sf_dir, "documents"))
 
@@ -19,6 +27,10 @@ def op6_benchmark_winnowing(spark, sf_dir):
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_level_doubling(spark, sf_dir):
+    return doubling.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_ring_shards(spark, sf_dir):
     return ring.bounded_shards(table(spark, sf_dir, "documents"))
 
@@ -33,8 +45,11 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op3_quality_rules": op3_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_benchmark_winnowing": op6_benchmark_winnowing,
+    "op7_level_doubling": op7_level_doubling,
     "op8_ring_shards": op8_ring_shards,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
@@ -60,6 +75,17 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
 sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op7_level_doubling": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+g AS (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN f USING (h) WHERE doc_id > least),
+r AS (SELECT DISTINCT doc_id, p FROM g),
+k AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept FROM
+  (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN r USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op9_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
