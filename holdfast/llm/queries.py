@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import doubling, group_join, language, main_text, mixing, quality_rules, ring, winnowing
+from holdfast.llm import doubling, group_join, language, main_text, mixing, quality_rules, ring, suffix_dedup, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_main_text(spark, sf_dir):
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_arrays(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_source_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_suffix_arrays": op2_suffix_arrays,
     "op3_quality_rules": op3_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_benchmark_winnowing": op6_benchmark_winnowing,
