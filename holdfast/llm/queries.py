@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import doubling, group_join, language, main_text, mixing, quality_rules, ring, suffix_dedup, winnowing
+from holdfast.llm import attention_lm, doubling, group_join, language, main_text, mixing, quality_rules, ring, suffix_dedup, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_attention_scores(spark, sf_dir):
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark, sf_dir):
     return language.predict_language(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_suffix_arrays": op2_suffix_arrays,
     "op3_quality_rules": op3_quality_rules,
+    "op4_attention_scores": op4_attention_scores,
     "op5_language_id": op5_language_id,
     "op6_benchmark_winnowing": op6_benchmark_winnowing,
     "op7_level_doubling": op7_level_doubling,
