@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. What structure marks as no article (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts) is left out at once. The first pass classifies the other blocks by length,
 link density and stop-word density: good, bad or undecided (short). The second gives every undecided block the label of
-the nearest decided block of the same container, or of the container if it has none.
+its nearest decided neighbours in the same container.
 """
 
 from __future__ import annotations
@@ -173,29 +173,37 @@ def first_pass(block: Block, page_has_article: bool) -> str:
 
 
 def second_pass(blocks: list[Block]):
-    """Labels for the undecided: of the nearest decided block of the container (the former one of two as near)."""
-    decided: dict[int, list[int]] = {}
-    for i, b in enumerate(blocks):
-        if b.label:
-            decided.setdefault(b.container, []).append(i)
+    """Labels for the undecided, from the nearest decided block of the container before and after.
+
+    If both agree, or only one is there, theirs is the label. If they differ, or an article's block has one side only, a
+    block in an article is good, and another gets the nearer label (the former one of two as near).
+    """
+    before, after = _nearest(blocks), _nearest(blocks[::-1])[::-1]
+    n = len(blocks)
     labels = []
     for i, b in enumerate(blocks):
-        near = decided.get(b.container)
+        near = [(i - j, blocks[j].label) for j in before[i : i + 1] if j is not None]
+        near += [(n - 1 - j - i, blocks[n - 1 - j].label) for j in after[i : i + 1] if j is not None]
+        found = {label for _, label in near}
         if b.label:
             labels.append(b.label)
-        elif near:
-            labels.append(blocks[min(_around(near, i), key=lambda j: (abs(j - i), j))].label)
+        elif b.in_article:
+            labels.append("bad" if len(near) == 2 and found == {"bad"} else "good")
         else:
-            labels.append("good" if b.in_article else "bad")
+            labels.append(min(near, key=lambda x: x[0])[1] if near else "bad")
     for b, label in zip(blocks, labels, strict=True):
         b.label = label
 
 
-def _around(sorted_positions: list[int], i: int) -> list[int]:
-    from bisect import bisect
-
-    at = bisect(sorted_positions, i)
-    return sorted_positions[max(at - 1, 0) : at + 1]
+def _nearest(blocks: list[Block]) -> list[int | None]:
+    """For every block the position of the last decided block of its container before it."""
+    last: dict[int, int] = {}
+    out = []
+    for i, b in enumerate(blocks):
+        out.append(last.get(b.container))
+        if b.label:
+            last[b.container] = i
+    return out
 
 
 def main_text(page: str | None) -> str:
