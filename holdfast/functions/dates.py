@@ -80,7 +80,9 @@ def lenient_timestamp(df: DataFrame, column: str) -> Column:
     """Timestamp without zone, NULL where the text is no date."""
     c = F.col(column)
     if isinstance(df.schema[column].dataType, T.StringType):
-        return F.when(c.rlike(r"^\s*[+-]?\d"), c.try_cast("timestamp_ntz"))
+        plain = F.when(c.rlike(r"^\s*[+-]?\d"), c.try_cast("timestamp_ntz"))
+        text = F.trim(c)
+        return F.coalesce(plain, parse_datetime(text), parse_date(text).cast("timestamp_ntz"))
     return c.cast("timestamp_ntz")
 
 

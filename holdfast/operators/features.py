@@ -180,7 +180,10 @@ def features_of(
     payments: DataFrame,
     asof: str | dt.date,
 ) -> DataFrame:
-    """Features of chosen students; the id filter runs before the aggregations."""
+    """Features of chosen students. Listed ids filter the scans; ids in a table filter the students, whose histories
+    are aggregated first, so a student with much history is never shuffled row by row."""
+    if isinstance(ids, DataFrame):
+        return student_features(only_students(students, ids.distinct()), attendance, payments, asof)
     return student_features(
         only_students(students, ids), only_students(attendance, ids), only_students(payments, ids), asof
     )

@@ -1,10 +1,10 @@
-"""Forests as node tables: reading a trained model's nodes, root-to-leaf paths, scores and contributions.
+"""Forests as node tables: reading a trained model's nodes, root-to-leaf paths and contributions.
 
 Node table: ``tree_id, node_id, feature, threshold, left, right, value, cover``. A row goes left if
 ``x[feature] <= threshold``; a leaf has no children and a value (probability of class 1). ``cover`` is
 the training weight that reached the node.
 
-The size of a forest depends on the model, not on the scored rows: Spark's own scoring holds the whole
+The size of a forest depends on its training rows, not on the scored ones: Spark's own scoring holds the whole
 forest in the driver and in every executor. Its paths are shipped in parts of bounded size all the same.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ PATH_SCHEMA = (
     "upper array<double>, share array<double>"
 )
 MAX_PART_BYTES = 64 << 20
-MAX_EXPRESSION_NODES = 200
+PATHS_PER_TASK = 50_000_000
 
 
 def nodes_from_rows(spark: SparkSession, rows: Sequence[Sequence]) -> DataFrame:
@@ -112,13 +112,13 @@ def paths_of(nodes: DataFrame) -> DataFrame:
 
 @dataclass
 class Forest:
-    """A forest ready to score and explain. ``parts`` holds path blocks of bounded size."""
+    """A forest ready to explain. ``parts`` holds path blocks of bounded size."""
 
     names: list[str]
     n_trees: int
     base: float
     parts: list[list[dict]]
-    small_nodes: dict[int, dict[int, dict]] | None = field(default=None)
+    n_paths: int
 
     @property
     def width(self) -> int:
@@ -126,18 +126,11 @@ class Forest:
 
 
 def build_forest(nodes: DataFrame, names: Sequence[str], part_bytes: int = MAX_PART_BYTES) -> Forest:
-    """Collect the paths of a model; forests with many paths are cut into several parts of trees."""
-    first_nodes = nodes.limit(MAX_EXPRESSION_NODES + 1).collect()
-    small: dict[int, dict[int, dict]] | None = None
-    if len(first_nodes) <= MAX_EXPRESSION_NODES:
-        small = {}
-        for r in first_nodes:
-            small.setdefault(r["tree_id"], {})[r["node_id"]] = r.asDict()
-        columns = nodes.columns
-        trees = [pd.DataFrame([r for r in first_nodes if r["tree_id"] == t], columns=columns) for t in sorted(small)]
-        paths = pd.concat([_tree_paths(t) for t in trees], ignore_index=True)
-    else:
-        paths = paths_of(nodes).toPandas()
+    """Collect the paths of a model, one per leaf; they are shipped in parts of bounded size.
+
+    Leaves grow with the rows the model was trained on: bound those rows, not the trees.
+    """
+    paths = paths_of(nodes).toPandas()
     paths = paths.sort_values(["tree_id", "leaf_id"], kind="stable")
     n_trees = paths["tree_id"].nunique()
     value = paths["value"].to_numpy() / n_trees
@@ -154,31 +147,22 @@ def build_forest(nodes: DataFrame, names: Sequence[str], part_bytes: int = MAX_P
                 list(pick["features"]), list(pick["lower"]), list(pick["upper"]), list(pick["share"]), value[rows]
             )
         )
-    return Forest(list(names), int(n_trees), base, parts, small)
+    return Forest(list(names), int(n_trees), base, parts, len(paths))
 
 
 def _matrix(x: pa.Array, width: int) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
 
 
-def _part_function(spark: SparkSession, part: list[dict], width: int, explain: bool):
+def _part_function(spark: SparkSession, part: list[dict], width: int):
     blocks = spark.sparkContext.broadcast(part)
 
-    if explain:
-
-        @F.arrow_udf("array<double>")
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for x in batches:
-                phi = kernel.contributions(_matrix(x, width), blocks.value)
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
-                yield pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))
-
-    else:
-
-        @F.arrow_udf("double")
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for x in batches:
-                yield pa.array(kernel.predictions(_matrix(x, width), blocks.value))
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            phi = kernel.contributions(_matrix(x, width), blocks.value)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))
 
     return run
 
@@ -192,18 +176,30 @@ def _tree_expression(tree: dict[int, dict], node_id: int, x: Column) -> Column:
     return F.when(x[node["feature"]] <= node["threshold"], left).otherwise(right)
 
 
-def score(df: DataFrame, forest: Forest, x: str = "x", out: str = "churn_risk") -> DataFrame:
-    """Mean leaf value over the trees. A small forest is one built-in expression per tree."""
-    if forest.small_nodes is not None:
-        trees = [_tree_expression(t, 0, F.col(x)) for _, t in sorted(forest.small_nodes.items())]
-        total = trees[0]
-        for tree in trees[1:]:
-            total = total + tree
-        return df.withColumn(out, total / F.lit(float(forest.n_trees)))
+def score_rows(df: DataFrame, rows: Sequence[Sequence], x: str = "x", out: str = "churn_risk") -> DataFrame:
+    """Mean leaf value over the trees of a forest that is written down as node rows: an expression per tree.
+
+    Trained models are scored by Spark's own transform.
+    """
+    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+    trees: dict[int, dict[int, dict]] = {}
+    for r in rows:
+        node = dict(zip(names, r, strict=True))
+        trees.setdefault(node["tree_id"], {})[node["node_id"]] = node
     total = F.lit(0.0)
-    for part in forest.parts:
-        total = total + _part_function(df.sparkSession, part, forest.width, explain=False)(F.col(x))
-    return df.withColumn(out, total)
+    for _, tree in sorted(trees.items()):
+        total = total + _tree_expression(tree, 0, F.col(x))
+    return df.withColumn(out, total / F.lit(float(len(trees))))
+
+
+def with_score(df: DataFrame, forest: Forest, phi: str = "phi", out: str = "churn_risk") -> DataFrame:
+    """The score of explained rows: the base and all contributions."""
+    return df.withColumn(out, F.lit(forest.base) + F.aggregate(phi, F.lit(0.0), lambda a, b: a + b))
+
+
+def tasks_for(rows: int, forest: Forest) -> int:
+    """Tasks for so many rows: the work is rows times paths, which their bytes do not show."""
+    return max(1, -(-rows * forest.n_paths // PATHS_PER_TASK))
 
 
 def shap_values(
@@ -211,17 +207,14 @@ def shap_values(
 ) -> DataFrame:
     """Contribution of every encoded column to the score; ``forest.base`` plus their sum is the score.
 
-    Only the vector ``x`` is sent to Python; all other columns stay in the JVM. The work per row grows
-    with the forest, which the bytes that adaptive execution sizes its tasks by do not show: for a large
-    forest the rows are spread over ``tasks`` (twice the session's cores if not given).
+    Only the vector ``x`` is sent to Python; all other columns stay in the JVM. With ``tasks`` the rows are spread
+    over at least so many tasks.
     """
-    if tasks is None and forest.small_nodes is None:
-        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     if tasks is not None:
-        df = df.repartition(tasks)
+        df = df.repartition(max(tasks, df.rdd.getNumPartitions()))
     phi = None
     for part in forest.parts:
-        one = _part_function(df.sparkSession, part, forest.width, explain=True)(F.col(x))
+        one = _part_function(df.sparkSession, part, forest.width)(F.col(x))
         phi = one if phi is None else F.zip_with(phi, one, lambda a, b: a + b)
     if phi is None:
         phi = F.array_repeat(F.lit(0.0), forest.width)

@@ -16,6 +16,8 @@ import numpy as np
 
 # Doubles held by one intermediate array: 2**17 of them are 1 MB.
 CHUNK = 1 << 17
+# Paths with so many features at most have a table of all their patterns.
+PATTERN_FEATURES = 9
 
 
 def group_paths(features, lower, upper, share, value):
@@ -85,7 +87,7 @@ def _add_by_pattern(columns, block, out):
 
 
 def _add_by_row(columns, block, out):
-    """Terms row by row, for paths with more patterns than there are rows."""
+    """Terms row by row, for paths with many features and so too many patterns."""
     n_paths, d = block["feature"].shape
     step = max(1, CHUNK // columns.shape[1])
     for first in range(0, n_paths, step):
@@ -104,20 +106,6 @@ def contributions(x, blocks):
     out = np.zeros(columns.shape, dtype=np.float64)
     if len(x):
         for block in blocks:
-            few_patterns = 1 << block["feature"].shape[1] <= max(16, len(x) // 2)
-            (_add_by_pattern if few_patterns else _add_by_row)(columns, block, out)
+            by_pattern = block["feature"].shape[1] <= PATTERN_FEATURES
+            (_add_by_pattern if by_pattern else _add_by_row)(columns, block, out)
     return np.ascontiguousarray(out.T)
-
-
-def predictions(x, blocks):
-    """Sum of the leaf values whose path a row follows."""
-    columns = np.ascontiguousarray(x.T)
-    out = np.zeros(len(x), dtype=np.float64)
-    for block in blocks:
-        n_paths, d = block["feature"].shape
-        for path in range(n_paths):
-            reached = _follows(columns, block, path, 0)
-            for j in range(1, d):
-                reached = reached & _follows(columns, block, path, j)
-            out += block["value"][path] * reached
-    return out

@@ -25,14 +25,13 @@ def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def record_id(df: DataFrame) -> Column:
-    """``customer_id``, or ``student_id`` where it is missing, 0 or empty."""
+    """``customer_id``, or ``student_id`` where it is missing, 0 or empty; NULL if there is no such column."""
     if "customer_id" not in df.columns:
         return F.col("student_id")
     first = F.col("customer_id")
-    if "student_id" not in df.columns:
-        return first
     text = first.cast("string")
-    return F.when(text.isNotNull() & ~text.isin("", "0"), first).otherwise(F.col("student_id"))
+    second = F.col("student_id") if "student_id" in df.columns else F.lit(None)
+    return F.when(text.isNotNull() & ~text.isin("", "0"), first).otherwise(second)
 
 
 def is_raiser(effect: Column) -> Column:

@@ -58,9 +58,9 @@ def income_by_month(payments: DataFrame) -> DataFrame:
 
 
 def delinquents(students: DataFrame, payments: DataFrame, first: dt.date | str, end: dt.date | str) -> DataFrame:
-    """Students without a paid payment in [first, end)."""
+    """Students without a paid payment in [first, end). Payers are made distinct per task before the shuffle."""
     payers = between_days(paid_only(payments), "payment_date", dates.as_date(first), dates.as_date(end))
-    return students.join(payers.select("student_id"), "student_id", "left_anti")
+    return students.join(payers.select("student_id").distinct(), "student_id", "left_anti")
 
 
 def active_students(enrollments: DataFrame, students: DataFrame, course: str | None = None) -> DataFrame:

@@ -132,12 +132,14 @@ def stratified_folds(
 ) -> DataFrame:
     """Fold 0..folds-1 per row, in random order, with sizes per class that differ by one row at most.
 
-    Rows get a random number, kept by a reliable checkpoint, and fall into buckets of about
-    ``bucket_rows`` by it, so neither a class nor a repeated key fills one bucket. The place of a row
+    The order is a hash of the seed and the whole row, so it does not depend on how the rows are spread. Rows fall
+    into buckets of about ``bucket_rows`` by it, so no class and no key fills one bucket, unless its rows are all equal. The place of a row
     among its class is the class's rows in earlier buckets plus its row number in the bucket.
     """
     draw, bucket, place = "_draw", "_bucket", "_place"
-    fixed = materialize(df.withColumn(draw, F.rand(seed)))
+    scale = 1 << 52
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(scale)) / F.lit(float(scale))
+    fixed = materialize(df.withColumn(draw, drawn))
     total = fixed.count()
     n_buckets = max(1, -(-total // bucket_rows))
     bucketed = fixed.withColumn(bucket, F.floor(F.col(draw) * n_buckets).cast("int"))
@@ -195,7 +197,9 @@ def train(
     categorical = [c for c, r in roles.items() if r == "categorical"]
     columns = [F.col(c) for c in (*numeric, *categorical, target)]
     data = prepare(df.select(*columns), numeric, categorical)
-    data = with_class_weight(materialize(data) if checkpoint else data, target)
+    if checkpoint:
+        data = materialize(data.repartition(df.sparkSession.sparkContext.defaultParallelism))
+    data = with_class_weight(data, target)
     encode = encoder(numeric, categorical).fit(data)
     forest = forest_classifier(trees, max_depth, seed, **params).fit(encode.transform(data))
     # The copy leaves the training summary behind, which would drag the session into every task.
@@ -227,6 +231,28 @@ def auc(df: DataFrame, score: str = "churn_risk", label: str = LABEL) -> float:
     ).evaluate(rows)
 
 
+def auc_by(df: DataFrame, group: str, score: str = "churn_risk", label: str = LABEL) -> DataFrame:
+    """Exact area under the ROC curve per group from the ranks of the positives, ties counted half; NULL for one class.
+
+    Rows are counted per group and score first, so tied scores cost one row.
+    """
+    hit = F.col(label).cast("double")
+    steps = df.groupBy(group, score).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("p"))
+    before = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = steps.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rank_sum = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2))
+    total, positive = F.sum("n"), F.sum("p")
+    area = F.try_divide(rank_sum - positive * (positive + 1) / 2, positive * (total - positive))
+    return ranked.groupBy(group).agg(
+        total.alias("rows"), positive.cast("bigint").alias("positives"), F.round(area, 9).alias("auc")
+    )
+
+
+def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most so many rows, those with the least hashes of the key: a bound on the rows a model is fitted on."""
+    return df.orderBy(F.xxhash64(F.lit(SEED), key), key).limit(rows)
+
+
 def cross_validate(
     df: DataFrame,
     target: str = TARGET,

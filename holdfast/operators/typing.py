@@ -35,17 +35,15 @@ def value_predicates(c: Column) -> dict[str, Column]:
     }
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row (position, column_name, type_label) per text column: the first type all its non-blank
     values satisfy, from one pass over all rows.
 
     Values are unpivoted and combined per column before the shuffle, which carries one row per column
-    and task. ``sample_rows`` looks at that many rows only.
+    and task.
     """
     columns = columns or df.columns
     source = df.select(*[F.col(f"`{c}`") for c in columns])
-    if sample_rows is not None:
-        source = source.limit(sample_rows)
     pairs = F.array(
         *[
             F.struct(F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
@@ -99,6 +97,12 @@ def schema_of(inferred: DataFrame) -> dict[str, str]:
     return {r["column_name"]: r["type_label"] for r in inferred.orderBy("position").collect()}
 
 
+def label_of(spark_type: str) -> str:
+    """The label of a column that is there already; texts of any length stay texts."""
+    labels = {kind: label for label, kind in SPARK_TYPES.items() if kind != "string"}
+    return labels.get(spark_type, "LONGTEXT")
+
+
 def coerce_value(v: Column, label: str) -> Column:
     """Typed value of a stripped, non-blank text."""
     if label == "TINYINT(1)":
@@ -184,11 +188,11 @@ def with_dense_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     return numbered.withColumn(name, start + F.col(place) + 1).drop(part, place)
 
 
-def table_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns of tables: name, type, position and the number of non-NULL values."""
+def table_columns(tables: dict[str, DataFrame], filled: bool = False) -> DataFrame:
+    """Columns of tables: name, position and type, from the schemas alone; on demand the number of non-NULL values."""
     out = None
     for table, df in tables.items():
-        counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)])
+        fields = list(enumerate(df.schema))
         entries = F.array(
             *[
                 F.struct(
@@ -196,12 +200,13 @@ def table_columns(tables: dict[str, DataFrame]) -> DataFrame:
                     F.lit(i + 1).alias("position"),
                     F.lit(f.name).alias("column_name"),
                     F.lit(f.dataType.simpleString()).alias("data_type"),
-                    F.col(f"c{i}").alias("filled"),
+                    *([F.col(f"c{i}").alias("filled")] if filled else []),
                 )
-                for i, f in enumerate(df.schema)
+                for i, f in fields
             ]
         )
-        rows = counts.select(F.inline(entries))
+        one = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in fields]) if filled else df.sparkSession.range(1)
+        rows = one.select(F.inline(entries))
         out = rows if out is None else out.unionByName(rows)
     return out
 

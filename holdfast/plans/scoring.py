@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +66,23 @@ def forest_of_bundle(spark: SparkSession, path: str) -> forest.Forest:
     return forest.build_forest(forest.nodes_of_model(spark, models.forest_folder(spark, path)), names)
 
 
-def explain_features(df: DataFrame, ensemble: forest.Forest, contract: dict, top_k: int = 5) -> DataFrame:
-    """Score, contributions and top reasons per feature row."""
+def explain_features(
+    df: DataFrame,
+    ensemble: forest.Forest,
+    contract: dict,
+    top_k: int = 5,
+    tasks: int | None = None,
+    score: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Score, contributions and top reasons per feature row; ``tasks`` as for the contributions.
+
+    The score is the base and the sum of the contributions, unless ``score`` adds it to the encoded rows.
+    """
     encoded = explain.encode(aligned(df, contract), contract["numeric_cols"], contract["categories"])
-    scored = forest.shap_values(forest.score(encoded, ensemble), ensemble)
+    if score is None:
+        scored = forest.with_score(forest.shap_values(encoded, ensemble, tasks=tasks), ensemble)
+    else:
+        scored = forest.shap_values(score(encoded), ensemble, tasks=tasks)
     origins = explain.encoded_origins(contract["numeric_cols"], contract["categories"])
     return explain.local_reasons(scored, origins, contract["feature_order"], top_k=top_k)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +28,7 @@ def build_session(app: str = "holdfast", master: str | None = None, **conf: str)
         **RUNTIME_CONF,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -46,7 +46,7 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a local-mode session without the setting gets a folder of its own.
+    Name it in the session's settings: there is no default, as a folder of one machine would lose rows on a cluster.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None)
@@ -54,10 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="holdfast-")
-        sc.setCheckpointDir(configured)
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     return configured
 
 

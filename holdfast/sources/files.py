@@ -16,12 +16,15 @@ REASON = T.StructType(
 )
 RECORD = T.StructType(
     [
-        T.StructField("customer_id", T.LongType()),
+        T.StructField("customer_id", T.StringType()),
+        T.StructField("student_id", T.StringType()),
         T.StructField("asof_date", T.StringType()),
         T.StructField("prob_churn", T.DoubleType()),
         T.StructField("top_reasons", T.ArrayType(REASON)),
-        T.StructField("email", T.StringType()),
-        T.StructField("name", T.StringType()),
+        *[T.StructField(c, T.StringType()) for c in ("email", "customer_email", "name", "customer_name")],
+        *[T.StructField(c, T.StringType()) for c in ("product", "plan", "segment", "language", "campaign_id")],
+        T.StructField("days_inactive", T.LongType()),
+        T.StructField("last_interaction_at", T.StringType()),
     ]
 )
 
@@ -31,14 +34,22 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False).columns
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
 def csv_scan(
-    spark: SparkSession, path: str, multi_line: bool = False, header: list[str] | None = None
+    spark: SparkSession, path: str, multi_line: bool | None = None, header: list[str] | None = None
 ) -> DataFrame:
     """All columns as text. Fields beyond the header are dropped; a short row is filled with NULLs.
 
-    Only ``multi_line`` files may have line breaks inside quotes; such a file is read by one task, so
-    leave it off for large files without them.
+    Files with line breaks inside quotes are read whole, by one task each; that is found out by a look at the lines
+    unless ``multi_line`` says it.
     """
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
     reader = spark.read.options(**options)
     if header is not None:
@@ -57,7 +68,8 @@ def _first_characters(spark: SparkSession, path: str) -> DataFrame:
     """First non-blank character of each file."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"),
+        # Lines of one split are numbered in order, and splits start in order of their bytes.
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("line"),
         F.left(F.ltrim(F.regexp_replace("value", "^[\\s\\ufeff]+", "")), F.lit(1)).alias("first"),
     )
     return lines.filter(F.col("first") != "").groupBy("file").agg(F.min_by("first", "line").alias("first"))

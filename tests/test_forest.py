@@ -69,7 +69,7 @@ def test_contributions_against_enumeration(spark):
         rows = random_nodes(rng, 3, 5, 5)
         xs = [[rng.random() for _ in range(5)] for _ in range(6)]
         f = forest.build_forest(forest.nodes_from_rows(spark, rows), list("abcde"))
-        got = forest.shap_values(forest.score(frame(spark, xs), f), f).orderBy("id").collect()
+        got = forest.shap_values(forest.score_rows(frame(spark, xs), rows), f).orderBy("id").collect()
         for x, r in zip(xs, got):
             phi, base, full = brute_force(rows, x)
             assert np.allclose(r["phi"], phi, atol=1e-10)
@@ -77,24 +77,24 @@ def test_contributions_against_enumeration(spark):
             assert abs(f.base + sum(r["phi"]) - r["churn_risk"]) < 1e-9
 
 
-def test_parts_and_kernel_scores_agree_with_one_expression(spark, monkeypatch):
+def test_parts_agree_with_one_part_and_the_expression(spark):
     rng = random.Random(5)
     rows = random_nodes(rng, 4, 4, 4)
     xs = [[rng.random() for _ in range(4)] for _ in range(20)]
     nodes = forest.nodes_from_rows(spark, rows)
     whole = forest.build_forest(nodes, list("abcd"))
-    monkeypatch.setattr(forest, "MAX_EXPRESSION_NODES", 0)
     cut = forest.build_forest(nodes, list("abcd"), part_bytes=300)
-    assert len(cut.parts) > 2 and cut.small_nodes is None and whole.small_nodes is not None
-    a = forest.shap_values(forest.score(frame(spark, xs), whole), whole).orderBy("id").collect()
-    b = forest.shap_values(forest.score(frame(spark, xs), cut), cut).orderBy("id").collect()
+    assert len(cut.parts) > 2 and len(whole.parts) == 1 and forest.tasks_for(10**9, cut) > 1 == forest.tasks_for(1, cut)
+    a = forest.shap_values(forest.score_rows(frame(spark, xs), rows), whole, tasks=3).orderBy("id").collect()
+    b = forest.with_score(forest.shap_values(frame(spark, xs), cut), cut).orderBy("id").collect()
     for p, q in zip(a, b):
         assert abs(p["churn_risk"] - q["churn_risk"]) < 1e-12 and np.allclose(p["phi"], q["phi"], atol=1e-12)
 
 
 def test_single_leaf_forest(spark):
-    f = forest.build_forest(forest.nodes_from_rows(spark, [(0, 0, None, None, None, None, 0.25, 10.0)]), ["a", "b"])
-    r = forest.shap_values(forest.score(frame(spark, [[1.0, 2.0]]), f), f).first()
+    rows = [(0, 0, None, None, None, None, 0.25, 10.0)]
+    f = forest.build_forest(forest.nodes_from_rows(spark, rows), ["a", "b"])
+    r = forest.shap_values(forest.score_rows(frame(spark, [[1.0, 2.0]]), rows), f).first()
     assert r["churn_risk"] == 0.25 and r["phi"] == [0.0, 0.0] and f.base == 0.25
 
 
@@ -128,7 +128,7 @@ def test_trained_forest_round_trip_and_explanations(spark, tmp_path):
     data = training.prepare(rows, contract["numeric_cols"], contract["categorical_cols"])
     unseen = data.limit(1).withColumn("plan", F.lit("new"))
     scored = training.probability(data.unionByName(unseen), loaded, keep_vector=True)
-    explained = forest.shap_values(forest.score(scored, f, out="own"), f).collect()
+    explained = forest.with_score(forest.shap_values(scored, f), f, out="own").collect()
     for r in explained:
         assert abs(r["own"] - r["churn_risk"]) < 1e-9
         assert abs(f.base + sum(r["phi"]) - r["churn_risk"]) < 1e-9

@@ -1,5 +1,6 @@
 """Every query against its SQL statement on the smallest tables."""
 
+import re
 from pathlib import Path
 
 import compare
@@ -26,7 +27,8 @@ def test_query(spark, con, name):
 
 def test_every_statement_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"cv_auc"}
+    own = {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}
+    assert own <= set(ORACLES)
 
 
 def test_entry(spark):

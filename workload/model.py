@@ -14,8 +14,10 @@ from holdfast.session import materialize, work_path
 from holdfast.sources import models
 from workload.tables import ASOF, core
 
-TREES = 60
-MAX_DEPTH = 8
+# The library's own forest; only the labelled rows it is fitted on are bounded.
+TREES = training.TREES
+MAX_DEPTH = training.MAX_DEPTH
+TRAIN_ROWS = 2000
 HORIZON_DAYS = 90
 
 _bundles: dict[tuple[str, str], str] = {}
@@ -59,14 +61,15 @@ def model_columns(table: DataFrame) -> DataFrame:
 
 
 def train_bundle(spark: SparkSession, sf_dir: str, trees: int = TREES, max_depth: int = MAX_DEPTH) -> str:
-    model, contract = training.train(model_columns(training_table(spark, sf_dir)), trees=trees, max_depth=max_depth)
+    rows = training.bounded_rows(model_columns(training_table(spark, sf_dir)), "customer_id", TRAIN_ROWS)
+    model, contract = training.train(rows, trees=trees, max_depth=max_depth)
     return models.save_bundle(spark, model, contract, work_path(spark, "model"))
 
 
-def bundle(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the saved model; trained once per session and data folder."""
+def bundle(spark: SparkSession, sf_dir: str, anew: bool = False) -> str:
+    """Folder of the saved model; trained once per session and data folder, or anew."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _bundles:
+    if anew or key not in _bundles:
         _bundles[key] = train_bundle(spark, sf_dir)
     return _bundles[key]
 

@@ -16,11 +16,9 @@ def days(since: str, cutoff: str = CUTOFF) -> str:
     return f"CAST(floor((epoch(TIMESTAMP '{cutoff}') - epoch({since})) / 86400) AS BIGINT)"
 
 
-def _window(n: int) -> str:
-    return (
-        f"SELECT student_id, sum(present) AS n FROM hist WHERE class_date BETWEEN DATE '{CUTOFF}' - INTERVAL {n - 1} DAY "
-        f"AND DATE '{CUTOFF}' GROUP BY student_id"
-    )
+def _within(n: int) -> str:
+    """The n days that end with the cutoff day."""
+    return f"BETWEEN DATE '{CUTOFF}' - INTERVAL {n - 1} DAY AND DATE '{CUTOFF}'"
 
 
 _ENCODED = ", ".join([f"CAST({c} AS DOUBLE)" for c in NUMBERS] + [f"CASE WHEN plan = '{c}' THEN 1.0 ELSE 0.0 END" for c in CATEGORIES])
@@ -30,11 +28,9 @@ _LABELS = """('months_since_last_payment', 'atraso_pago'), ('payments_90d_usd',
 ('total_classes_30d', 'bajo_uso_1m')"""
 
 STEPS = {
-    "hist": ["attendance"],
-    "att": ["hist"],
-    "ok": ["payments"],
-    "pay": ["ok"],
-    "features": ["students", "att", "pay"],
+    "classes": ["attendance"],
+    "income": ["payments"],
+    "features": ["students", "classes", "income"],
     "scored": ["features"],
     "encoded": ["features"],
     "phi": ["encoded"],
@@ -51,31 +47,24 @@ STEPS = {
 }
 
 TEXTS = {
-    "hist": f"SELECT student_id, class_date, coalesce(present, 1) AS present FROM attendance WHERE class_date <= DATE '{CUTOFF}'",
-    "att": f"""
-SELECT s.student_id, l.last_class, coalesce(a.n, 0) AS c30, coalesce(b.n, 0) AS c60, coalesce(c.n, 0) AS c90
-FROM (SELECT DISTINCT student_id FROM hist) s
-LEFT JOIN (SELECT student_id, max(class_date) AS last_class FROM hist GROUP BY student_id) l USING (student_id)
-LEFT JOIN ({_window(30)}) a USING (student_id)
-LEFT JOIN ({_window(60)}) b USING (student_id)
-LEFT JOIN ({_window(90)}) c USING (student_id)""",
-    "ok": f"SELECT * FROM payments WHERE payment_date <= DATE '{CUTOFF}' AND {PAID}",
-    "pay": f"""
-SELECT s.student_id, s.last_payment, coalesce(w.amount, 0) AS amount, coalesce(w.n, 0) AS n
-FROM (SELECT student_id, max(payment_date) AS last_payment FROM ok GROUP BY student_id) s
-LEFT JOIN (SELECT student_id, sum(amount) AS amount, count(payment_id) AS n FROM ok
-           WHERE payment_date BETWEEN DATE '{CUTOFF}' - INTERVAL 89 DAY AND DATE '{CUTOFF}' GROUP BY student_id) w USING (student_id)""",
+    "classes": f"""
+SELECT student_id, max(class_date) AS latest, {", ".join(f"sum(coalesce(present, 1)) FILTER (WHERE class_date {_within(n)}) AS days_{n}" for n in (30, 60, 90))}
+FROM attendance WHERE class_date <= DATE '{CUTOFF}' GROUP BY student_id""",
+    "income": f"""
+SELECT student_id, max(payment_date) AS latest, sum(amount) FILTER (WHERE payment_date {_within(90)}) AS amount,
+       count(payment_id) FILTER (WHERE payment_date {_within(90)}) AS payments
+FROM payments WHERE payment_date <= DATE '{CUTOFF}' AND {PAID} GROUP BY student_id""",
     "features": f"""
 SELECT s.student_id, coalesce(s.plan, 'None') AS plan, coalesce(TRY_CAST(s.price_usd AS DOUBLE), 0) AS price_usd,
        greatest(0, coalesce({days("TRY_CAST(s.signup_date AS TIMESTAMP)")}, 0)) AS tenure_days,
-       coalesce({days("a.last_class")}, 9999) AS days_since_last_attendance,
-       CAST(coalesce(a.c30, 0) AS BIGINT) AS total_classes_30d,
-       CAST(coalesce(a.c60, 0) AS BIGINT) AS total_classes_60d,
-       CAST(coalesce(a.c90, 0) AS BIGINT) AS total_classes_90d,
-       coalesce(CAST({days("p.last_payment")} AS DOUBLE) / 30.0, 9999.0) AS months_since_last_payment,
-       CAST(coalesce(p.amount, 0) AS DOUBLE) AS payments_90d_usd,
-       CAST(coalesce(p.n, 0) AS BIGINT) AS n_payments_90d
-FROM students s LEFT JOIN att a USING (student_id) LEFT JOIN pay p USING (student_id)""",
+       coalesce({days("c.latest")}, 9999) AS days_since_last_attendance,
+       CAST(coalesce(c.days_30, 0) AS BIGINT) AS total_classes_30d,
+       CAST(coalesce(c.days_60, 0) AS BIGINT) AS total_classes_60d,
+       CAST(coalesce(c.days_90, 0) AS BIGINT) AS total_classes_90d,
+       coalesce(CAST({days("i.latest")} AS DOUBLE) / 30.0, 9999.0) AS months_since_last_payment,
+       CAST(coalesce(i.amount, 0) AS DOUBLE) AS payments_90d_usd,
+       CAST(coalesce(i.payments, 0) AS BIGINT) AS n_payments_90d
+FROM students s LEFT JOIN classes c USING (student_id) LEFT JOIN income i USING (student_id)""",
     "scored": f"SELECT *, ({' + '.join(SQL_TREES)}) / 3.0 AS churn_risk FROM features",
     "encoded": f"SELECT student_id, [{_ENCODED}] AS x FROM features",
     "phi": f"""
@@ -125,16 +114,14 @@ SELECT p.*, coalesce(nullif(c.name, ''), 'Customer') AS name, trim(c.email) AS e
        tier IN ('high', 'medium') AS eligible,
        CAST(p.customer_id AS VARCHAR) || CASE WHEN coalesce(asof_date, '') = '' THEN '' ELSE '|' || asof_date END AS idempotency_key
 FROM picked p JOIN contacts c ON c.student_id = p.customer_id WHERE trim(c.email) <> ''""",
-    "rendered": """
-SELECT record_id, customer_id, email, tier, prob_churn, idempotency_key,
-       left(name || ', a quick note to help you get more value', 120) AS subject,
-       '<p>Hello ' || name || ',</p><p>Your recent activity shows: <strong>' || labels_txt || '</strong> (risk tier ' || tier
-         || '). We would like to help you get more from Your plan.' || CASE WHEN eligible THEN ' Use code SAVE10 for 10% off.' ELSE '' END
-         || '</p><p><strong>Reply YES to continue</strong></p><p>Reply STOP to opt out of these messages.</p>' AS html_body,
-       'Hello ' || name || ',' || chr(10) || chr(10) || 'Your recent activity shows: ' || labels_txt || ' (risk tier ' || tier
-         || '). We would like to help you get more from Your plan.' || CASE WHEN eligible THEN ' Use code SAVE10 for 10% off.' ELSE '' END
-         || chr(10) || chr(10) || 'Reply YES to continue' || chr(10) || chr(10) || 'Reply STOP to opt out of these messages.' AS text_body
-FROM payload""",
+    "rendered": f"""
+SELECT record_id, customer_id, email, tier, prob_churn, idempotency_key, left('Your place in Your plan, ' || name, 120) AS subject,
+       array_to_string(['<p>' || p || '</p>' FOR p IN paragraphs], '') AS html_body,
+       array_to_string(paragraphs, chr(10) || chr(10)) AS text_body
+FROM (SELECT *, [p FOR p IN ['Reply YES to continue and we keep your place in Your plan (' || plan || ').',
+    'This is what made us write to you: ' || labels_txt || '.',
+    CASE WHEN eligible THEN 'The next invoice is 10 percent lower with the code SAVE10.' END,
+    name || ', we are glad to have you with us.', 'Reply STOP to opt out of these messages.'] IF p IS NOT NULL] AS paragraphs FROM payload)""",
 }
 
 _PATH_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else str(v) for v in row) + ")" for row in PATHS)

@@ -10,7 +10,7 @@ from holdfast.plans import scoring
 from holdfast.sources import models
 from workload.model import aligned_rows, bundle, feature_rows, model_columns, training_table
 from workload.oracle import NUMBERS, statement
-from workload.pinned import CATEGORIES, CONTRACT, pinned_forest
+from workload.pinned import CATEGORIES, CONTRACT, NODES, pinned_forest
 from workload.tables import ASOF, view
 
 
@@ -24,7 +24,10 @@ def _contributions(spark, sf_dir):
 
 
 def explained(spark, sf_dir, top_k=5):
-    return scoring.explain_features(feature_rows(spark, sf_dir), pinned_forest(spark), CONTRACT, top_k)
+    pinned = pinned_forest(spark)
+    return scoring.explain_features(
+        feature_rows(spark, sf_dir), pinned, CONTRACT, top_k, score=lambda x: forest.score_rows(x, NODES)
+    )
 
 
 NAMES = explain.encoded_names(CONTRACT["numeric_cols"], CONTRACT["categories"])
@@ -51,12 +54,11 @@ def shap_additivity(spark, sf_dir):
     model, contract = models.load_bundle(spark, path)
     ensemble = scoring.forest_of_bundle(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model, keep_vector=True)
-    phi = forest.score(forest.shap_values(scored, ensemble), ensemble, out="own_score")
-    total = F.lit(ensemble.base) + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
-    return phi.agg(
+    tasks = forest.tasks_for(scored.count(), ensemble)
+    own = forest.with_score(forest.shap_values(scored, ensemble, tasks=tasks), ensemble, out="own_score")
+    return own.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.abs(total - F.col("churn_risk")) > 1e-9).alias("sum_differs"),
-        F.count_if(F.abs(F.col("own_score") - F.col("churn_risk")) > 1e-9).alias("score_differs"),
+        F.count_if(F.abs(F.col("own_score") - F.col("churn_risk")) > 1e-9).alias("sum_differs"),
     )
 
 
@@ -104,7 +106,7 @@ def prioritized_list(spark, sf_dir):
 
 def student_filter(spark, sf_dir):
     """Students of two tiers and all courses whose name or e-mail contains a text."""
-    scored = forest.score(_encoded(spark, sf_dir), pinned_forest(spark)).select("student_id", "churn_risk")
+    scored = forest.score_rows(_encoded(spark, sf_dir), NODES).select("student_id", "churn_risk")
     rows = scored.join(view(spark, sf_dir, "contacts"), "student_id").withColumn(
         "tier", F.when(F.col("churn_risk") >= 0.7, "high").when(F.col("churn_risk") >= 0.4, "medium").otherwise("low")
     )
@@ -157,7 +159,7 @@ LEFT JOIN phi p ON p.student_id = f.student_id AND p.pos = o.pos""",
         "origins",
         "phi",
     ),
-    "shap_additivity": "SELECT count(*) AS n, 0 AS sum_differs, 0 AS score_differs FROM customer",
+    "shap_additivity": "SELECT count(*) AS n, 0 AS sum_differs FROM customer",
     "explain_students": statement(
         """SELECT student_id, round(churn_risk, 9) AS prob_churn, place, feature, round(impact, 9) AS impact, effect, value
 FROM explained WHERE place <= 5""",

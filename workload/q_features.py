@@ -86,9 +86,9 @@ def unknown_students(spark, sf_dir):
 
 
 def risk_tier(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").filter(F.col("prob_churn").isNotNull() & ~F.isnan("prob_churn"))
+    rows, p = view(spark, sf_dir, "records"), F.nanvl("prob_churn", F.lit(None))
     return rows.groupBy(risk.risk_tier(F.col("prob_churn")).alias("tier")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("prob_churn").alias("least"), F.max("prob_churn").alias("most")
+        F.count(F.lit(1)).alias("n"), F.min(p).alias("least"), F.max(p).alias("most")
     )
 
 
@@ -109,12 +109,12 @@ def reason_labels(spark, sf_dir):
 
 
 def idempotency_key(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").filter(F.col("student_id").isNotNull())
+    rows = view(spark, sf_dir, "records")
     return rows.select("record_id", risk.idempotency_key(F.col("student_id"), F.col("asof_date")).alias("idempotency_key"))
 
 
 def offer_policy(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").filter(F.col("prob_churn").between(0, 1))
+    rows = view(spark, sf_dir, "records")
     offer = risk.offer_policy(risk.risk_tier(F.col("prob_churn")))
     return rows.select("record_id", offer.alias("o")).select("record_id", "o.eligible", "o.code", "o.discount")
 
@@ -146,7 +146,7 @@ QUERIES = {
 }
 
 _MONTHS = "round(months_since_last_payment, 6) AS months_since_last_payment"
-_TIER = "CASE WHEN prob_churn >= 0.7 THEN 'high' WHEN prob_churn >= 0.4 THEN 'medium' ELSE 'low' END"
+_TIER = "CASE WHEN prob_churn IS NULL OR isnan(prob_churn) THEN 'low' WHEN prob_churn >= 0.7 THEN 'high' WHEN prob_churn >= 0.4 THEN 'medium' ELSE 'low' END"
 
 ORACLES = {
     "infer_asof": """SELECT CAST(greatest((SELECT max(l_shipdate)::DATE FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -171,14 +171,14 @@ FROM payments WHERE {PAID} GROUP BY 1""",
         "payments",
     ),
     "attendance_features": statement(
-        """SELECT student_id, CAST(CAST(last_class AS DATE) AS VARCHAR) AS last_class, CAST(c30 AS BIGINT) AS total_classes_30d,
-CAST(c60 AS BIGINT) AS total_classes_60d, CAST(c90 AS BIGINT) AS total_classes_90d FROM att""",
-        "att",
+        """SELECT student_id, CAST(CAST(latest AS DATE) AS VARCHAR) AS last_class, CAST(coalesce(days_30, 0) AS BIGINT) AS total_classes_30d,
+CAST(coalesce(days_60, 0) AS BIGINT) AS total_classes_60d, CAST(coalesce(days_90, 0) AS BIGINT) AS total_classes_90d FROM classes""",
+        "classes",
     ),
     "payment_features": statement(
-        """SELECT student_id, CAST(CAST(last_payment AS DATE) AS VARCHAR) AS last_payment,
-CAST(amount AS DOUBLE) AS payments_90d_usd, CAST(n AS BIGINT) AS n_payments_90d FROM pay""",
-        "pay",
+        """SELECT student_id, CAST(CAST(latest AS DATE) AS VARCHAR) AS last_payment,
+CAST(coalesce(amount, 0) AS DOUBLE) AS payments_90d_usd, payments AS n_payments_90d FROM income""",
+        "income",
     ),
     "student_features": statement(f"SELECT * REPLACE ({_MONTHS}) FROM features", "features"),
     "align_features": statement(
@@ -191,8 +191,8 @@ CAST(n_payments_90d AS DOUBLE) AS n_payments_90d, 0.0::DOUBLE AS referrals FROM
     "unknown_students": """SELECT DISTINCT o_custkey * 2 AS student_id FROM orders
 WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)""",
     "risk_tier": statement(
-        f"""SELECT {_TIER} AS tier, count(*) AS n, min(prob_churn) AS least, max(prob_churn) AS most FROM records
-WHERE prob_churn IS NOT NULL AND NOT isnan(prob_churn) GROUP BY 1""",
+        f"""SELECT {_TIER} AS tier, count(*) AS n, min(prob_churn) FILTER (WHERE NOT isnan(prob_churn)) AS least,
+max(prob_churn) FILTER (WHERE NOT isnan(prob_churn)) AS most FROM records GROUP BY 1""",
         "records",
     ),
     "contact_fields": statement(
@@ -208,14 +208,13 @@ ELSE feature END AS label, count(*) AS n FROM reasons GROUP BY 1, 2""",
         "reasons",
     ),
     "idempotency_key": statement(
-        """SELECT record_id, CASE WHEN asof_date IS NULL OR asof_date = '' THEN CAST(student_id AS VARCHAR)
-ELSE student_id || '|' || asof_date END AS idempotency_key FROM records WHERE student_id IS NOT NULL""",
+        """SELECT record_id, concat_ws('|', student_id, nullif(asof_date, '')) AS idempotency_key FROM records""",
         "records",
     ),
     "offer_policy": statement(
         f"""SELECT record_id, t <> 'low' AS eligible, CASE WHEN t <> 'low' THEN 'SAVE10' END AS code,
 CASE WHEN t <> 'low' THEN 10 ELSE 0 END AS discount
-FROM (SELECT record_id, {_TIER} AS t FROM records WHERE prob_churn BETWEEN 0 AND 1)""",
+FROM (SELECT record_id, {_TIER} AS t FROM records)""",
         "records",
     ),
     "initials": """SELECT c_custkey AS student_id, 'C' || substr(split_part(c_name, '#', 2), 1, 1) AS initials FROM customer""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import dates
 from holdfast.operators import typing as types
 from holdfast.operators.training import training_columns
-from holdfast.plans.ingest import ingest_files
+from holdfast.plans.ingest import ingest_file, ingest_files
 from holdfast.session import work_path
 from holdfast.sources import files, tables
 from workload.model import model_columns, training_table
@@ -25,18 +25,35 @@ COERCED = {
     "c_mixed": "INT",
     "c_text": "VARCHAR(255)",
 }
-LISTED = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+# Columns and types of the given tables.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
 def csv_scan(spark, sf_dir):
+    """Written and read again, with line breaks and quotes inside values; empty texts are NULLs."""
     path = work_path(spark, "csv")
-    files.csv_write(view(spark, sf_dir, "raw_text"), path)
+    k = F.col("row_id")
+    note = F.when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, F.concat(F.lit('two\n"lines" '), k.cast("string"))).when(k % 5 == 0, "").otherwise("x, y")
+    files.csv_write(view(spark, sf_dir, "raw_text").withColumn("c_note", note), path)
     rows = files.csv_scan(spark, path)
-    return rows.select(F.col("row_id").cast("bigint").alias("row_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in TEXT_COLUMNS])
+    return rows.select(F.col("row_id").cast("bigint").alias("row_id"), *TEXT_COLUMNS, "c_note")
 
 
 def param_scan(spark, sf_dir):
@@ -71,8 +88,31 @@ def ingest_report(spark, sf_dir):
     return ingest_files(spark, [(f"{folder}/csv/{n}", n) for n in wanted], f"{folder}/tables")
 
 
+def ingest_twice(spark, sf_dir):
+    """A second file for a table: with a text in a number column, and a column more."""
+    folder, rows = work_path(spark, "ingest"), view(spark, sf_dir, "payments")
+    first = rows.select("payment_id", F.col("student_id").cast("string").alias("student"), "amount", "status")
+    odd = F.when(F.col("payment_id") % 10 == 0, F.concat(F.lit("s"), F.col("student_id"))).otherwise(F.col("student_id").cast("string"))
+    second = rows.select("payment_id", odd.alias("student"), "amount", F.lit("late").alias("note"))
+    for name, part in (("one", first), ("two", second)):
+        files.csv_write(part, f"{folder}/{name}")
+        ingest_file(spark, f"{folder}/{name}", f"{folder}/table")
+    kept = tables.read_table(spark, f"{folder}/table")
+    last = kept.agg(F.max(types.ROW_ID), F.count_distinct(types.ROW_ID)).first()
+    return kept.select(
+        F.col("payment_id").cast("bigint").alias("payment_id"),
+        F.col("student").cast("bigint").alias("student"),
+        F.col("amount").cast("double").alias("amount"),
+        "status",
+        "note",
+        F.col(types.RESCUED)["student"].alias("rescued"),
+        F.lit(last[0]).cast("bigint").alias("last_id"),
+        F.lit(last[1]).cast("bigint").alias("ids"),
+    )
+
+
 def table_columns(spark, sf_dir):
-    return types.table_columns({t: base(spark, sf_dir, t) for t in LISTED}).drop("data_type")
+    return types.table_columns({t: base(spark, sf_dir, t) for t in TABLES}, filled=True)
 
 
 def infer_types(spark, sf_dir):
@@ -132,6 +172,7 @@ QUERIES = {
     "param_scan": param_scan,
     "append_sink": append_sink,
     "ingest_report": ingest_report,
+    "ingest_twice": ingest_twice,
     "table_columns": table_columns,
     "infer_types": infer_types,
     "value_predicates": value_predicates,
@@ -154,7 +195,15 @@ _LONG = " UNION ALL ".join(
 )
 
 ORACLES = {
-    "csv_scan": sql_view("raw_text"),
+    "csv_scan": f"""SELECT * REPLACE (nullif(c_bool, '') AS c_bool), CASE WHEN row_id % 11 = 0 THEN NULL
+WHEN row_id % 7 = 0 THEN 'two' || chr(10) || '"lines" ' || row_id WHEN row_id % 5 = 0 THEN NULL ELSE 'x, y' END AS c_note FROM ({sql_view("raw_text")})""",
+    "ingest_twice": statement(
+        """SELECT payment_id, student_id AS student, CAST(amount AS DOUBLE) AS amount, status, NULL AS note, NULL AS rescued,
+2 * (SELECT count(*) FROM payments) AS last_id, 2 * (SELECT count(*) FROM payments) AS ids FROM payments
+UNION ALL SELECT payment_id, CASE WHEN payment_id % 10 <> 0 THEN student_id END, CAST(amount AS DOUBLE), NULL, 'late',
+CASE WHEN payment_id % 10 = 0 THEN 's' || student_id END, 2 * (SELECT count(*) FROM payments), 2 * (SELECT count(*) FROM payments) FROM payments""",
+        "payments",
+    ),
     "param_scan": statement(
         f"""SELECT student_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM payments
 WHERE payment_date <= DATE '{CUTOFF}' AND amount >= 1000 GROUP BY student_id""",
@@ -167,9 +216,9 @@ UNION ALL SELECT 'teachers', 'missing', 0
 UNION ALL SELECT 'payments', 'loaded', count(*) FROM orders
 UNION ALL SELECT 'attendance', 'loaded', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "table_columns": " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, {i + 1} AS position, '{c}' AS column_name, count({c}) AS filled FROM {t}"
-        for t, cs in LISTED.items()
-        for i, c in enumerate(cs)
+        f"SELECT '{t}' AS table_name, {i + 1} AS position, '{c}' AS column_name, '{kind}' AS data_type, count({c}) AS filled FROM {t}"
+        for t, listed in TABLES.items()
+        for i, (c, kind) in enumerate(x.split() for x in listed.split(", "))
     ),
     "infer_types": statement(
         f"""SELECT position, column_name, CASE WHEN count(v) = 0 THEN 'VARCHAR(255)'

@@ -16,18 +16,17 @@ from workload.model import (
     bundle,
     feature_rows,
     model_columns,
-    train_bundle,
     training_table,
 )
 from workload.oracle import NUMBERS, statement
-from workload.pinned import CATEGORIES, CONTRACT, pinned_forest
+from workload.pinned import CATEGORIES, CONTRACT, NODES
 from workload.tables import ASOF, core, view
 
 
 def pinned_scores(spark, rows):
     """Feature rows with the score of the fixed forest."""
     x = explain.encode(scoring.aligned(rows, CONTRACT), CONTRACT["numeric_cols"], CONTRACT["categories"])
-    return forest.score(x, pinned_forest(spark))
+    return forest.score_rows(x, NODES)
 
 
 def onehot_features(spark, sf_dir):
@@ -51,11 +50,21 @@ def stratified_folds(spark, sf_dir):
 
 
 def train_model(spark, sf_dir):
-    """Trains anew; reports what must hold for any seed."""
-    model, contract = models.load_bundle(spark, train_bundle(spark, sf_dir))
+    """Trains the whole forest; reports what must hold for any seed."""
+    path = bundle(spark, sf_dir, anew=True)
+    model, contract = models.load_bundle(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model)
     p = F.col("churn_risk")
+    labels = training_table(spark, sf_dir).select("student_id", F.col("abandono").alias(training.LABEL))
+    area = training.auc(scored.join(labels, "student_id"))
+    nodes = forest.nodes_of_model(spark, models.forest_folder(spark, path))
+    covers = nodes.groupBy("tree_id").agg(
+        F.sum(F.when(F.col("left").isNull(), F.col("cover"))).alias("leaves"), F.max("cover").alias("root")
+    )
+    uneven = covers.agg(F.count_if(F.abs(F.col("leaves") - F.col("root")) > 1e-6 * F.col("root"))).first()[0]
     return scored.agg(
+        F.lit(int(area > 0.9)).cast("bigint").alias("fits_training_rows"),
+        F.lit(uneven).cast("bigint").alias("trees_with_lost_cover"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if(p.between(0.0, 1.0)).alias("in_range"),
         F.lit(model.stages[-1].getNumTrees).cast("bigint").alias("trees"),
@@ -65,7 +74,12 @@ def train_model(spark, sf_dir):
 
 
 def cv_auc(spark, sf_dir):
-    return training.cross_validate(model_columns(training_table(spark, sf_dir)), trees=TREES, max_depth=MAX_DEPTH)
+    """Of the fixed forest, by folds of a hash that any engine has."""
+    scored = pinned_scores(spark, feature_rows(spark, sf_dir)).select("student_id", F.round("churn_risk", 9).alias("churn_risk"))
+    labels = training_table(spark, sf_dir).select("student_id", F.col("abandono").alias(training.LABEL))
+    digit = F.instr(F.lit("0123456789abcdef"), F.left(F.md5(F.col("student_id").cast("string").cast("binary")), F.lit(1)))
+    fold = F.pmod(digit, F.lit(training.FOLDS)).cast("int")
+    return training.auc_by(scored.join(labels, "student_id").withColumn("fold", fold), "fold")
 
 
 def auc(spark, sf_dir):
@@ -166,7 +180,7 @@ n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS students
 FROM (SELECT abandono, count(*) AS n FROM training GROUP BY abandono), (SELECT CAST(range AS INT) AS fold FROM range(5))""",
         "training",
     ),
-    "train_model": f"""SELECT count(*) AS rows, count(*) AS in_range, {TREES} AS trees,
+    "train_model": f"""SELECT count(*) AS rows, count(*) AS in_range, {TREES} AS trees, 1 AS fits_training_rows, 0 AS trees_with_lost_cover,
 9 + (SELECT count(DISTINCT CASE WHEN c_custkey % 11 = 0 THEN 'None' ELSE c_mktsegment END) FROM customer) AS encoded_columns,
 {MAX_DEPTH} AS max_depth FROM customer""",
     "auc": statement(
@@ -177,6 +191,17 @@ FROM (SELECT round(churn_risk, 9) AS churn_risk, abandono FROM scored JOIN train
         "scored",
         "training",
     ),
+    "cv_auc": statement(
+        """SELECT fold, count(*) AS rows, CAST(sum(abandono) AS BIGINT) AS positives,
+round((sum(CASE WHEN abandono = 1 THEN r END) - sum(abandono) * (sum(abandono) + 1) / 2.0)
+  / nullif(sum(abandono) * (count(*) - sum(abandono)), 0), 9) AS auc
+FROM (SELECT fold, abandono, rank() OVER (PARTITION BY fold ORDER BY churn_risk)
+  + (count(*) OVER (PARTITION BY fold, churn_risk) - 1) / 2.0::DOUBLE AS r
+  FROM (SELECT round(churn_risk, 9) AS churn_risk, abandono, CAST(instr('0123456789abcdef', md5(CAST(student_id AS VARCHAR))[1]) % 5 AS INT) AS fold
+    FROM scored JOIN training USING (student_id))) GROUP BY fold""",
+        "scored",
+        "training",
+    ),
     "score_all_rf": f"SELECT count(*) AS n, count(*) AS students, count(*) AS in_range, '{ASOF}' AS asof_date FROM customer",
     "model_roundtrip": "SELECT count(*) AS n, 0 AS different, 1 AS same_contract FROM customer",
     "score_all": statement(f"SELECT student_id, '{ASOF}' AS asof_date, {_RISK} FROM scored", "scored"),

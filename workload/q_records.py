@@ -48,7 +48,14 @@ def normalize_records(spark, sf_dir):
 
 
 def rejected_records(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").withColumn("top_reasons", F.array().cast("array<struct<feature:string>>"))
+    """One reason each, of which some have an impact that is no number."""
+    reason = F.struct(
+        F.lit("plan").alias("feature"),
+        F.when(F.col("record_id") % 47 == 0, "much").otherwise("0.5").alias("impact"),
+        F.lit("sube_riesgo").alias("effect"),
+        F.lit("x").alias("value"),
+    )
+    rows = view(spark, sf_dir, "records").withColumn("reasons", F.array(reason))
     return records.rejected_records(rows).select("record_id", "rejected")
 
 
@@ -56,7 +63,7 @@ def candidates(spark, sf_dir):
     return _flat(records.pick_candidates(_normalized(spark, sf_dir)), "record_id", "tier")
 
 
-def json_records_scan(spark, sf_dir):
+def _json_arrays(spark, rows):
     """Records written as files of one JSON array each, read back."""
 
     def array_files(batches):
@@ -71,14 +78,42 @@ def json_records_scan(spark, sf_dir):
         yield pd.DataFrame({"line": ["]"]})
 
     path = work_path(spark, "json")
-    lines = _normalized(spark, sf_dir).select(F.to_json(F.struct("customer_id", "asof_date", "prob_churn", "top_reasons")).alias("line"))
-    lines.mapInPandas(array_files, "line string").write.text(path)
-    return _flat(files.json_records_scan(spark, path))
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("line")).mapInPandas(array_files, "line string").write.text(path)
+    return files.json_records_scan(spark, path)
+
+
+def json_records_scan(spark, sf_dir):
+    rows = _normalized(spark, sf_dir).select("customer_id", "asof_date", "prob_churn", "top_reasons")
+    return _flat(_json_arrays(spark, rows).withColumn("customer_id", F.col("customer_id").cast("bigint")))
+
+
+def campaign_from_json(spark, sf_dir):
+    """Records from files, some with text ids, an address or a context of their own, up to checked messages."""
+    k = F.col("record_id")
+    rows = _normalized(spark, sf_dir).select(
+        F.when(k % 13 == 0, F.concat(F.lit("C-"), F.col("customer_id"))).otherwise(F.col("customer_id").cast("string")).alias("customer_id"),
+        "asof_date",
+        "prob_churn",
+        "top_reasons",
+        F.when(k % 9 == 0, F.concat(F.lit(" own"), k, F.lit("@example.net"))).alias("email"),
+        F.when(k % 3 == 0, "Intensive").alias("product"),
+        F.when(k % 4 == 0, "VIP").alias("segment"),
+        F.when(k % 2 == 0, k % 90).alias("days_inactive"),
+        F.concat(F.lit("r"), k).alias("campaign_id"),
+    )
+    picked = records.pick_candidates(_json_arrays(spark, rows))
+    payload = messages.message_payload(messages.enrich_contacts(picked, view(spark, sf_dir, "contacts")))
+    checked = messages.validate_messages(messages.render_messages(payload))
+    facts = payload.select(
+        "campaign_id", "customer.customer_id", "customer.email", "customer.plan", "customer.segment", "context.days_inactive", "idempotency_key"
+    )
+    made = checked.select(F.col("metadata")["campaign_id"].alias("campaign_id"), "subject", "is_valid")
+    return facts.join(made, "campaign_id")
 
 
 def json_export(spark, sf_dir):
     path = files.json_export(_normalized(spark, sf_dir), work_path(spark, "export"))
-    return _flat(files.json_lines_scan(spark, path))
+    return _flat(files.json_lines_scan(spark, path).withColumn("customer_id", F.col("customer_id").cast("bigint")))
 
 
 def _payload(spark, sf_dir):
@@ -177,6 +212,7 @@ QUERIES = {
     "candidates": candidates,
     "json_records_scan": json_records_scan,
     "json_export": json_export,
+    "campaign_from_json": campaign_from_json,
     "message_payload": message_payload,
     "reason_text": reason_text,
     "prompt_text": prompt_text,
@@ -194,14 +230,25 @@ _NL = "' || chr(10) || '"
 ORACLES = {
     "normalize_records": statement(f"SELECT record_id, {_FLAT} FROM normalized WHERE {_VALID}", "normalized"),
     "rejected_records": statement(
-        """SELECT record_id, CASE WHEN customer_id IS NULL THEN 'missing_id' ELSE 'probability_out_of_range' END AS rejected FROM (
+        """SELECT record_id, CASE WHEN record_id % 47 = 0 THEN 'malformed' WHEN customer_id IS NULL THEN 'missing_id' ELSE 'probability_out_of_range' END AS rejected FROM (
 SELECT record_id, CASE WHEN customer_id IS NOT NULL AND customer_id <> 0 THEN customer_id ELSE student_id END AS customer_id,
-coalesce(prob_churn, 0.0) AS prob_churn FROM records) WHERE customer_id IS NULL OR NOT (prob_churn BETWEEN 0 AND 1)""",
+coalesce(prob_churn, 0.0) AS prob_churn FROM records) WHERE record_id % 47 = 0 OR customer_id IS NULL OR NOT (prob_churn BETWEEN 0 AND 1)""",
         "records",
     ),
     "candidates": statement(f"SELECT record_id, tier, {_FLAT} FROM picked", "picked"),
     "json_records_scan": statement(f"SELECT {_FLAT} FROM normalized WHERE {_VALID}", "normalized"),
     "json_export": statement(f"SELECT {_FLAT} FROM normalized WHERE {_VALID}", "normalized"),
+    "campaign_from_json": statement(
+        """SELECT 'r' || record_id AS campaign_id, cid AS customer_id, email, coalesce(plan, 'Monthly') AS plan,
+CASE WHEN record_id % 4 = 0 THEN 'VIP' ELSE 'General' END AS segment, CASE WHEN record_id % 2 = 0 THEN record_id % 90 END AS days_inactive,
+concat_ws('|', cid, nullif(asof_date, '')) AS idempotency_key,
+left('Your place in ' || CASE WHEN record_id % 3 = 0 THEN 'Intensive' ELSE 'Your plan' END || ', ' || coalesce(nullif(name, ''), 'Customer'), 120) AS subject,
+true AS is_valid FROM (SELECT p.*, c.name, c.plan, trim(CASE WHEN record_id % 9 = 0 THEN 'own' || record_id || '@example.net' ELSE c.email END) AS email
+FROM (SELECT *, CASE WHEN record_id % 13 = 0 THEN 'C-' ELSE '' END || customer_id AS cid FROM picked) p
+LEFT JOIN contacts c ON CAST(c.student_id AS VARCHAR) = cid) WHERE email <> ''""",
+        "picked",
+        "contacts",
+    ),
     "message_payload": statement(
         f"""SELECT record_id, customer_id, name, email, 'Your plan' AS product, plan, 'General' AS segment, 'en' AS language,
 prob_churn AS churn_prob, tier, n_reasons, {_ELIGIBLE}, 'Reply YES to continue' AS cta_label, idempotency_key FROM payload""",
@@ -213,14 +260,10 @@ FROM normalized WHERE {_VALID}""",
         "normalized",
     ),
     "prompt_text": statement(
-        f"""SELECT record_id, 'Write one retention e-mail in English for the customer below.{_NL}'
-|| 'Be brief and respectful, use no links, ask for a reply, mention the offer once if there is one.{_NL}'
-|| 'Answer with one JSON object with the keys subject, html_body, text_body, cta_label, compliance_note, language, idempotency_key, metadata.{_NL}'
-|| 'Customer id: ' || customer_id || '{_NL}Name: ' || name || '{_NL}Product and plan: Your plan / ' || plan
-|| '{_NL}Segment: General{_NL}Churn probability: ' || printf('%.4f', prob_churn) || ' (tier ' || tier || '){_NL}Reasons: ' || labels_txt
-|| '{_NL}Days inactive: none{_NL}Last interaction: none{_NL}Offer eligible: ' || CASE WHEN eligible THEN 'true' ELSE 'false' END
-|| '{_NL}Offer code: ' || CASE WHEN eligible THEN 'SAVE10' ELSE 'none' END || '{_NL}Offer percent: ' || CASE WHEN eligible THEN '10' ELSE '0' END
-|| '{_NL}Call to action: Reply YES to continue' AS prompt FROM payload""",
+        f"""SELECT record_id, concat_ws(chr(10), 'cta.label = Reply YES to continue', 'customer.id = ' || customer_id, 'customer.name = ' || name,
+'customer.plan = ' || plan, 'customer.product = Your plan', 'customer.segment = General', CASE WHEN eligible THEN 'offer_policy.code = SAVE10' END,
+'offer_policy.discount = ' || CASE WHEN eligible THEN 10 ELSE 0 END, 'risk.tier = ' || tier, 'risk.churn_prob = ' || printf('%.4f', prob_churn),
+'risk.top_reasons = ' || labels_txt, '', '{messages.BRIEF}') AS prompt FROM payload""",
         "payload",
     ),
     "render_messages": statement(
