@@ -3,7 +3,7 @@
 Words are lower-cased (A-Z) runs of ASCII letters, digits and all characters beyond ASCII. A window is `span` consecutive
 words of an item; an item with fewer words is one window. Both sides keep, of every run of `span - gram + 1` consecutive
 word grams, the one with the least hash (the first of equals): a span that documents and items share holds the same kept
-gram, so joining kept grams misses none. Shorter items have spans, and so kept grams, of their own length. Every hit is
+gram, so joining kept grams misses none; grams are joined by hash. Shorter items have spans, and so kept grams, of their own length. Every hit is
 extended to the windows around it, which are compared as text.
 """
 
@@ -20,6 +20,8 @@ SPAN = 10
 GRAM = 5
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOW = (1 << 31) - 1
 
 
 def lowered(text: Column) -> Column:
@@ -42,20 +44,19 @@ def _kept_grams(rows: DataFrame, span: int) -> DataFrame:
     gram = min(GRAM, span)
     width = span - gram + 1
     keys = [c for c in rows.columns if c != "words"]
-    hashed = rows.where(F.size("words") >= span).withColumn(
-        "grams",
-        F.transform(
-            _upto(F.size("words") - gram + 1),
-            lambda i: F.struct(F.xxhash64(F.slice("words", i, gram)).alias("hash"), i.alias("pos")),
-        ),
+    marked = rows.where(F.size("words") >= span).select(*keys, F.transform("words", lambda w: F.hash(w)).alias("marks"))
+    hashed = marked.withColumn(
+        "grams", F.transform(_upto(F.size("marks") - gram + 1), lambda i: _placed_hash(F.slice("marks", i, gram), i))
     )
-    least = hashed.select(
-        *keys,
-        F.transform(_upto(F.size("grams") - width + 1), lambda i: F.array_min(F.slice("grams", i, width))).alias("least"),
-    )
-    # Neighbouring runs keep the same gram; positions never go back.
-    kept = F.filter("least", lambda x, i: (i == 0) | (F.get("least", i - 1)["pos"] != x["pos"]))
-    return least.select(*keys, F.lit(span).alias("span"), F.inline(kept))
+    least = F.transform(_upto(F.size("grams") - width + 1), lambda i: F.array_min(F.slice("grams", i, width)))
+    kept = hashed.select(*keys, F.lit(span).alias("span"), F.explode(F.array_distinct(least)).alias("kept"))
+    pos = F.col("kept").bitwiseAND(F.lit(_LOW)).cast("int")
+    return kept.select(*keys, "span", F.shiftright("kept", 31).alias("hash"), pos.alias("pos"))
+
+
+def _placed_hash(gram: Column, pos: Column) -> Column:
+    """A 31-bit hash of word hashes above the position (arrays have at most 2^31 elements): the least one is the first of the least."""
+    return F.shiftleft(F.hash(gram).cast("long").bitwiseAND(F.lit(_LOW)), 31).bitwiseOR(pos.cast("long"))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -80,7 +81,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     plain = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("mark"),
-        F.regexp_count(lowered(F.coalesce(text, F.lit(""))), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_ANY_CASE)).cast("long").alias("n_words"),
     )
     if not spans:
         return _report(plain.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")}), with_mark)
