@@ -17,7 +17,7 @@ from workload.tables import ASOF, core
 # The library's own forest; only the labelled rows it is fitted on are bounded.
 TREES = training.TREES
 MAX_DEPTH = training.MAX_DEPTH
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 500
 HORIZON_DAYS = 90
 
 _bundles: dict[tuple[str, str], str] = {}
@@ -60,9 +60,13 @@ def model_columns(table: DataFrame) -> DataFrame:
     return table.withColumnRenamed("student_id", "customer_id")
 
 
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded sample of labelled rows that the model is fitted on."""
+    return training.bounded_rows(model_columns(training_table(spark, sf_dir)), "customer_id", TRAIN_ROWS)
+
+
 def train_bundle(spark: SparkSession, sf_dir: str, trees: int = TREES, max_depth: int = MAX_DEPTH) -> str:
-    rows = training.bounded_rows(model_columns(training_table(spark, sf_dir)), "customer_id", TRAIN_ROWS)
-    model, contract = training.train(rows, trees=trees, max_depth=max_depth)
+    model, contract = training.train(training_rows(spark, sf_dir), trees=trees, max_depth=max_depth)
     return models.save_bundle(spark, model, contract, work_path(spark, "model"))
 
 

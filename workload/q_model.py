@@ -16,6 +16,7 @@ from workload.model import (
     bundle,
     feature_rows,
     model_columns,
+    training_rows,
     training_table,
 )
 from workload.oracle import NUMBERS, statement
@@ -55,7 +56,7 @@ def train_model(spark, sf_dir):
     model, contract = models.load_bundle(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model)
     p = F.col("churn_risk")
-    labels = training_table(spark, sf_dir).select("student_id", F.col("abandono").alias(training.LABEL))
+    labels = training_rows(spark, sf_dir).select(F.col("customer_id").alias("student_id"), F.col("abandono").alias(training.LABEL))
     area = training.auc(scored.join(labels, "student_id"))
     nodes = forest.nodes_of_model(spark, models.forest_folder(spark, path))
     covers = nodes.groupBy("tree_id").agg(
