@@ -61,7 +61,7 @@ class Packed:
     @property
     def owners(self) -> int:
         """Key ranges: as many as keep the keys of one range at those of a few batches."""
-        return max(16, self.batches // 4)
+        return max(16, self.batches // 2)
 
 
 def ids_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

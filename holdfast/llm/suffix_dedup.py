@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with suffix arrays of shards.
 
-All texts are looked at as UTF-8 bytes. Every window of `window` bytes has an anchor: of its grams of 16 bytes the one with
+All texts are looked at as UTF-8 bytes. Every window of `window` bytes has an anchor: of its grams of 32 bytes the one with
 the least hash (the first of equals). Equal windows have equal anchors at equal places, so the windows of an anchor, which
 are neighbours and make a piece of text, are only compared with pieces of the same anchor. Anchors that only one document
 holds are dropped first; the pieces of the others go to the shard of their anchor.
@@ -28,8 +28,10 @@ from holdfast.llm.components import stored
 from holdfast.llm.words import mix
 
 WINDOW = 50
-GRAM = 16
-PART_BYTES = 8 << 20
+GRAM = 32
+SHARDS_PER_OWNER = 8
+PART_BYTES = 3 << 20
+STRETCH = 1 << 20
 SPARE_BITS = 10
 
 
@@ -58,13 +60,32 @@ def first_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(content: dict, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window, number of windows and document (its position) of every piece of a batch."""
+    """Anchor hash, first window, number of windows and document (its position) of every piece of a batch.
+
+    Whole documents are taken together up to about `STRETCH` bytes, to bound memory.
+    """
     data, lens = np.frombuffer(content["bytes"], np.uint8), content["lens"]
+    ends, found, low = np.cumsum(lens), [], 0
+    while low < len(lens):
+        base = int(ends[low - 1]) if low else 0
+        high = max(int(np.searchsorted(ends, base + STRETCH, side="right")), low + 1)
+        key, start, count, doc = _pieces(data[base : int(ends[high - 1])], lens[low:high], window)
+        found.append((key, start + base, count, doc + low))
+        low = high
+    if not found:
+        found = [_pieces(data, lens, window)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _pieces(data: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(data) < window:
         return np.zeros(0, np.uint64), none, none, none
     words = _words8(data)
-    h = mix(words[: len(data) - GRAM + 1] ^ mix(words[8 : len(data) - GRAM + 9] + np.uint64(GRAM)))
+    h = words[: len(data) - GRAM + 1]
+    for at in range(8, GRAM, 8):
+        h = mix(h + np.uint64(at)) ^ words[at : len(data) - GRAM + 1 + at]
+    h = mix(h)
     at = first_least(h, window - GRAM + 1)
     ends = np.repeat(np.cumsum(lens), lens)
     start = np.flatnonzero(np.arange(window, len(data) + 1) <= ends[: len(data) - window + 1])
@@ -73,7 +94,8 @@ def pieces(content: dict, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     anchor = at[start]
     first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(anchor) != 0)])
     doc = np.searchsorted(np.cumsum(lens), start[first], side="right")
-    return h[anchor[first]], start[first], np.diff(np.r_[first, len(start)]), doc
+    # Least hashes are small ones: mixed again, they spread over all ranges of keys.
+    return mix(h[anchor[first]]), start[first], np.diff(np.r_[first, len(start)]), doc
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,43 +178,62 @@ def least_of_windows(data: np.ndarray, doc: np.ndarray, is_start: np.ndarray, wi
 
 
 def _shard(window: int):
-    """Decide the windows of one part of a shard."""
+    """Decide the windows of one part of a shard. Equal pieces are sorted once, for the least of their documents."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts, bucket = int(group["parts"].iloc[0]), int(group["bucket"].iloc[0])
-        got = [b.expand(x) for x in group["data"]]
-        counts = [x["windows"] for x in got]
-        lens = np.concatenate(counts) + window - 1
-        data = np.frombuffer(b"".join(x["bytes"] for x in got), np.uint8)
-        doc = np.repeat(np.concatenate([x["docs"] for x in got]), lens)
-        ends = np.repeat(np.cumsum(lens), lens)
-        is_start = np.arange(len(data)) + window <= ends
-        at, least, number = least_of_windows(data, doc, is_start, window)
+        got, gids = [b.expand(x) for x in group["data"]], group["gid"].to_numpy()
+        seen, number = {}, []
+        for x in got:
+            ends = np.cumsum(x["windows"] + window - 1).tolist()
+            number += [seen.setdefault(x["bytes"][low:high], len(seen)) for low, high in zip([0, *ends], ends)]
+        number, docs = np.array(number, np.int64), np.concatenate([x["docs"] for x in got])
+        windows = np.concatenate([x["windows"] for x in got])
+        first = np.full(len(seen), b.NO_ID)
+        np.minimum.at(first, number, docs)
+
+        lens = np.fromiter(map(len, seen), np.int64, len(seen))
+        data = np.frombuffer(b"".join(seen), np.uint8)
+        piece = np.repeat(np.arange(len(seen)), lens)
+        is_start = np.arange(len(data)) + window <= np.cumsum(lens)[piece]
+        doc = first[piece]
+        at, least, _ = least_of_windows(data, doc, is_start, window)
         gone = np.zeros(len(data), bool)
         gone[at] = doc[at] > least
-        bits = gone[is_start]
-        cuts = np.cumsum([int(c.sum()) for c in counts])
+
+        # From the windows of each piece to those of its copies.
+        begin = (np.cumsum(lens) - lens)[number]
+        inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        bits = gone[np.repeat(begin, windows) + inside] | np.repeat(docs > first[number], windows)
+        total = np.array([int(x["windows"].sum()) for x in got])
         rows = [
-            (int(gid), bucket, 0, b.squeeze(np.packbits(x)))
-            for gid, x in zip(group["gid"], np.split(bits, cuts[:-1]), strict=True)
+            (int(gid), bucket, 0, b.squeeze(np.packbits(x))) for gid, x in zip(gids, np.split(bits, np.cumsum(total)[:-1]), strict=True)
         ]
         if parts > 1:
-            rows += _open_windows(group["gid"].to_numpy(), cuts, data, doc, is_start, at[doc[at] == least], window, bucket, parts)
+            batch = np.repeat(np.arange(len(got)), [len(x["windows"]) for x in got])
+            local = np.cumsum(windows) - windows - (np.cumsum(total) - total)[batch]
+            held = np.flatnonzero(docs == first[number])
+            held = held[np.argsort(number[held], kind="stable")]
+            open_at = at[doc[at] == least]
+            low = np.searchsorted(number[held], piece[open_at], side="left")
+            n = np.searchsorted(number[held], piece[open_at], side="right") - low
+            each = np.repeat(np.arange(len(open_at)), n)
+            copy = held[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(each))]
+            at = open_at[each]
+            place = local[copy] + at - (np.cumsum(lens) - lens)[piece[at]]
+            rows += _open_windows(data, at, doc[at], gids[batch[copy]], place, window, bucket, parts)
         return pd.DataFrame(rows, columns=["gid", "bucket", "kind", "data"])
 
     return run
 
 
-def _open_windows(gids, cuts, data, doc, is_start, at, window, bucket, parts) -> Iterator[tuple]:
+def _open_windows(data, at, docs, gids, place, window, bucket, parts) -> Iterator[tuple]:
     """Rows for the merge, by a hash of the window's first bytes: windows in order, document, batch and number."""
-    number = np.cumsum(is_start) - 1
-    batch = np.searchsorted(cuts, number[at], side="right")
-    local = number[at] - np.r_[0, cuts][batch]
     text = np.lib.stride_tricks.sliding_window_view(data, window)[at]
     owner = mix(_words8(data)[at]) % np.uint64(parts)
     for r in np.unique(owner).tolist():
         mine = owner == r
-        made = {"text": text[mine].tobytes(), "docs": doc[at][mine], "gid": gids[batch[mine]], "number": local[mine]}
+        made = {"text": text[mine].tobytes(), "docs": docs[mine], "gid": gids[mine], "number": place[mine]}
         yield int(r), bucket, 1, b.squeeze(made)
 
 
@@ -251,7 +292,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, part_bytes: int =
         if not len(keys):
             return
         live = np.flatnonzero(b.answers(row, "anchors", keys, bits, owners, bool)[number])
-        bucket = np.searchsorted(b.cut(keys, bits, owners)[1:], number[live], side="right")
+        bucket = np.searchsorted(b.cut(keys, bits, owners * SHARDS_PER_OWNER)[1:], number[live], side="right")
         ids, text = content["ids"], content["bytes"]
         seen, mine = {}, np.zeros(len(live), np.int64)
         for k, i in enumerate(live.tolist()):
