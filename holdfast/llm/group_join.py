@@ -6,12 +6,13 @@ link when 100 * intersection >= percent * union. The result is exact up to equal
 1. Equal sets are one class. Of every class the tokens below a hash threshold are counted over all classes. A token that no
    other class has is a miss against every other; a class with more misses than a link allows is alone. What is left are
    the candidates, whose whole sets are made.
-2. Candidates keep a prefix of their sets so long that two that link share a token of it. Each shared token names a leader
-   among its classes, and every class is compared with the leader that most of its tokens name. The links partition similar
-   classes into groups, split into blocks of bounded size.
-3. The token-group matrix: every shared token with the blocks that have it. A class outside a group that meets one of its
-   blocks is bounded by the overlap with the block's union of tokens. Only blocks where the bound suffices are opened, and
-   their members compared. Pairs inside a group need no comparison, as they are connected already.
+2. Candidates keep the tokens below a second threshold, and a prefix of the least tokens so long that two that link share
+   one of it. In a few rounds every class not yet linked is compared with one leader, the class that most of its tokens
+   name. The links found make groups; classes left alone join the ones with the same leader. Groups are split into blocks
+   of bounded size.
+3. The token-group matrix: every kept token with the blocks that have it, which is a block's union of tokens. Joining a
+   class with it counts the overlap with each block, and bounds the tokens that it misses in all members. Only blocks
+   within the allowed misses are opened, and their members compared. Pairs that links connect already need no comparison.
 4. Components over all links.
 """
 
@@ -28,15 +29,18 @@ from holdfast.llm.words import coded, hashes, mix, rolled, slices, split, starts
 PERCENT = 75
 SHINGLE = 5
 COUNTED = 0.4
+KEPT = 0.5
+ROUNDS = 4
 BLOCK = 128
 
-_LOW = np.uint64((1 << 52) - 1)
+_BITS = 52
+_LOW = np.uint64((1 << _BITS) - 1)
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner and token (52 bits of a hash) of every distinct shingle, in order; and where each text's tokens start.
+    """Owner and token of every distinct shingle, in order; and where each text's tokens start.
 
-    At most 4096 texts at once, so that both fit one number.
+    A token is 52 bits of a hash. At most 4096 texts at once, so that owner and token fit one number.
     """
     n = len(texts)
     words, owner = split(texts, lower=True)
@@ -54,9 +58,9 @@ def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens.append(mix(value))
         owners.append(short)
     token, own = np.concatenate(tokens) & _LOW, np.concatenate(owners).astype(np.uint64)
-    key = np.sort((own << np.uint64(52)) | token)
+    key = np.sort((own << np.uint64(_BITS)) | token)
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    own = (key >> np.uint64(52)).astype(np.int64)
+    own = (key >> np.uint64(_BITS)).astype(np.int64)
     return own, (key & _LOW).astype(np.int64), starts_of(own, n)[0]
 
 
@@ -90,7 +94,7 @@ def _describe(part, own, tokens, first, size, cls):
 def _counted(part, own, tokens, first, size, cls):
     """The tokens below the threshold with their class."""
     usable = ~np.asarray(part.column("doc_id").is_null())
-    at = np.flatnonzero((tokens < int(COUNTED * (1 << 52))) & usable[own])
+    at = np.flatnonzero((tokens < int(COUNTED * (1 << _BITS))) & usable[own])
     return pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(cls[own[at]])], ["token", "cls"])
 
 
@@ -100,15 +104,15 @@ def _whole(part, own, tokens, first, size, cls):
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cls), lists], ["doc_id", "cls", "tokens"])
 
 
-def _links(a: str, b: str, percent: int):
+def _links(a, b, percent: int):
     """Whether two arrays of distinct tokens link."""
     both = F.size(F.array_intersect(a, b))
     return both * 100 >= (F.size(a) + F.size(b) - both) * percent
 
 
-def _sizes_fit(a: str, low: str, high: str, percent: int):
-    """Whether a set of size `a` can link with one of a size from `low` to `high`."""
-    return (F.col(a) * 100 >= F.col(low) * percent) & (F.col(high) * 100 >= F.col(a) * percent)
+def _allowed_misses(n: str, percent: int):
+    """How many tokens of a set of size n may be missing from a set that links with it."""
+    return F.col(n) - F.ceil(F.col(n) * percent / 100)
 
 
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -122,16 +126,9 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     base = stored(docs.mapInArrow(_per_document(k, _describe), "doc_id long, mark long, n_shingles long, cls long"), "sets")
     sets = _candidate_sets(docs, base, k, percent)
-    shared = _shared_prefixes(sets, percent)
-
-    named_by = shared.where(F.col("cls") != F.col("leader")).groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    pairs = named_by.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    pairs = pairs.join(sets.select("cls", F.col("tokens").alias("own")), "cls")
-    pairs = pairs.join(sets.select(F.col("cls").alias("leader"), "tokens"), "leader")
-    found = stored(pairs.where(_links("own", "tokens", percent)).select("cls", "leader"), "found")
-
-    more = _open_groups(shared.select("token", "cls", "n"), sets, components(found, "cls", "leader"), percent)
-    links = found.select(F.col("cls").alias("a"), F.col("leader").alias("b")).unionByName(more)
+    kept = _kept_tokens(sets, percent)
+    found, first = _leader_links(kept, sets, percent)
+    links = found.unionByName(_open_groups(kept, sets, components(found, "a", "b"), first, percent))
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
     named = base.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -140,13 +137,8 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), "mark")
 
 
-def _allowed_misses(n: str, percent: int):
-    """How many tokens of a set of size n may be missing from a set that links with it."""
-    return F.col(n) - F.ceil(F.col(n) * percent / 100)
-
-
 def _candidate_sets(docs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cls, n, tokens) of the classes that may link with another one."""
+    """(cls, n, tokens, low) of the classes that may link with another one; `low` tokens are below the KEPT threshold."""
     counted = docs.mapInArrow(_per_document(k, _counted), "token long, cls long")
     ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
     misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
@@ -157,37 +149,74 @@ def _candidate_sets(docs: DataFrame, base: DataFrame, k: int, percent: int) -> D
     chosen = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>")
     sets = sets.join(reps, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
-    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens"), "tokens")
-
-
-def _shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, leader) for every prefix token that several classes have; the leader is the least of them."""
-    length = (_allowed_misses("n", percent) + 1).cast("int")
-    prefixes = sets.select("cls", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
-    ends = prefixes.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last"))
-    return stored(prefixes.join(ends.where("leader < last").drop("last"), "token"), "shared")
-
-
-def _open_groups(shared: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different groups that share a prefix token."""
+    low = F.size(F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS))))
+    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens", low.alias("low")), "tokens")
+
+
+def _kept_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n, low, is_low) for the low and the prefix tokens of every class that other classes keep too."""
+    length = F.greatest(F.col("low"), (_allowed_misses("n", percent) + 1).cast("int"))
+    rows = sets.select("cls", "n", "low", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
+    ends = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
+    shared = rows.join(ends, "token", "left_semi")
+    return stored(shared.select("token", "cls", "n", "low", (F.col("at") < F.col("low")).alias("is_low")), "kept")
+
+
+def _leader_links(kept: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with leaders, and (cls, leader) of the first round. Each round orders the classes differently."""
+    found = first = None
+    for r in range(ROUNDS):
+        order = F.xxhash64(F.lit(r), "cls")
+        leaders = kept.groupBy("token").agg(F.min_by("cls", order).alias("leader"))
+        votes = kept.join(leaders, "token").where("cls <> leader")
+        if found is not None:
+            linked = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+            votes = votes.join(linked, "cls", "left_anti")
+        votes = votes.groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"))
+        named = votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+        if first is None:
+            named = first = stored(named, "leaders")
+        pairs = named.join(sets.select("cls", F.col("tokens").alias("own")), "cls")
+        pairs = pairs.join(sets.select(F.col("cls").alias("leader"), "tokens"), "leader")
+        new = stored(pairs.where(_links("own", "tokens", percent)).select(F.col("cls").alias("a"), F.col("leader").alias("b")), "found")
+        found = new if found is None else found.unionByName(new)
+    return found, first
+
+
+def _open_groups(kept: DataFrame, sets: DataFrame, grouped: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that are not connected yet."""
     labels = grouped.select(F.col("node").alias("cls"), "root")
-    rows = shared.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    spans = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rows = stored(rows.join(spans, "token", "left_semi"), "unsettled")
-    members = rows.select("root", "cls").distinct()
-    parts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = members.join(parts, "root").select("root", "cls", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"))
+    leaders = first.join(labels.withColumnsRenamed({"cls": "leader", "root": "near"}), "leader", "left")
+    leaders = leaders.select("cls", F.coalesce("near", "leader").alias("near"))
+    members = kept.select("cls", "n").distinct().join(labels, "cls", "left").join(leaders, "cls", "left")
+    members = members.select(
+        "cls",
+        # Sizes of sets that link are in the same or in neighbouring classes.
+        F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("size"),
+        F.coalesce("root", "cls").alias("root"),
+        F.col("root").isNull().alias("alone"),
+        F.coalesce("root", "near", "cls").alias("group"),
+    )
+    members = stored(members, "members")
+    parts = members.groupBy("group", "alone", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    name = F.xxhash64("group", "alone", "size", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    placed = members.join(parts, ["group", "alone", "size"])
+    placed = placed.select("cls", "size", "root", "alone", "group", name.alias("block"))
     placed = stored(placed, "placed")
 
-    matrix = rows.join(placed.drop("root"), "cls").groupBy("token", F.col("root").alias("group"), "block")
-    matrix = matrix.agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = rows.join(matrix, "token").where(F.col("root") < F.col("group")).where(_sizes_fit("n", "low", "high", percent))
-    met = met.select("cls", "group", "block").distinct()
-    blocks = placed.join(sets, "cls").groupBy(F.col("root").alias("group"), "block")
-    blocks = blocks.agg(F.collect_list(F.struct("cls", "tokens")).alias("members"))
-    blocks = blocks.withColumn("union", F.array_distinct(F.flatten("members.tokens")))
-    opened = met.join(sets.select("cls", F.col("tokens").alias("own")), "cls").join(blocks, ["group", "block"])
-    opened = opened.where(F.size(F.array_intersect("own", "union")) * 100 >= F.size("own") * percent)
-    # One link joins the class to the whole group, which is connected already.
-    hit = F.get(F.filter("members", lambda m: _links("own", m["tokens"], percent)), F.lit(0))["cls"]
-    return stored(opened.select(F.col("cls").alias("a"), hit.alias("b")).where("b IS NOT NULL"), "opened")
+    # A class that is alone asks all blocks of a fitting size; a class of a group those of later groups.
+    rows = kept.join(placed, "cls")
+    names = {"group": "other", "alone": "others_alone", "size": "others_size"}
+    matrix = rows.select("token", "block", *names).withColumnsRenamed(names).distinct()
+    asked = rows.drop("block", "root").join(matrix, "token").where("abs(size - others_size) <= 1")
+    asked = asked.where("alone OR (NOT others_alone AND group < other)")
+    overlap = asked.groupBy("cls", "block", "n", "low").agg(F.count_if("is_low").alias("both"))
+    opened = overlap.where(F.col("low") - F.col("both") <= _allowed_misses("n", percent)).select("cls", "block")
+
+    blocks = placed.join(sets.select("cls", "tokens"), "cls").groupBy("block")
+    blocks = blocks.agg(F.collect_list(F.struct("cls", "root", "tokens")).alias("members"))
+    queries = opened.join(placed.select("cls", "root"), "cls").join(sets.select("cls", F.col("tokens").alias("own")), "cls")
+    pairs = queries.join(blocks, "block")
+    hits = F.filter("members", lambda m: (m["root"] != F.col("root")) & _links("own", m["tokens"], percent))
+    # One link to each group of the block would do; the classes of a block are few.
+    return stored(pairs.select(F.col("cls").alias("a"), F.explode(hits["cls"]).alias("b")), "opened")
