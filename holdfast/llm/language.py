@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.components import stored
-from holdfast.llm.words import coded, slices
+from holdfast.llm.words import coded, slices, split
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 8_000
 ROUNDS = 3
 LONGEST = 8
 FLOOR = 0.1
@@ -42,14 +42,31 @@ def vocabulary_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[st
 
 
 class Pieces:
-    """The vocabulary as a sorted table of hashes; position in the table is the piece's number. The last is `other`."""
+    """The vocabulary with a number for each piece, found by hash. The last number is `other`, an unlisted character."""
+
+    SLOT_BITS = 20
 
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces), default=1)
-        named = sorted((int(self._hash(np.array([[ord(c) for c in p]], np.uint64))[0]), p) for p in pieces)
-        self.table = np.array([h for h, _ in named], np.uint64)
-        self.names = [p for _, p in named]
-        self.other = len(named)
+        self.names = sorted(pieces)
+        self.other = len(self.names)
+        hashed = [int(self._hash(np.array([[ord(c) for c in p]], np.uint64))[0]) for p in self.names]
+        self.hash = np.array([*hashed, 0], np.uint64)
+        # Two slots for each hash; the few pieces whose slots are both taken are compared one by one.
+        self.slots = [np.full(1 << self.SLOT_BITS, self.other, np.int32) for _ in range(2)]
+        self.crowded = []
+        for i, h in enumerate(hashed):
+            free = [k for k in (0, 1) if self.slots[k][self._slot(h, k)] == self.other]
+            if free:
+                self.slots[free[0]][self._slot(h, free[0])] = i
+            else:
+                self.crowded.append(i)
+
+    def _slot(self, h, k: int):
+        """The top bits, or the bits below them."""
+        if isinstance(h, int):
+            return (h >> (64 - self.SLOT_BITS * (k + 1))) & ((1 << self.SLOT_BITS) - 1)
+        return (h >> np.uint64(64 - self.SLOT_BITS * (k + 1))) & np.uint64((1 << self.SLOT_BITS) - 1)
 
     @staticmethod
     def _hash(chars: np.ndarray) -> np.ndarray:
@@ -62,22 +79,18 @@ class Pieces:
     def find(self, chars: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these characters; -1 where there is none, `other` for an unlisted character."""
         h = self._hash(chars)
-        at = np.minimum(np.searchsorted(self.table, h), max(len(self.table) - 1, 0))
-        none = self.other if chars.shape[1] == 1 else -1
-        return np.where(self.table[at] == h, at, none) if len(self.table) else np.full(len(chars), none)
-
-
-def letters(words: list[str]) -> list[tuple[int, str]]:
-    """(index of the word, run of letters) for the letter runs of lower-cased words."""
-    out = []
-    for i, w in enumerate(words):
-        w = w.lower()
-        if w.isalpha():
-            out.append((i, w))
-        else:
-            run = "".join(c if c.isalpha() else " " for c in w)
-            out += [(i, r) for r in run.split()]
-    return out
+        first, second = (slots[self._slot(h, k)] for k, slots in enumerate(self.slots))
+        number = np.where(self.hash[first] == h, first, second)
+        number[self.hash[number] != h] = self.other if chars.shape[1] == 1 else -1
+        for i in self.crowded:
+            number[h == self.hash[i]] = i
+        return number
+
+
+def letter_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All runs of letters, lower-cased, and the index of the text of each."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+", " ")
+    return split(spaced)
 
 
 def by_length(runs: list[str], most: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,20 +186,14 @@ def learn(documents: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_
     def count_words(batches):
         code = {x: i for i, x in enumerate(shared.value["langs"])}
         for part in slices(batches, "text", SLICE):
-            label = part.column("lang").to_pylist()
-            lists = pc.ascii_split_whitespace(part.column("text"))
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            distinct, codes = coded(lists.flatten())
-            key = np.array([code[x] for x in label], np.int64)[owner] * max(len(distinct), 1) + codes
-            keys, n = np.unique(key, return_counts=True)
-            lang, word = keys // max(len(distinct), 1), keys % max(len(distinct), 1)
-            runs = letters(distinct.to_pylist())
-            at = np.array([i for i, _ in runs], np.int64)
-            order, edge = np.argsort(word, kind="stable"), None
-            edge = np.searchsorted(word[order], np.arange(len(distinct) + 1))
-            rows = [(int(lang[order[j]]), runs[k][1], int(n[order[j]])) for k, i in enumerate(at) for j in range(edge[i], edge[i + 1])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "run", "n"])
+            label = np.array([code[x] for x in part.column("lang").to_pylist()], np.int64)
+            runs, owner = letter_runs(part.column("text"))
+            distinct, codes = coded(runs)
+            size = max(len(distinct), 1)
+            keys, n = np.unique(label[owner] * size + codes, return_counts=True)
+            if len(keys):
+                columns = [pa.array(keys // size), distinct.take(pa.array(keys % size)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "run", "n"])
 
     counted = sample.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counted = counted.mapInArrow(count_words, "lang long, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
@@ -217,21 +224,13 @@ def learn(documents: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_
 
 
 def _score_slice(texts: pa.Array, model: dict, pieces: Pieces) -> tuple[list[str], np.ndarray]:
+    """Language and share for every text."""
     n, langs = len(texts), model["langs"]
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    distinct, codes = coded(lists.flatten())
-    runs = letters(distinct.to_pylist())
-    word_sum = np.zeros((max(len(distinct), 1), len(langs)))
-    has = np.zeros(max(len(distinct), 1), bool)
-    if runs:
-        at = np.array([i for i, _ in runs])
-        unique = {r: k for k, r in enumerate(dict.fromkeys(r for _, r in runs))}
-        scored = word_scores(pieces, model["p"], list(unique))
-        np.add.at(word_sum, at, scored[[unique[r] for _, r in runs]])
-        has[at] = True
-    total = np.stack([np.bincount(owner, word_sum[codes, j], minlength=n) for j in range(len(langs))], axis=1)
-    any_letter = np.bincount(owner, has[codes], minlength=n) > 0
+    runs, owner = letter_runs(texts)
+    distinct, codes = coded(runs)
+    scored = word_scores(pieces, model["p"], distinct.to_pylist())
+    total = np.stack([np.bincount(owner, scored[codes, j], minlength=n) for j in range(len(langs))], axis=1)
+    any_letter = np.bincount(owner, minlength=n) > 0
     total = total + model["prior"]
     best = total.argmax(axis=1)
     share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
