@@ -28,17 +28,19 @@ SCALE = 1 << 30
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _occurrences(text: Column, characters: str) -> Column:
+    """How often any of the characters occurs."""
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in characters), F.lit(0))
+
+
 def topic_of(text: Column) -> Column:
-    """A rough topic by form: `table`, `markup`, `caps`, `short` or `prose`, by shares of characters."""
+    """A rough topic by form: `short`, `table`, `markup`, `shout` or `prose`, by shares of characters."""
     size = F.length(text)
-    pipes = F.length(F.regexp_replace(text, r"[^|]", ""))
-    marks = F.length(F.regexp_replace(text, r"[^#*$%&<>]", ""))
-    capital = F.length(F.regexp_replace(text, r"[^A-Z]", ""))
     return (
         F.when(size < 200, "short")
-        .when(pipes * 50 >= size, "table")
-        .when(marks * 20 >= size, "markup")
-        .when(capital * 2 >= size, "caps")
+        .when(_occurrences(text, "|") * 50 >= size, "table")
+        .when(_occurrences(text, "#*$%&<>") * 20 >= size, "markup")
+        .when(_occurrences(text, "!") * 50 >= size, "shout")
         .otherwise("prose")
     )
 
@@ -140,12 +142,11 @@ def keep_scale(weighted: DataFrame, keep: float) -> float:
     return high
 
 
-def weighted_draw(documents: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
-    """`describe(documents)` with weight, probability and kept.
+def weighted_draw(described: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
+    """`described` documents with weight, probability and kept.
 
     The draw compares a hash of doc_id and text with the probability, so it repeats, and equal rows get equal draws.
     """
-    described = describe(documents)
     weighted = raked_weights(described, targets)
     k = keep_scale(weighted, keep)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "crc"), F.lit(SCALE)) / F.lit(float(SCALE))
@@ -159,10 +160,11 @@ def mix_sources(documents: DataFrame, targets: dict | None = None, keep: float =
     Null source, language or text count as ''; a document without words has the weight of its cell and can be kept. Extra
     columns are ignored; an empty table gives an empty table.
     """
-    drawn = weighted_draw(documents, targets, keep)
+    described = stored(describe(documents).drop("row"), "described")
+    drawn = weighted_draw(described, targets, keep)
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
 
 
 def mixed_documents(documents: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
     """The rows of the input that the draw keeps, with all their columns."""
-    return weighted_draw(documents, targets, keep).where("kept").select("row.*")
+    return weighted_draw(describe(documents), targets, keep).where("kept").select("row.*")
