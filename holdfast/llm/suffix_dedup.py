@@ -341,9 +341,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, part_bytes: int =
             at = np.repeat(np.arange(len(k["start"])), k["count"])
             inside = np.arange(total) - np.repeat(np.cumsum(k["count"]) - k["count"], k["count"])
             gone = (ids[k["doc"]] > k["first"])[at]
-            for x, f in flags.items():
-                mine = np.flatnonzero(k["bucket"][at] == x)
-                gone[mine] |= f[k["slot"][at[mine]] + inside[mine]].astype(bool)
+            if flags:
+                names = np.array(sorted(flags))
+                flat = np.concatenate([flags[x] for x in names.tolist()])
+                base = np.cumsum([0, *(len(flags[x]) for x in names.tolist())])[:-1]
+                gone |= flat[(base[np.searchsorted(names, k["bucket"])] + k["slot"])[at] + inside].astype(bool)
             start = (k["start"][at] + inside)[gone]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + window, -1)
