@@ -72,7 +72,7 @@ def piece_content(path: str):
             "codes": b.planes(codes.astype(np.uint32)),
             "counts": np.bincount(owner, minlength=part.num_rows),
             "pieces": b.planes(flat),
-            "lens": lens.astype(np.uint16),
+            "lens": b.planes(lens.astype(np.uint32)),
         }
 
     return run
@@ -85,7 +85,7 @@ def _codes(content: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _sequence(content: dict, codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts in order, and how many each text has."""
-    lens = content["lens"].astype(np.int64)
+    lens = b.unplanes(content["lens"]).astype(np.int64)
     first = np.cumsum(lens) - lens
     each = lens[codes]
     total = int(each.sum())
@@ -360,7 +360,7 @@ def score_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
         order = np.argsort(key)
         for bucket, gid, data in b.questions(row["gid"], key[order], 64, owners, n[order]):
             yield 1, gid, bucket, data, 0
-        each = np.repeat(n, content["lens"])
+        each = np.repeat(n, b.unplanes(content["lens"]))
         pieces = b.unplanes(content["pieces"]).astype(np.int64) if len(each) else np.zeros(0, np.int64)
         counted = np.bincount(pieces, each)
         for p in np.flatnonzero(counted).tolist():

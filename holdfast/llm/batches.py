@@ -42,7 +42,7 @@ def expand(blob: bytes):
 
 def planes(values: np.ndarray) -> tuple[np.dtype, bytes]:
     """The bytes of the numbers by significance, which compresses small numbers well."""
-    return values.dtype.str, values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.dtype.str, values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
 def unplanes(packed: tuple[str, bytes]) -> np.ndarray:

@@ -8,7 +8,9 @@ from collections import Counter
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
 
 from holdfast.llm import attention_lm, language, quality_rules
 
@@ -100,6 +102,23 @@ def test_base_scores(spark, rows):
     assert attention_lm.score_documents(corpus.frame(spark, []).limit(0)).count() == 0
 
 
+def test_one_word_of_very_many_pieces(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(180_000))
+    rows = [(0, f"a {long} b"), (1, long), (3, "some more words")]
+    run = attention_lm.piece_content(attention_lm.VOCABULARY)
+    assert attention_lm._sequence(bare := run(pa.RecordBatch.from_pydict({"doc_id": [5], "text": [" "]})), *attention_lm._codes(bare))[1].tolist() == [0]
+    part = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    content = run(part)
+    pieces, per_text = attention_lm._sequence(content, *attention_lm._codes(content))
+    model = sentencepiece.SentencePieceProcessor(model_file=attention_lm.VOCABULARY)
+    want = [[p for w in t.split() for p in model.encode(w)] for _, t in rows]
+    assert len(want[1]) > 100_000
+    assert per_text.tolist() == [len(w) for w in want] and pieces.tolist() == sum(want, [])
+    got = attention_lm.score_documents(corpus.frame(spark, rows, 1)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {0: 4, 1: 2, 3: 4} and all(math.isfinite(r.score) for r in got)
+
+
 def test_model_gradients():
     rng, model = np.random.default_rng(0), attention_lm.Attention()
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
