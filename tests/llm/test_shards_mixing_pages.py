@@ -93,6 +93,38 @@ def test_mixing_meets_targets(spark):
         assert r["weight"] == pytest.approx(factor[(r["source"], r["lang"], r["topic"])], rel=0.01)
 
 
+def skewed_rows(n=6000):
+    rng = np.random.default_rng(5)
+    kinds = ["plain words here " * 20, "a | b | c | d | " * 20, "x# y* z$ w% " * 30]
+    sources = rng.choice(["hot", "warm", "small", "tiny"], n, p=[0.6, 0.37, 0.02, 0.01])
+    langs, topics = rng.choice(["en", "de", "fr"], n, p=[0.7, 0.27, 0.03]), rng.choice(3, n, p=[0.85, 0.14, 0.01])
+    return [(i, kinds[t] + str(i), str(x), str(s)) for i, (s, x, t) in enumerate(zip(sources, langs, topics, strict=True))]
+
+
+@pytest.mark.parametrize("keep, source", [(0.8, None), (0.3, None), (0.3, {"hot": 0.5, "warm": 0.46, "small": 0.03, "tiny": 0.01})])
+def test_kept_tokens_meet_targets(spark, keep, source):
+    docs = spark.createDataFrame(skewed_rows(), "doc_id long, text string, lang string, source string").repartition(5)
+    rows = [r.asDict() for r in mixing.mix_sources(docs, source and {"source": source}, keep).collect()]
+    total = sum(r["n_tokens"] for r in rows)
+    assert all(0 <= r["probability"] <= 1 for r in rows)
+    for f in ("source", "lang", "topic"):
+        there = {x: sum(r["n_tokens"] for r in rows if r[f] == x) for x in {r[f] for r in rows}}
+        want = source if source and f == "source" else mixing.soft_targets(there, mixing.SOFTEN[f])
+        level, have = keep * total, dict(there)
+        for _ in range(50):  # what a group cannot give, the others give in proportion
+            level *= keep * total / sum(min(have[x], level * want[x]) for x in have)
+        for x in have:
+            reach = min(have[x], level * want[x])
+            assert sum(r["n_tokens"] * r["probability"] for r in rows if r[f] == x) == pytest.approx(reach, rel=0.01), (f, x)
+            assert sum(r["n_tokens"] for r in rows if r[f] == x and r["kept"]) == pytest.approx(reach, rel=0.25, abs=0.003 * total)
+
+
+def test_bounded_factors():
+    n, x, group = np.array([4.0, 6.0, 10.0, 5.0, 0.0]), np.array([8.0, 1.0, 0.5, 2.0, 1.0]), np.array([0, 0, 0, 1, 2])
+    f = mixing.bounded_factors(n, x, group, np.array([12.0, 9.0, 0.0]))
+    assert (n * np.minimum(1, f[group] * x))[:3].sum() == pytest.approx(12) and f[1] == mixing.TOP and f[2] == 1
+
+
 def test_mixing_edge_cases(spark):
     rows = corpus.texts(5)
     assert mixing.mix_sources(corpus.frame(spark, rows)).count() == len(rows)
