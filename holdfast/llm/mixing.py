@@ -31,6 +31,7 @@ CLOSE = 1e-4
 TOP = 1e13
 BINS_PER_E = 200
 SCALE = 1 << 30
+CAPITALS = "[A-Z]"
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,12 +42,13 @@ def _occurrences(text: Column, characters: str) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A rough topic by form: `short`, `table`, `markup`, `shout` or `prose`, by shares of characters."""
+    """A rough topic by form: `short`, `table`, `markup`, `caps`, `shout` or `prose`, by shares of characters."""
     size = F.length(text)
     return (
         F.when(size < 200, "short")
         .when(_occurrences(text, "|") * 50 >= size, "table")
         .when(_occurrences(text, "#*$%&<>") * 20 >= size, "markup")
+        .when(F.regexp_count(text, F.lit(CAPITALS)) * 2 >= size, "caps")
         .when(_occurrences(text, "!") * 50 >= size, "shout")
         .otherwise("prose")
     )

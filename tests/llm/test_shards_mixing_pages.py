@@ -125,6 +125,12 @@ def test_bounded_factors():
     assert (n * np.minimum(1, f[group] * x))[:3].sum() == pytest.approx(12) and f[1] == mixing.TOP and f[2] == 1
 
 
+def test_topic_of_capitals(spark):
+    texts = {"caps": "BREAKING NEWS OF the DAY " * 20, "prose": "Breaking News of the Day " * 20, "shout": "What a day! " * 30}
+    docs = spark.createDataFrame(list(texts.items()), "want string, text string")
+    assert {r.want: r.got for r in docs.select("want", mixing.topic_of(F.col("text")).alias("got")).collect()} == {x: x for x in texts}
+
+
 def test_mixing_edge_cases(spark):
     rows = corpus.texts(5)
     assert mixing.mix_sources(corpus.frame(spark, rows)).count() == len(rows)
