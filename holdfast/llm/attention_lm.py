@@ -6,9 +6,9 @@ texts give the smoothed probability of the next piece. One layer of causal self-
 contexts so far, trained in numpy, corrects it: pieces have classes, and the model adds a term per class to the log
 probabilities and normalises. So log P(piece | before) = log P(class | before) + log P(piece | class, context).
 
-Training starts from a bounded seed (`SEED_BATCHES` batches) in one task. Then every batch takes steps from there on windows
-of all its training documents (every `TRAIN_STRIDE`-th window of each, the first included), and the weights are averaged over
-all batches, so what is learned from grows with the corpus.
+Training starts from a bounded seed (`SEED_BATCHES` batches) in one task, each of whose epochs takes another share of all
+windows. Then every batch takes steps from there on all windows of its training documents, and the weights are averaged over
+all batches. Each prediction, the ends included, trains once, in the window that scores it.
 
 Long texts are scored in overlapping windows: each prediction is made once, in the first window that holds it, with at least
 `CONTEXT - STRIDE` pieces before it where the text has them.
@@ -38,7 +38,6 @@ CONTEXT = 32
 STRIDE = 24
 SEED_BATCHES = 4
 SEED_EPOCHS = 3
-TRAIN_STRIDE = 16
 STEP = 64
 END = 0  # class and context of the end; the first input of every text is the end
 
@@ -289,16 +288,18 @@ def _placed(lengths, text, first):
     return np.minimum(begin[:, None] + np.arange(CONTEXT), int(lengths.sum()) - 1), real
 
 
-def train_on(model: Attention, content: dict, tables: Tables, stride: int, rate: float, seed: int) -> int:
-    """Adam steps on every `stride`-th window of each training text; how many positions were trained on."""
+def train_on(model: Attention, content: dict, tables: Tables, rate: float, seed: int, share: int = 0, shares: int = 1) -> int:
+    """Adam steps on the windows of the training texts, dealt to `shares` in turn; how many positions were trained on."""
     piece, lengths = _stream(content)
     target, seen = tables.kinds.kind[piece], _before(tables.kinds.context[piece], lengths)
-    text, first, _ = windows_of(lengths)
-    use = np.flatnonzero((first // STRIDE % stride == 0) & ~content["held"][text])
+    text, first, scored = windows_of(lengths)
+    use = np.flatnonzero(((first // STRIDE + text) % shares == share) & ~content["held"][text])
     np.random.default_rng(seed).shuffle(use)
     adam, total = Adam(model, rate), 0
     for i in range(0, len(use), STEP):
-        at, real = _placed(lengths, text[use[i : i + STEP]], first[use[i : i + STEP]])
+        now = use[i : i + STEP]
+        at, real = _placed(lengths, text[now], first[now])
+        real &= first[now, None] + np.arange(CONTEXT) >= scored[now, None]
         adam.step(model.gradients(seen[at], tables.prior[seen[at]], target[at], real))
         total += int(real.sum())
     return total
@@ -387,7 +388,7 @@ def score_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 
     def adapt(row, content):
         model = Attention().filled(shared.value)
-        n = train_on(model, content, told.value, TRAIN_STRIDE, 0.003, row["gid"] & 0xFFFF)
+        n = train_on(model, content, told.value, 0.003, row["gid"] & 0xFFFF)
         for i, x in enumerate(model.flat().tolist() if n else ()):
             yield i, float(n), x * n
 
@@ -433,7 +434,7 @@ def _seeded(packed: b.Packed, told) -> Attention:
         model = Attention()
         for epoch in range(SEED_EPOCHS):
             for i, blob in enumerate(group.sort_values("gid")["blob"]):
-                train_on(model, b.expand(blob), told.value, 4, 0.01 / (1 + epoch), epoch * 100 + i)
+                train_on(model, b.expand(blob), told.value, 0.01 / (1 + epoch), epoch * 100 + i, epoch, SEED_EPOCHS)
         return pd.DataFrame({"data": [b.squeeze(model.flat())]})
 
     few = packed.table.orderBy(F.xxhash64("gid"), "gid").limit(SEED_BATCHES).select(F.lit(0).alias("one"), "gid", "blob")

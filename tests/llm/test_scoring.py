@@ -151,6 +151,31 @@ def test_windows_score_each_prediction_once():
         assert seen == list(range(n))
 
 
+def test_every_prediction_trains_once(monkeypatch):
+    texts = ["one two three " * 200, "held", "short", "", "x" * 3000]
+    run = attention_lm.piece_content(attention_lm.VOCABULARY)
+    content = run(pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts}))
+    content["held"] = np.array([False, True, False, False, False])
+    piece, lengths = attention_lm._stream(content)
+    size, ends = 32_000, Counter()
+    kinds = attention_lm.Kinds(np.bincount(piece[piece >= 0], minlength=size).astype(float), np.zeros(size, bool))
+    tables = attention_lm.Tables(kinds, np.zeros(0, np.int64), np.zeros(0, np.float32))
+    plain = attention_lm.Attention.gradients
+
+    def noted(self, seen, prior, target, counts):
+        ends.update(target[counts].tolist())
+        return plain(self, seen, prior, target, counts)
+
+    monkeypatch.setattr(attention_lm.Attention, "gradients", noted)
+    use = np.repeat(~content["held"], lengths)
+    want = Counter(kinds.kind[piece[use]].tolist())
+    assert attention_lm.train_on(attention_lm.Attention(), content, tables, rate=0.003, seed=1) == use.sum() and ends == want
+    ends.clear()
+    for share in range(3):
+        attention_lm.train_on(attention_lm.Attention(), content, tables, rate=0.003, seed=1, share=share, shares=3)
+    assert ends == want and want[attention_lm.END] >= 4
+
+
 def test_piece_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     counts, starts = rng.integers(0, 50, 700).astype(float), rng.random(700) < 0.5
