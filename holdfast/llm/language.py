@@ -11,6 +11,7 @@ of the text and of the log prior wins.
 
 from __future__ import annotations
 
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from holdfast.llm.components import stored
 from holdfast.llm.words import coded, slices, split
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 20_000
 ROUNDS = 3
 LONGEST = 8
 FLOOR = 0.1
@@ -159,11 +160,31 @@ def held_out() -> Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
+def quotas(prior: dict[str, int], train_docs: int) -> dict[str, int]:
+    """Rows to train on by language: as many of each, or all of a language with fewer, whose rest goes to the others."""
+    out, left = {}, train_docs
+    for i, (lang, n) in enumerate(sorted(prior.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(prior) - i)))
+        left -= out[lang]
+    return out
+
+
+def training_rows(usable: DataFrame, prior: dict[str, int], train_docs: int) -> DataFrame:
+    """About `train_docs` rows drawn per language by `quotas`, those with the least hashes of doc_id and text.
+
+    A language within its quota is taken whole. Equal rows are drawn together.
+    """
+    scale = 1 << 40
+    bounds = [(F.lit(x), F.lit(scale if q == prior[x] else int(scale * q / prior[x]) + 1)) for x, q in quotas(prior, train_docs).items()]
+    bound = F.create_map(*chain.from_iterable(bounds))[F.col("lang").cast("string")]
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", F.col("text").cast("string")), F.lit(scale))
+    return usable.where(draw < bound)
+
+
 def learn(documents: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict:
     """Languages, log priors and piece probabilities.
 
-    The model is fitted on about `train_docs` labelled rows, those with the least hashes of their ids; priors are counted on
-    all labelled rows. Word counts are summed by Spark; sums per language and piece, which the fixed vocabulary bounds,
+    The model is fitted on about `train_docs` labelled rows (`training_rows`); priors are counted on all labelled rows. Word counts are summed by Spark; sums per language and piece, which the fixed vocabulary bounds,
     come to the driver after each round.
     """
     spark = documents.sparkSession
@@ -178,9 +199,7 @@ def learn(documents: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_
     model["p"] = flat
     if not langs:
         return model
-    scale = 1 << 30
-    bound = min(scale, int(scale * train_docs / total) + 1)
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(scale)) < bound)
+    sample = training_rows(usable, prior, train_docs)
     shared = spark.sparkContext.broadcast({"langs": langs})
 
     def count_words(batches):

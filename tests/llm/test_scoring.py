@@ -223,6 +223,22 @@ def test_language(spark):
     assert language.predict_language(docs.limit(0)).count() == 0
 
 
+def test_rare_language_and_one_id_in_the_sample(spark):
+    many = [(None if i % 3 == 0 else i, t, x) for i, t, x in language_rows(3000, 5) if x != "fr"]
+    few = [(10_000 + i, t, x) for i, t, x in language_rows(400, 6) if x == "fr"][:40]
+    docs = spark.createDataFrame(many + few, "doc_id long, text string, lang string")
+    prior = Counter(x for _, _, x in many + few)
+    drawn = Counter((r.lang, r.doc_id is None) for r in language.training_rows(docs, prior, 240).collect())
+    assert drawn["fr", False] == 40
+    others = sorted(set(prior) - {"fr"})
+    for x in others:
+        n, none = drawn[x, False] + drawn[x, True], drawn[x, True]
+        assert n == pytest.approx(200 / len(others), rel=0.4) and 0.1 * n < none < 0.6 * n
+    got = {r.doc_id: r for r in language.predict_language(docs, train_docs=60).collect()}
+    held = [got[i].lang_pred for i, _, _ in few if got[i].held_out]
+    assert len(held) > 5 and held.count("fr") > 0.8 * len(held)
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(["a", "b", "ab", "ba", "aba"])
     p = np.vstack([np.random.default_rng(1).random((pieces.other + 1, 2)), np.zeros(2)])
