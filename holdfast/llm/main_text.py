@@ -1,7 +1,8 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags. What structure marks as no article (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts) is left out at once. The first pass classifies the other blocks by length,
+notices, adverts, forms, comments, scripts) is left out at once. A word of a class or id alone does not leave out an element
+that holds the page's article or nearly all of its text. The first pass classifies the other blocks by length,
 link density and stop-word density: good, bad or undecided (short). The second gives every undecided block the label of
 its nearest decided neighbours in the same container.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 SHORT = 70
 LINKED = 0.5
 STOP_SHARE = 0.2
+MOST = 0.75
 
 # Element names, class words and frequent function words.
-RAW = "script style noscript template textarea title iframe svg object select head"
+RAW = "script style noscript template textarea title iframe svg object select"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = set("nav footer aside form button dialog menu fieldset figure".split())
 ARTICLES = {"article", "main"}
@@ -29,6 +32,8 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+IN_HEAD = {"head", "base", "link", "meta"}
+ABOUT = {"has", "with", "no", "without"}  # what follows in a class is not what the element is
 CLASS_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs cookie cookies consent notice notification alert popup modal overlay comment "
@@ -51,6 +56,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -60,11 +66,13 @@ class Block:
     linked: int
     container: int
     in_article: bool
+    marked: tuple[int, ...] = ()  # the elements around it with a word of CLASS_WORDS
+    held: tuple[int, ...] = ()  # those of them that hold its article
     label: str = ""
 
 
 def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether structure alone says that an element holds no article text."""
+    """Whether structure other than class words says that an element holds no article text."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body", *ARTICLES):
@@ -72,56 +80,90 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
     named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     if named.get("role", "").lower() in ROLES or named.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none", named.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub("", attrs)):
-        return True
-    marks = set(re.split(r"[\s_-]+", f"{named.get('class', '')} {named.get('id', '')}".lower()))
-    if in_article:
-        marks.discard("header")
-    return bool(marks & CLASS_WORDS)
+    return bool(re.search(r"display\s*:\s*none", named.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub("", attrs)))
+
+
+def _marked(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether a word of the class or id says that an element holds no article text."""
+    if not attrs or tag in ("html", "body", *ARTICLES):
+        return False
+    named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+    for name in f"{named.get('class', '')} {named.get('id', '')}".lower().split():
+        for word in re.split(r"[_-]+", name):
+            if word in ABOUT:
+                break
+            if word in CLASS_WORDS and not (in_article and word == "header"):
+                return True
+    return False
 
 
 class _Reader:
     """Collects the blocks of a page from its tags and texts."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether left out from here on, container
+        # Tag, whether left out from here on, container, marked elements, those of them that hold the article here.
+        self.open: list[tuple[str, bool, int, tuple[int, ...], tuple[int, ...]]] = []
         self.blocks: list[Block] = []
         self.parts: list[tuple[str, bool]] = []
         self.containers = 0
+        self.marks = 0
+        self.head: int | None = None  # where the head ends, -1 if at the first element or text of the body
 
     @property
     def out(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
+    @property
+    def in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
+    def reach(self, at: int):
+        """Close the head where it ends."""
+        if self.head is not None and 0 <= self.head <= at:
+            self.head = -1
+            self.end("head")
+
     def text(self, raw: str):
+        if self.head == -1 and self.in_head and raw.strip():
+            self.open.pop()
         if not self.out and raw:
-            self.parts.append((html.unescape(raw), any(tag == "a" for tag, _, _ in self.open)))
+            self.parts.append((html.unescape(raw), any(tag == "a" for tag, *_ in self.open)))
 
     def end_block(self):
         text = _SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
             linked = len(_SPACE.sub(" ", "".join(t for t, link in self.parts if link)).strip())
             container = self.open[-1][2] if self.open else 0
-            inside = any(tag in ARTICLES for tag, _, _ in self.open)
-            self.blocks.append(Block(text, linked, container, inside))
+            inside = any(tag in ARTICLES for tag, *_ in self.open)
+            self.blocks.append(Block(text, linked, container, inside, *(self.open[-1][3:] if self.open else ())))
         self.parts = []
 
     def start(self, tag: str, attrs: str):
+        if self.in_head and tag not in IN_HEAD and (self.head == -1 or tag == "body"):
+            self.open.pop()
         if tag in ("br", "wbr"):
             self.parts.append((" " if tag == "br" else "", False))
             return
         if tag not in INLINE:
             self.end_block()
-            if any(t == "p" for t, _, _ in self.open) and tag != "p" or tag == "p":
+            if any(t == "p" for t, *_ in self.open) and tag != "p" or tag == "p":
                 self.close_within("p")
         if tag in VOID or attrs.endswith("/"):
             return
-        inside = any(t in ARTICLES for t, _, _ in self.open)
+        inside = any(t in ARTICLES for t, *_ in self.open)
         container = self.open[-1][2] if self.open else 0
         if tag in ARTICLES:
             self.containers += 1
             container = self.containers
-        self.open.append((tag, self.out or _left_out(tag, attrs, inside), container))
+        marked, held = self.open[-1][3:] if self.open else ((), ())
+        out = self.out or tag == "head" or _left_out(tag, attrs, inside)
+        if not out and _marked(tag, attrs, inside):
+            if tag in INLINE:
+                out = True
+            else:
+                self.marks += 1
+                marked = (*marked, self.marks)
+        self.open.append((tag, out, container, marked, marked if tag in ARTICLES else held))
 
     def close_within(self, tag: str):
         """Close an open `tag` unless a container was opened after it."""
@@ -147,14 +189,46 @@ def blocks_of(page: str) -> list[Block]:
     reader, at = _Reader(), 0
     for m in _TOKEN.finditer(page):
         reader.text(page[at : m.start()])
+        reader.reach(m.start())
         at = m.end()
-        if m["tag"]:
+        if m["tag"] and m["tag"].lower() == "head" and not m["close"]:
+            if reader.head is None:
+                end = _HEAD_END.search(page, at)
+                reader.head = end.start() if end and end[0].startswith("</") else -1
+                reader.start("head", "")
+        elif m["tag"]:
             (reader.end if m["close"] else reader.start)(m["tag"].lower(), *([] if m["close"] else [m["attrs"].strip()]))
         elif m["raw"] and m["raw"].lower() == "textarea":
             reader.text("")
     reader.text(page[at:])
     reader.end_block()
-    return reader.blocks
+    return _kept(reader.blocks)
+
+
+def _kept(blocks: list[Block]) -> list[Block]:
+    """The blocks without those of marked elements.
+
+    A marked element stays if it holds more text of articles than lies outside of marked elements, or, where no article
+    does, at least `MOST` of all text.
+    """
+    if not any(b.marked for b in blocks):
+        return blocks
+    size, article = Counter(), Counter()
+    for b in blocks:
+        for mark in b.marked:
+            size[mark] += len(b.text)
+        for mark in b.held:
+            article[mark] += len(b.text)
+    free: set[int] = set()
+    plain = lambda: sum(len(b.text) for b in blocks if b.in_article and free.issuperset(b.marked))
+    own, whole = plain(), sum(len(b.text) for b in blocks)
+    for mark in sorted(article, key=lambda x: (-article[x], x)):
+        if article[mark] > own:
+            free.add(mark)
+            own = plain()
+    if not own:
+        free |= {mark for mark in size if size[mark] >= MOST * whole}
+    return [b for b in blocks if free.issuperset(b.marked)]
 
 
 def first_pass(block: Block, page_has_article: bool) -> str:

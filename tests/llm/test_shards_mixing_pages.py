@@ -162,6 +162,29 @@ def test_main_text():
     ]
 
 
+LONG = "This is the text of the article, and it is long enough that nobody is in doubt about it at all."
+
+
+@pytest.mark.parametrize("mark", ['class="layout has-sidebar"', 'id="content-with-sidebar"', 'class="no-comments"', 'class="search-result-page"'])
+def test_layout_classes_keep_the_article(mark):
+    inner = f'<p>{LONG}</p><div class="related"><article><p>{LONG[:80]}</p></article></div><div class="comments"><p>{LONG * 9}</p></div>'
+    assert main_text.main_text(f"<body><div {mark}><article>{inner}</article></div></body>") == LONG
+    assert main_text.main_text(f"<body><main><h1>Page</h1><section {mark}><article>{inner}</article></section></main></body>").endswith(LONG)
+    text = "It is the text of the page and it has all that one needs to see that this is a text. " * 3
+    assert main_text.main_text(f"<body><div {mark}><p>{text}</p></div></body>") == text.strip()
+    assert main_text.main_text(f'<body><article><p>{LONG}</p></article><div class="sidebar"><p>{text * 9}</p></div></body>') == LONG
+
+
+@pytest.mark.parametrize(
+    "head",
+    ["<head><title>T</title>", "<head><meta charset=x><script>'</p>'</script>", "<head><title>T</title></head>", "<head>", "<head><title>T</title><p>x</p></head>"],
+)
+@pytest.mark.parametrize("body", ["<body>", "", "<body class='no-sidebar'>"])
+def test_head_without_an_end(head, body):
+    assert main_text.main_text(f"<html>{head}{body}<article><p>{LONG}</p></article></html>") == LONG
+    assert main_text.main_text(f"<html>{head}{body}{LONG}</html>") == LONG
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p class='x", "</p></div>", "<!--", "<script>", "&#0;&bad;", "<a<b<c>>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(main_text.main_text(page), str)
