@@ -4,7 +4,9 @@ Every shard owns `virtual` points of a ring of 64-bit positions. A row's key (do
 to the next point clockwise, the end of its arc. Shards have capacities: what overflows a full shard goes on clockwise to
 the next point whose shard has room. With capacities that sum up to the number of rows, all shards end up exactly full.
 
-Only counts per arc and cell travel to the driver: (points x cells) numbers, whatever the number of rows.
+The rows of an arc are ranked by cells of a hash of the whole row, more of them in an arc with many rows, so that one key
+is not one task's work. Only counts per arc and cell travel to the driver: 2 x points x cells numbers at most, whatever the
+number of rows.
 """
 
 from __future__ import annotations
@@ -65,6 +67,11 @@ def exact_capacity(rows: int, shards: int) -> np.ndarray:
     return rows // shards + (np.arange(shards) < rows % shards).astype(np.int64)
 
 
+def arc_cells(rows: np.ndarray, points: int) -> np.ndarray:
+    """How many cells each arc has: `CELLS`, times how often its rows hold the mean of all points."""
+    return CELLS * np.maximum(1, rows * points // max(int(rows.sum()), 1))
+
+
 def bounded_shards(documents: DataFrame, shards: int = 40, virtual: int = VIRTUAL, slack: float | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -90,12 +97,17 @@ def bounded_shards(documents: DataFrame, shards: int = 40, virtual: int = VIRTUA
     )
     same = thin.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     key = F.xxhash64(F.lit("key"), "doc_id")
-    keyed = same.withColumn("arc", arc_of(key)).withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), "doc_id"), F.lit(CELLS)))
+    keyed = same.withColumn("arc", arc_of(key)).withColumn("spread", F.xxhash64(F.lit("cell"), "doc_id", "size", "text_crc32"))
     # Equal rows are dealt in chunks, so that a row repeated without end is not one task's work.
     chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK)))
-    keyed = keyed.withColumn("chunk", chunks).withColumn("cell", F.pmod(F.col("cell") + F.col("chunk"), F.lit(CELLS)))
+    keyed = keyed.withColumn("chunk", chunks)
     keyed = stored(keyed.withColumn("m", F.least(F.lit(CHUNK), F.col("copies") - F.col("chunk") * CHUNK)).drop("copies"), "ring")
 
+    arcs = keyed.groupBy("arc").agg(F.sum("m").alias("m")).toPandas()
+    fine = arc_cells(arcs["m"].to_numpy(np.int64), len(owners))
+    fine = spark.createDataFrame([(int(a), int(c)) for a, c in zip(arcs["arc"], fine, strict=True)], "arc int, cells long")
+    keyed = keyed.join(F.broadcast(fine), "arc")  # one row per point at most
+    keyed = keyed.withColumn("cell", F.pmod(F.pmod("spread", "cells") + F.col("chunk"), F.col("cells"))).drop("spread", "cells")
     cells = keyed.groupBy("arc", "cell").agg(F.sum("m").alias("m")).toPandas().sort_values(["arc", "cell"])
     cells["offset"] = (cells.groupby("arc")["m"].cumsum() - cells["m"]).astype("int64")
     arc_rows = np.zeros(len(owners), np.int64)

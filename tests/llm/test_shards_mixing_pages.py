@@ -27,6 +27,27 @@ def test_ring_shards(spark):
     assert ring.bounded_shards(corpus.frame(spark, []).limit(0)).count() == 0
 
 
+def test_ring_splits_one_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ring, "CELLS", 4)
+    rows = [(None, f"text {i}") for i in range(3000)] + [(i, "x") for i in range(3000)]
+    docs, frame = spark.createDataFrame(rows, "doc_id long, text string"), type(spark.range(1))
+    window = frame.withColumn
+
+    def noted(self, name, column):
+        if name == "first":
+            seen.append(self.groupBy("arc", "cell").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n")).collect())
+        return window(self, name, column)
+
+    monkeypatch.setattr(frame, "withColumn", noted)
+    got = ring.bounded_shards(docs, 7, virtual=8).collect()
+    assert sum(r.m for r in seen[0]) == len(rows) and max(r.n for r in seen[0]) < 300
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
+
+
 def test_ring_moves_little_with_slack(spark):
     rows = [(i, "t") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
