@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from holdfast.session import work_path
 
+HEAVY_SHARE = 1024
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: computed once, safe if executors are lost."""
@@ -15,6 +17,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def heavy(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """The values of `key` with more than `total` / HEAVY_SHARE rows, and the number of `parts` to deal each to.
+
+    Such keys are fewer than HEAVY_SHARE, so they may be broadcast however large the table is.
+    """
+    parts = F.ceil(F.col(rows) * HEAVY_SHARE / F.lit(max(1, total))).cast("int")
+    return counts.where(F.col(rows) * HEAVY_SHARE > total).select(key, parts.alias("parts"))
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the links `a`-`b`; root is the smallest node that links reach.
 
