@@ -1,9 +1,12 @@
-"""Numpy kernel for path-dependent tree contributions. Runs inside tasks, so it imports numpy only.
+"""Numpy kernels for forests on ranks. Run inside tasks, so they import numpy only.
 
-A path from root to leaf with distinct features 1..d holds, per feature, an interval (lower, upper]
-and the share z of the training weight that follows the path at that feature's splits. A row follows
-feature j if its value is in the interval (o_j = 1, else 0). The Shapley contribution of feature j at
-a leaf with value v is
+A row is known to a forest by the ranks of its values: how many of the forest's thresholds of that feature lie below the
+value. A value is at most the i-th threshold (from 0) if its rank is at most i. Ranks are held feature by feature: an
+array of features x rows.
+
+Contributions: a path from root to leaf with distinct features 1..d holds, per feature, an interval of ranks and the
+share z of the training weight that follows the path at that feature's splits. A row follows feature j if its rank is in
+the interval (o_j = 1, else 0). The Shapley contribution of feature j at a leaf with value v is
 
     v (o_j - z_j) * integral over t in [0, 1] of prod_{i != j} ((1 - t) z_i + t o_i)
 
@@ -16,12 +19,55 @@ import numpy as np
 
 # Doubles held by one intermediate array: 2**17 of them are 1 MB.
 CHUNK = 1 << 17
-# Paths with so many features at most have a table of all their patterns.
+# Paths with so many features at most have a table of all their patterns, others only where rows outnumber the patterns.
 PATTERN_FEATURES = 9
-
-
-def group_paths(features, lower, upper, share, value):
-    """Paths as dense arrays, one block per number of distinct features."""
+MOST_PATTERN_FEATURES = 16
+ROWS = 1 << 13
+# A bound above all ranks.
+TOP = np.iinfo(np.uint32).max
+
+
+def rank_columns(x, cuts):
+    """Ranks of a matrix (rows x features) among the sorted thresholds of each feature, as features x rows."""
+    most = max((len(c) for c in cuts), default=0)
+    out = np.zeros((len(cuts), len(x)), dtype=np.uint16 if most <= np.iinfo(np.uint16).max else np.uint32)
+    for j, c in enumerate(cuts):
+        if len(c):
+            # Not-a-number comes last, so it is above all thresholds.
+            out[j] = np.searchsorted(c, x[:, j], side="left")
+    return out
+
+
+def tree_arrays(feature, cut, left, right, value):
+    """A tree for `walk`: a leaf is its own child, and `depth` steps reach it from the root (node 0)."""
+    leaf = feature < 0
+    me = np.arange(len(feature), dtype=np.int32)
+    left, right = np.where(leaf, me, left).astype(np.int32), np.where(leaf, me, right).astype(np.int32)
+    level, depth = np.zeros(1, np.int32), 0
+    while not leaf[level].all():
+        level, depth = np.unique(np.r_[left[level], right[level]]), depth + 1
+    return np.where(leaf, 0, feature).astype(np.int32), np.where(leaf, 0, cut).astype(np.uint32), left, right, value, depth
+
+
+def walk(ranks, trees):
+    """Sum of the leaf values that each row reaches, over the trees."""
+    width, n = ranks.shape
+    total = np.zeros(n)
+    for first in range(0, n, ROWS):
+        some = np.ascontiguousarray(ranks[:, first : first + ROWS])
+        flat, m = some.ravel(), some.shape[1]
+        rows = np.arange(m)
+        for feature, cut, left, right, value, depth in trees:
+            at = np.zeros(m, dtype=np.int32)
+            for _ in range(depth):
+                goes_left = flat[feature[at] * m + rows] <= cut[at]
+                at = np.where(goes_left, left[at], right[at])
+            total[first : first + m] += value[at]
+    return total
+
+
+def group_paths(features, low, high, share, value):
+    """Paths as dense arrays, one block per number of distinct features. Bounds are the least and greatest rank that follows."""
     sizes = np.array([len(f) for f in features], dtype=np.int64)
     blocks = []
     for d in np.unique(sizes):
@@ -31,8 +77,8 @@ def group_paths(features, lower, upper, share, value):
         blocks.append(
             {
                 "feature": np.array([features[i] for i in rows], dtype=np.int32).reshape(-1, d),
-                "lower": np.array([lower[i] for i in rows], dtype=np.float64).reshape(-1, d),
-                "upper": np.array([upper[i] for i in rows], dtype=np.float64).reshape(-1, d),
+                "low": np.array([low[i] for i in rows], dtype=np.uint32).reshape(-1, d),
+                "high": np.array([high[i] for i in rows], dtype=np.uint32).reshape(-1, d),
                 "share": np.array([share[i] for i in rows], dtype=np.float64).reshape(-1, d),
                 "value": np.asarray(value, dtype=np.float64)[rows],
             }
@@ -40,14 +86,22 @@ def group_paths(features, lower, upper, share, value):
     return blocks
 
 
-def _follows(columns, block, path, j):
-    values = columns[block["feature"][path, j]]
-    low, high = block["lower"][path, j], block["upper"][path, j]
-    if low == -np.inf:
+def merge_blocks(parts):
+    """Blocks of several trees as one block per number of features."""
+    by_size = {}
+    for blocks in parts:
+        for b in blocks:
+            by_size.setdefault(b["feature"].shape[1], []).append(b)
+    return [{k: np.concatenate([b[k] for b in same]) for k in same[0]} for _, same in sorted(by_size.items())]
+
+
+def _follows(ranks, feature, low, high):
+    values = ranks[feature]
+    if low == 0:
         return values <= high
-    if high == np.inf:
-        return values > low
-    return (values > low) & (values <= high)
+    if high == TOP:
+        return values >= low
+    return (values >= low) & (values <= high)
 
 
 def _leaf_terms(follows, share, leaf):
@@ -66,46 +120,58 @@ def _leaf_terms(follows, share, leaf):
     return [total[j] * (follows[j] - share[j]) * leaf for j in range(d)]
 
 
-def _add_by_pattern(columns, block, out):
+def _add_by_pattern(ranks, block, out):
     """One table per path with the terms of all 2**d ways to follow it or not; rows look theirs up."""
     n_paths, d = block["feature"].shape
+    n = ranks.shape[1]
     patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
-    code_type = np.uint8 if d <= 8 else np.uint32
+    code_type = np.uint8 if d <= 8 else np.uint16
     step = max(1, CHUNK >> d)
     for first in range(0, n_paths, step):
         some = slice(first, min(first + step, n_paths))
         share = [block["share"][some, j] for j in range(d)]
         terms = _leaf_terms([patterns[:, [j]] for j in range(d)], share, block["value"][some])
-        tables = [np.ascontiguousarray(t.T) for t in terms]
-        for path in range(some.start, some.stop):
-            code = np.zeros(columns.shape[1], dtype=code_type)
-            for j in range(d):
-                code |= _follows(columns, block, path, j).astype(code_type) << code_type(j)
-            code = code.astype(np.intp)
-            for j in range(d):
-                out[block["feature"][path, j]] += tables[j][path - first].take(code)
-
-
-def _add_by_row(columns, block, out):
+        tables = np.ascontiguousarray(np.stack(terms).transpose(2, 0, 1))
+        feature = block["feature"][some].tolist()
+        low, high = block["low"][some].tolist(), block["high"][some].tolist()
+        for a in range(0, n, ROWS):
+            mine = ranks[:, a : a + ROWS]
+            for path, columns in enumerate(feature):
+                code = np.zeros(mine.shape[1], dtype=code_type)
+                for j, f in enumerate(columns):
+                    code |= _follows(mine, f, low[path][j], high[path][j]).view(np.uint8).astype(code_type, copy=False) << code_type(j)
+                code = code.astype(np.intp)
+                table = tables[path]
+                for j, f in enumerate(columns):
+                    out[f, a : a + ROWS] += table[j].take(code)
+
+
+def _add_by_row(ranks, block, out):
     """Terms row by row, for paths with many features and so too many patterns."""
     n_paths, d = block["feature"].shape
-    step = max(1, CHUNK // columns.shape[1])
-    for first in range(0, n_paths, step):
-        paths = range(first, min(first + step, n_paths))
-        some = slice(paths.start, paths.stop)
-        follows = [np.stack([_follows(columns, block, p, j) for p in paths], axis=1).astype(np.float64) for j in range(d)]
-        terms = _leaf_terms(follows, [block["share"][some, j] for j in range(d)], block["value"][some])
-        for j in range(d):
-            for k, p in enumerate(paths):
-                out[block["feature"][p, j]] += terms[j][:, k]
+    n = ranks.shape[1]
+    for a in range(0, n, ROWS):
+        mine = ranks[:, a : a + ROWS]
+        step = max(1, CHUNK // mine.shape[1])
+        for first in range(0, n_paths, step):
+            paths = range(first, min(first + step, n_paths))
+            some = slice(paths.start, paths.stop)
+            bounds = [block["feature"][some].T, block["low"][some].T, block["high"][some].T]
+            follows = [np.stack([_follows(mine, *b) for b in zip(*(x[j].tolist() for x in bounds))], axis=1).astype(np.float64) for j in range(d)]
+            terms = _leaf_terms(follows, [block["share"][some, j] for j in range(d)], block["value"][some])
+            for j in range(d):
+                for k, p in enumerate(paths):
+                    out[block["feature"][p, j], a : a + ROWS] += terms[j][:, k]
 
 
-def contributions(x, blocks):
-    """Contribution of every column of ``x`` (rows x columns), summed over the paths."""
-    columns = np.ascontiguousarray(x.T)
-    out = np.zeros(columns.shape, dtype=np.float64)
-    if len(x):
+def contributions(ranks, blocks):
+    """Contribution of every feature (features x rows), summed over the paths."""
+    out = np.zeros(ranks.shape, dtype=np.float64)
+    n = ranks.shape[1]
+    if n:
+        ranks = np.ascontiguousarray(ranks)
         for block in blocks:
-            by_pattern = block["feature"].shape[1] <= PATTERN_FEATURES
-            (_add_by_pattern if by_pattern else _add_by_row)(columns, block, out)
-    return np.ascontiguousarray(out.T)
+            d = block["feature"].shape[1]
+            by_pattern = d <= PATTERN_FEATURES or (d <= MOST_PATTERN_FEATURES and 1 << d <= n)
+            (_add_by_pattern if by_pattern else _add_by_row)(ranks, block, out)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import dates
 from holdfast.functions.risk import risk_tier
 from holdfast.functions.text import contains_ignoring_case, initials
-from holdfast.operators.features import paid_only
+from holdfast.operators.features import paid_only, until_cutoff
 
 
 def high_risk_count(scores: DataFrame) -> DataFrame:
@@ -130,20 +130,38 @@ def top_drivers(explained: DataFrame, top_k: int | None = None) -> DataFrame:
     return ordered if top_k is None else ordered.limit(top_k)
 
 
-def prioritized_list(explained: DataFrame, students: DataFrame) -> DataFrame:
-    """Student list by risk with contact, strongest reason, price, last payment and tier.
+# What the list says of a tier.
+TIER_STATUS = {"high": "At risk", "medium": "Overdue", "low": "OK"}
 
-    ``explained`` carries churn_risk, reasons and the feature columns of the same row.
+
+def last_payments(payments: DataFrame, asof: str | dt.date) -> DataFrame:
+    """(student_id, last_payment): the day of the last paid payment up to the cutoff day."""
+    paid = paid_only(until_cutoff(payments, "payment_date", asof))
+    return paid.groupBy("student_id").agg(F.max("payment_date").cast("date").alias("last_payment"))
+
+
+def prioritized_list(explained: DataFrame, students: DataFrame, last_paid: DataFrame) -> DataFrame:
+    """Student list by risk with contact, reasons, price, last payment, tier and status.
+
+    ``explained`` carries churn_risk, reasons and the feature columns of the same row; ``last_paid`` is that of
+    `last_payments`. ``reasons`` names all reasons, strongest first; ``reason`` is the first of them.
     """
+    tier = risk_tier(F.col("churn_risk"))
+    status = F.lit(None).cast("string")
+    for name, text in TIER_STATUS.items():
+        status = F.when(tier == name, text).otherwise(status)
     listed = explained.select(
         "student_id",
         "churn_risk",
         F.get("reasons", F.lit(0))["feature"].alias("reason"),
+        F.array_join(F.transform("reasons", lambda r: r["feature"]), ", ").alias("reasons"),
         "price_usd",
         "months_since_last_payment",
-        risk_tier(F.col("churn_risk")).alias("tier"),
+        tier.alias("tier"),
+        status.alias("status"),
     )
     return (
         listed.join(students.select("student_id", "name", initials(F.col("name")).alias("initials"), "email"), "student_id")
+        .join(last_paid, "student_id", "left")
         .orderBy(F.desc("churn_risk"), "student_id")
     )

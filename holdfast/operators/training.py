@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import accumulate
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from holdfast.functions import values
 from holdfast.operators.features import MISSING_CATEGORY
-from holdfast.session import materialize
+from holdfast.session import materialize, work_path
 
 # Target, and columns that never reach the model (ids, contact fields, dates, flags
 # that leak the target), and the name parts of date columns.
@@ -43,6 +45,9 @@ MIN_LEAF = 2
 FOLDS = 5
 SEED = 42
 
+# A task of the training holds the statistics of all open nodes, so few rows are worth a task.
+ROWS_PER_TASK = 20_000
+
 WEIGHT, LABEL, VECTOR, FOLD = "_weight", "_label", "_features", "_fold"
 
 
@@ -178,6 +183,10 @@ def forest_classifier(trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int
     )
 
 
+def training_tasks(spark: SparkSession, rows: int) -> int:
+    return max(1, min(4 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_TASK))
+
+
 def train(
     df: DataFrame,
     target: str = TARGET,
@@ -198,7 +207,8 @@ def train(
     columns = [F.col(c) for c in (*numeric, *categorical, target)]
     data = prepare(df.select(*columns), numeric, categorical)
     if checkpoint:
-        data = materialize(data.repartition(df.sparkSession.sparkContext.defaultParallelism))
+        data = materialize(data)
+        data = data.repartition(training_tasks(df.sparkSession, data.count()))
     data = with_class_weight(data, target)
     encode = encoder(numeric, categorical).fit(data)
     forest = forest_classifier(trees, max_depth, seed, **params).fit(encode.transform(data))
@@ -234,16 +244,26 @@ def auc(df: DataFrame, score: str = "churn_risk", label: str = LABEL) -> float:
 def auc_by(df: DataFrame, group: str, score: str = "churn_risk", label: str = LABEL) -> DataFrame:
     """Exact area under the ROC curve per group from the ranks of the positives, ties counted half; NULL for one class.
 
-    Rows are counted per group and score first, so tied scores cost one row.
+    Rows are counted per group and score first, so tied scores cost one row. The steps are then dealt to ranges of group
+    and score. Ranks inside a range need that range only; those of the ranges before it follow from their
+    counts, one row per group and range. So no task holds a group.
     """
+    part, inside = "_part", "_inside"
     hit = F.col(label).cast("double")
     steps = df.groupBy(group, score).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("p"))
-    before = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = steps.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank_sum = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = steps.repartitionByRange(ranges, group, score).withColumn(part, F.spark_partition_id())
+    earlier = Window.partitionBy(group, part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn(inside, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    by_range = ranked.groupBy(group, part).agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col(inside) + (F.col("n") + 1) / 2)).alias("ranks")
+    )
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    by_range = by_range.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rank_sum = F.sum(F.col("ranks") + F.col("below") * F.col("p"))
     total, positive = F.sum("n"), F.sum("p")
     area = F.try_divide(rank_sum - positive * (positive + 1) / 2, positive * (total - positive))
-    return ranked.groupBy(group).agg(
+    return by_range.groupBy(group).agg(
         total.alias("rows"), positive.cast("bigint").alias("positives"), F.round(area, 9).alias("auc")
     )
 
@@ -253,31 +273,72 @@ def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(SEED), key), key).limit(rows)
 
 
-def cross_validate(
+def _fold_weights(sizes: dict[tuple[int, float], int], fold: int) -> dict[float, float]:
+    """Balanced weight per class among the rows outside of a fold."""
+    rest: dict[float, int] = {}
+    for (f, label), n in sizes.items():
+        if f != fold:
+            rest[label] = rest.get(label, 0) + n
+    if len(rest) < 2:
+        raise ValueError("each class needs rows in at least two folds")
+    return {label: sum(rest.values()) / (len(rest) * n) for label, n in rest.items()}
+
+
+def out_of_fold_scores(
     df: DataFrame,
     target: str = TARGET,
     folds: int = FOLDS,
     trees: int = TREES,
     max_depth: int = MAX_DEPTH,
     seed: int = SEED,
+    dropped: Sequence[str] = DROPPED,
+    keep: Sequence[str] = (),
+    train_rows: int | None = None,
     **params,
 ) -> DataFrame:
-    """Fold and its AUC, the model trained on the other folds each time."""
+    """Every row once, scored by a forest that has not seen its fold: ``keep`` columns, _fold, _label, churn_risk.
+
+    The rows are dealt to stratified folds and encoded once; the encoded matrix is stored, and the fits of all folds run
+    on it as concurrent jobs. A category that only the held-out fold has is a column of zeros to the fit, which no
+    split can use. Class weights are those of the fitted rows. ``train_rows`` bounds the rows a fit is given; all rows are scored.
+    The scores are stored as each fit ends, so no model outlives its thread.
+    """
     spark: SparkSession = df.sparkSession
-    assigned = materialize(stratified_folds(df, target, folds, seed))
-    scores = []
-    for fold in range(folds):
-        model, contract = train(
-            assigned.filter(F.col(FOLD) != fold).drop(FOLD),
-            target,
-            trees,
-            max_depth,
-            seed,
-            checkpoint=False,
-            **params,
-        )
-        held_out = assigned.filter(F.col(FOLD) == fold)
-        held_out = prepare(held_out, contract["numeric_cols"], contract["categorical_cols"])
-        held_out = held_out.withColumn(LABEL, F.col(target).cast("double"))
-        scores.append((fold, float(auc(probability(held_out, model)))))
-    return spark.createDataFrame(scores, "fold int, auc double")
+    roles = column_roles(df, target, dropped)
+    numeric = [c for c, r in roles.items() if r == "numeric"]
+    categorical = [c for c, r in roles.items() if r == "categorical"]
+    kept = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    columns = [*kept, *(F.col(c) for c in (*numeric, *categorical, target))]
+    data = prepare(stratified_folds(df.select(*columns), target, folds, seed), numeric, categorical)
+    data = materialize(data.withColumn(LABEL, F.col(target).cast("int").cast("double")))
+    encoded = encoder(numeric, categorical).fit(data).transform(data)
+    matrix = materialize(encoded.select(*[f"_keep_{i}" for i in range(len(keep))], FOLD, LABEL, VECTOR))
+    # Folds times classes.
+    sizes = {(r[FOLD], r[LABEL]): r["count"] for r in matrix.groupBy(FOLD, LABEL).count().collect()}
+    folder = work_path(spark, "folds")
+
+    def fit(fold: int) -> str:
+        weight = F.lit(None).cast("double")
+        for label, w in _fold_weights(sizes, fold).items():
+            weight = F.when(F.col(LABEL) == label, w).otherwise(weight)
+        rows = matrix.filter(F.col(FOLD) != fold).select(LABEL, VECTOR, weight.alias(WEIGHT))
+        n = sum(size for (f, _), size in sizes.items() if f != fold)
+        if train_rows is not None and n > train_rows:
+            rows, n = rows.orderBy(F.xxhash64(F.lit(seed), LABEL, vector_to_array(VECTOR))).limit(train_rows), train_rows
+        # The copy leaves the training summary behind, as in `train`.
+        model = forest_classifier(trees, max_depth, seed, **params).fit(rows.repartition(training_tasks(spark, n))).copy()
+        scored = model.transform(matrix.filter(F.col(FOLD) == fold))
+        names = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]
+        path = f"{folder}/{fold}"
+        scored.select(*names, FOLD, LABEL, vector_to_array("probability")[1].alias("churn_risk")).write.parquet(path)
+        return path
+
+    with ThreadPoolExecutor(folds) as pool:
+        paths = list(pool.map(inheritable_thread_target(spark)(fit), sorted({f for f, _ in sizes})))
+    return spark.read.parquet(*paths)
+
+
+def cross_validate(df: DataFrame, target: str = TARGET, folds: int = FOLDS, **settings) -> DataFrame:
+    """Fold, its rows and positives, and the AUC of the forest trained on the other folds; settings as for the scores."""
+    scored = out_of_fold_scores(df, target, folds, **settings)
+    return auc_by(scored.withColumnRenamed(FOLD, "fold"), "fold")

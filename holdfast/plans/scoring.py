@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import dates
 from holdfast.operators import explain, features, forest, messages, records, training
+from holdfast.plans.ingest import path_exists
 from holdfast.sources import models
 
 
@@ -20,9 +21,20 @@ def aligned(df: DataFrame, contract: dict) -> DataFrame:
     )
 
 
-def score_features(df: DataFrame, model: PipelineModel, contract: dict, asof: str | dt.date) -> DataFrame:
+Model = PipelineModel | forest.Forest
+
+
+def with_risk(df: DataFrame, model: Model, contract: dict) -> DataFrame:
+    """Feature rows in the contract's columns with their churn_risk: by the packed forest, or by Spark's own transform."""
+    rows = aligned(df, contract)
+    if isinstance(model, forest.Forest):
+        return forest.score(explain.encode(rows, contract["numeric_cols"], contract["categories"]), model).drop("x")
+    return training.probability(rows, model)
+
+
+def score_features(df: DataFrame, model: Model, contract: dict, asof: str | dt.date) -> DataFrame:
     """(student_id, asof_date, churn_risk) for feature rows."""
-    scored = training.probability(aligned(df, contract), model)
+    scored = with_risk(df, model, contract)
     return scored.select("student_id", F.lit(dates.as_date(asof).isoformat()).alias("asof_date"), "churn_risk")
 
 
@@ -36,7 +48,7 @@ def score_all(
     students: DataFrame,
     attendance: DataFrame,
     payments: DataFrame,
-    model: PipelineModel,
+    model: Model,
     contract: dict,
     asof: str | dt.date | None = None,
 ) -> DataFrame:
@@ -50,22 +62,36 @@ def score_students(
     students: DataFrame,
     attendance: DataFrame,
     payments: DataFrame,
-    model: PipelineModel,
+    model: Model,
     contract: dict,
     asof: str | dt.date | None = None,
 ) -> DataFrame:
-    """Scores of chosen students; only their history is read."""
+    """Scores of chosen students; of the histories only their rows, and few others, get past the scan."""
     day = features.asof_or_inferred(asof, attendance, payments)
     return score_features(features.features_of(ids, students, attendance, payments, day), model, contract, day)
 
 
+def _packed_folder(path: str) -> str:
+    return f"{path}/packed"
+
+
 def forest_of_bundle(spark: SparkSession, path: str) -> forest.Forest:
-    """The forest of a saved model, ready to explain."""
+    """The forest of a saved model, ready to score and explain: as `pack_bundle` left it, or packed now."""
+    if path_exists(spark, f"{_packed_folder(path)}/head/_SUCCESS"):
+        return forest.load_forest(spark, _packed_folder(path))
     contract = models.load_contract(spark, path)
     names = explain.encoded_names(contract["numeric_cols"], contract["categories"])
     return forest.build_forest(forest.nodes_of_model(spark, models.forest_folder(spark, path)), names)
 
 
+def pack_bundle(spark: SparkSession, path: str) -> str:
+    """Keep the packed forest beside the model, so that it is packed once per training. A small one needs no keeping."""
+    packed = forest_of_bundle(spark, path)
+    if not packed.shipped:
+        forest.save_forest(packed, _packed_folder(path))
+    return path
+
+
 def explain_features(
     df: DataFrame,
     ensemble: forest.Forest,

@@ -77,18 +77,18 @@ def test_contributions_against_enumeration(spark):
             assert abs(f.base + sum(r["phi"]) - r["churn_risk"]) < 1e-9
 
 
-def test_parts_agree_with_one_part_and_the_expression(spark):
+def test_shipped_forest_agrees_with_the_expression(spark):
     rng = random.Random(5)
     rows = random_nodes(rng, 4, 4, 4)
     xs = [[rng.random() for _ in range(4)] for _ in range(20)]
-    nodes = forest.nodes_from_rows(spark, rows)
-    whole = forest.build_forest(nodes, list("abcd"))
-    cut = forest.build_forest(nodes, list("abcd"), part_bytes=300)
-    assert len(cut.parts) > 2 and len(whole.parts) == 1 and forest.tasks_for(10**9, cut) > 1 == forest.tasks_for(1, cut)
-    a = forest.shap_values(forest.score_rows(frame(spark, xs), rows), whole, tasks=3).orderBy("id").collect()
-    b = forest.with_score(forest.shap_values(frame(spark, xs), cut), cut).orderBy("id").collect()
-    for p, q in zip(a, b):
+    f = forest.build_forest(forest.nodes_from_rows(spark, rows), list("abcd"))
+    assert f.shipped and forest.tasks_for(10**9, f) > 1 == forest.tasks_for(1, f)
+    a = forest.shap_values(forest.score_rows(frame(spark, xs), rows), f, tasks=3).orderBy("id").collect()
+    b = forest.with_score(forest.shap_values(frame(spark, xs), f), f).orderBy("id").collect()
+    c = forest.score(frame(spark, xs), f).orderBy("id").collect()
+    for p, q, r in zip(a, b, c):
         assert abs(p["churn_risk"] - q["churn_risk"]) < 1e-12 and np.allclose(p["phi"], q["phi"], atol=1e-12)
+        assert abs(p["churn_risk"] - r["churn_risk"]) < 1e-12
 
 
 def test_single_leaf_forest(spark):

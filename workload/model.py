@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import reports, training
 from holdfast.operators.features import FEATURES, paid_only, student_features
-from holdfast.plans.scoring import aligned
+from holdfast.plans.scoring import aligned, pack_bundle
 from holdfast.session import materialize, work_path
 from holdfast.sources import models
 from workload.tables import ASOF, core
@@ -21,6 +22,7 @@ TRAIN_ROWS = 500
 HORIZON_DAYS = 90
 
 _bundles: dict[tuple[str, str], str] = {}
+_loaded: dict[tuple[str, str], tuple[PipelineModel, dict]] = {}
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_bundle(spark: SparkSession, sf_dir: str, trees: int = TREES, max_depth: int = MAX_DEPTH) -> str:
     model, contract = training.train(training_rows(spark, sf_dir), trees=trees, max_depth=max_depth)
-    return models.save_bundle(spark, model, contract, work_path(spark, "model"))
+    return pack_bundle(spark, models.save_bundle(spark, model, contract, work_path(spark, "model")))
 
 
 def bundle(spark: SparkSession, sf_dir: str, anew: bool = False) -> str:
@@ -78,5 +80,13 @@ def bundle(spark: SparkSession, sf_dir: str, anew: bool = False) -> str:
     return _bundles[key]
 
 
+def loaded(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """A saved model, read once per session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _loaded:
+        _loaded[key] = models.load_bundle(spark, path)
+    return _loaded[key]
+
+
 def aligned_rows(spark: SparkSession, sf_dir: str, contract: dict) -> DataFrame:
     return aligned(materialize(feature_rows(spark, sf_dir)), contract)

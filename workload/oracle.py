@@ -124,6 +124,20 @@ FROM (SELECT *, [p FOR p IN ['Reply YES to continue and we keep your place in Yo
     name || ', we are glad to have you with us.', 'Reply STOP to opt out of these messages.'] IF p IS NOT NULL] AS paragraphs FROM payload)""",
 }
 
+# The same steps for the records that the scoring itself makes.
+STEPS |= {"own_reasons": ["explained", "labels_of"], "own_picked": ["scored", "own_reasons"], "own_payload": ["own_picked", "contacts"], "own_rendered": ["own_payload"]}
+TEXTS["own_reasons"] = """
+SELECT student_id, string_agg(label, ', ' ORDER BY place) AS labels_txt FROM (
+  SELECT e.student_id, coalesce(l.label, e.feature) AS label, row_number() OVER (PARTITION BY e.student_id ORDER BY abs(e.impact) DESC, e.place) AS place
+  FROM explained e LEFT JOIN labels_of l ON l.feature = e.feature WHERE e.place <= 5 AND e.effect = 'sube_riesgo')
+WHERE place <= 3 GROUP BY student_id"""
+TEXTS["own_picked"] = f"""
+SELECT s.student_id AS record_id, s.student_id AS customer_id, s.churn_risk AS prob_churn, '{ASOF}' AS asof_date, r.labels_txt,
+CASE WHEN s.churn_risk >= 0.7 THEN 'high' WHEN s.churn_risk >= 0.4 THEN 'medium' ELSE 'low' END AS tier
+FROM scored s JOIN own_reasons r USING (student_id)"""
+TEXTS["own_payload"] = TEXTS["payload"].replace("FROM picked p", "FROM own_picked p")
+TEXTS["own_rendered"] = TEXTS["rendered"].replace("FROM payload", "FROM own_payload")
+
 _PATH_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else str(v) for v in row) + ")" for row in PATHS)
 STEPS["walked"] = ["encoded"]
 STEPS["phi"] = ["walked"]

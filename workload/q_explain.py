@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast.functions.text import initials
-from holdfast.operators import explain, forest, records, reports, training
+from holdfast.operators import explain, forest, messages, records, reports, training
 from holdfast.plans import scoring
+from holdfast.session import materialize
 from holdfast.sources import models
-from workload.model import aligned_rows, bundle, feature_rows, model_columns, training_table
+from workload.model import aligned_rows, bundle, feature_rows, loaded, model_columns, training_table
 from workload.oracle import NUMBERS, statement
 from workload.pinned import CATEGORIES, CONTRACT, NODES, pinned_forest
 from workload.tables import ASOF, view
@@ -49,16 +50,17 @@ def shap_values(spark, sf_dir):
 
 
 def shap_additivity(spark, sf_dir):
-    """The trained forest: base plus contributions against Spark's own probability, for every student."""
+    """The trained forest: base plus contributions, and its own scores, against Spark's probability for every student."""
     path = bundle(spark, sf_dir)
-    model, contract = models.load_bundle(spark, path)
+    model, contract = loaded(spark, path)
     ensemble = scoring.forest_of_bundle(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model, keep_vector=True)
-    tasks = forest.tasks_for(scored.count(), ensemble)
-    own = forest.with_score(forest.shap_values(scored, ensemble, tasks=tasks), ensemble, out="own_score")
+    own = forest.with_score(forest.shap_values(scored, ensemble), ensemble, out="own_score")
+    own = forest.score(own, ensemble, out="walked")
     return own.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.abs(F.col("own_score") - F.col("churn_risk")) > 1e-9).alias("sum_differs"),
+        F.count_if(F.abs(F.col("walked") - F.col("churn_risk")) > 1e-9).alias("score_differs"),
     )
 
 
@@ -98,10 +100,10 @@ def top_drivers(spark, sf_dir):
 
 
 def prioritized_list(spark, sf_dir):
-    listed = reports.prioritized_list(explained(spark, sf_dir), view(spark, sf_dir, "contacts"))
-    return listed.withColumn("churn_risk", F.round("churn_risk", 9)).withColumn(
-        "months_since_last_payment", F.round("months_since_last_payment", 6)
-    )
+    last_paid = reports.last_payments(view(spark, sf_dir, "payments"), ASOF)
+    listed = reports.prioritized_list(explained(spark, sf_dir), view(spark, sf_dir, "contacts"), last_paid)
+    rounded = {"churn_risk": F.round("churn_risk", 9), "months_since_last_payment": F.round("months_since_last_payment", 6)}
+    return listed.withColumns({**rounded, "last_payment": F.col("last_payment").cast("string")})
 
 
 def student_filter(spark, sf_dir):
@@ -130,7 +132,44 @@ def explained_records(spark, sf_dir):
     )
 
 
+def campaign_scored(spark, sf_dir):
+    """From the raw tables to checked messages in one go: features, scores, explanations, records, messages."""
+    raw = scoring.explanation_records(explained(spark, sf_dir), ASOF)
+    made = scoring.campaign(raw, view(spark, sf_dir, "contacts"))
+    return made.select(
+        "customer_id", "email", "tier", F.round("churn_prob", 9).alias("churn_prob"), "subject", "text_body", "idempotency_key", "is_valid"
+    )
+
+
+def campaign_trained(spark, sf_dir):
+    """The same from a trained forest: what must hold for any model."""
+    path = bundle(spark, sf_dir)
+    ensemble, contract = scoring.forest_of_bundle(spark, path), models.load_contract(spark, path)
+    found = materialize(scoring.explain_features(feature_rows(spark, sf_dir), ensemble, contract))
+    contacts = view(spark, sf_dir, "contacts")
+    raw = scoring.explanation_records(found, ASOF)
+    picked = messages.enrich_contacts(records.pick_candidates(records.normalize_records(raw)), contacts)
+    wanted = messages.message_payload(picked).select("idempotency_key")
+    made = scoring.campaign(raw, contacts).groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("is_valid").alias("valid"))
+    checked = wanted.join(made, "idempotency_key", "full_outer").agg(
+        F.count_if(F.col("n").isNull() | (F.col("n") != 1)).alias("not_once"), F.count_if(~F.col("valid")).alias("broken")
+    )
+    impact = F.transform("reasons", lambda r: F.abs(r["impact"]))
+    ordered = F.array_size("reasons").between(1, 5) & F.forall("reasons", lambda r: r["effect"].isin(explain.RAISES, explain.LOWERS))
+    # A category's impact is the net of its columns, so only numbers have to be in order.
+    plain = F.transform(F.filter("reasons", lambda r: r["feature"] != "plan"), lambda r: F.abs(r["impact"]))
+    in_order = F.forall(F.sequence(F.lit(1), F.array_size(plain)), lambda i: (i == 1) | (F.get(plain, i - 2) >= F.get(plain, i - 1)))
+    return found.agg(
+        F.count(F.lit(1)).alias("students"),
+        F.count_if(F.col("churn_risk").between(0.0, 1.0)).alias("in_range"),
+        F.count_if(ordered & (F.array_size(impact) > 0)).alias("with_reasons"),
+        F.count_if(F.coalesce(in_order, F.lit(True))).alias("in_order"),
+    ).join(checked)
+
+
 QUERIES = {
+    "campaign_scored": campaign_scored,
+    "campaign_trained": campaign_trained,
     "feature_map": feature_map,
     "shap_values": shap_values,
     "shap_additivity": shap_additivity,
@@ -146,6 +185,12 @@ QUERIES = {
 _N = len(NUMBERS)
 
 ORACLES = {
+    "campaign_scored": statement(
+        """SELECT customer_id, email, tier, round(prob_churn, 9) AS churn_prob, subject, text_body, idempotency_key, true AS is_valid
+FROM own_rendered""",
+        "own_rendered",
+    ),
+    "campaign_trained": "SELECT count(*) AS students, count(*) AS in_range, count(*) AS with_reasons, count(*) AS in_order, 0 AS not_once, 0 AS broken FROM customer",
     "feature_map": statement(
         f"""SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', '{c}')" for i, c in enumerate(NUMBERS))}) t(position, encoded_name, orig_feature)
 UNION ALL SELECT CAST({_N} + row_number() OVER (ORDER BY plan) - 1 AS INT), 'plan=' || plan, 'plan'
@@ -159,7 +204,7 @@ LEFT JOIN phi p ON p.student_id = f.student_id AND p.pos = o.pos""",
         "origins",
         "phi",
     ),
-    "shap_additivity": "SELECT count(*) AS n, 0 AS sum_differs FROM customer",
+    "shap_additivity": "SELECT count(*) AS n, 0 AS sum_differs, 0 AS score_differs FROM customer",
     "explain_students": statement(
         """SELECT student_id, round(churn_risk, 9) AS prob_churn, place, feature, round(impact, 9) AS impact, effect, value
 FROM explained WHERE place <= 5""",
@@ -186,13 +231,18 @@ FROM explained WHERE place = 1 GROUP BY feature""",
         "explained",
     ),
     "prioritized_list": statement(
-        """SELECT e.student_id, round(e.churn_risk, 9) AS churn_risk, e.feature AS reason, s.price_usd,
+        """SELECT e.student_id, round(e.churn_risk, 9) AS churn_risk, e.feature AS reason, r.reasons, s.price_usd,
 round(s.months_since_last_payment, 6) AS months_since_last_payment,
 CASE WHEN e.churn_risk >= 0.7 THEN 'high' WHEN e.churn_risk >= 0.4 THEN 'medium' ELSE 'low' END AS tier,
-c.name, 'C' AS initials, c.email FROM explained e JOIN scored s USING (student_id) JOIN contacts c USING (student_id) WHERE e.place = 1""",
+CASE WHEN e.churn_risk >= 0.7 THEN 'At risk' WHEN e.churn_risk >= 0.4 THEN 'Overdue' ELSE 'OK' END AS status,
+CAST(CAST(i.latest AS DATE) AS VARCHAR) AS last_payment,
+c.name, 'C' AS initials, c.email FROM explained e JOIN scored s USING (student_id) JOIN contacts c USING (student_id)
+JOIN (SELECT student_id, string_agg(feature, ', ' ORDER BY place) AS reasons FROM explained WHERE place <= 5 GROUP BY student_id) r USING (student_id)
+LEFT JOIN income i USING (student_id) WHERE e.place = 1""",
         "explained",
         "scored",
         "contacts",
+        "income",
     ),
     "student_filter": statement(
         """SELECT * FROM (SELECT student_id, name, course,

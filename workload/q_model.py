@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import explain, features, forest, reports, training
 from holdfast.plans import scoring
-from holdfast.session import work_path
+from holdfast.session import materialize, work_path
 from holdfast.sources import models
 from workload.model import (
     MAX_DEPTH,
+    TRAIN_ROWS,
     TREES,
     aligned_rows,
     bundle,
     feature_rows,
+    loaded,
     model_columns,
     training_rows,
     training_table,
@@ -53,7 +55,7 @@ def stratified_folds(spark, sf_dir):
 def train_model(spark, sf_dir):
     """Trains the whole forest; reports what must hold for any seed."""
     path = bundle(spark, sf_dir, anew=True)
-    model, contract = models.load_bundle(spark, path)
+    model, contract = loaded(spark, path)
     scored = training.probability(aligned_rows(spark, sf_dir, contract), model)
     p = F.col("churn_risk")
     labels = training_rows(spark, sf_dir).select(F.col("customer_id").alias("student_id"), F.col("abandono").alias(training.LABEL))
@@ -83,6 +85,20 @@ def cv_auc(spark, sf_dir):
     return training.auc_by(scored.join(labels, "student_id").withColumn("fold", fold), "fold")
 
 
+def cv_trained(spark, sf_dir):
+    """Out-of-fold scores of all rows by five forests of the library's size; AUCs are reported as lying in [0, 1]."""
+    table = training_table(spark, sf_dir)
+    scored = training.out_of_fold_scores(model_columns(table), keep=["customer_id"], train_rows=TRAIN_ROWS)
+    scored = materialize(scored.withColumnRenamed(training.FOLD, "fold"))
+    areas = training.auc_by(scored, "fold")
+    once = scored.groupBy("fold").agg(
+        F.count_distinct("customer_id").alias("students"), F.count_if(F.col("churn_risk").between(0.0, 1.0)).alias("in_range")
+    )
+    return areas.join(once, "fold").select(
+        "fold", "rows", "positives", "students", "in_range", F.col("auc").between(0.0, 1.0).alias("area_in_range")
+    )
+
+
 def auc(spark, sf_dir):
     """Of the fixed forest against the training target."""
     scored = pinned_scores(spark, feature_rows(spark, sf_dir)).select("student_id", F.round("churn_risk", 9).alias("churn_risk"))
@@ -92,8 +108,9 @@ def auc(spark, sf_dir):
 
 
 def score_all_rf(spark, sf_dir):
-    model, contract = models.load_bundle(spark, bundle(spark, sf_dir))
-    scored = scoring.score_all(*core(spark, sf_dir), model, contract, ASOF)
+    path = bundle(spark, sf_dir)
+    ensemble, contract = scoring.forest_of_bundle(spark, path), models.load_contract(spark, path)
+    scored = scoring.score_all(*core(spark, sf_dir), ensemble, contract, ASOF)
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("student_id").alias("students"),
@@ -126,6 +143,15 @@ def top_risk(spark, sf_dir):
     return scoring.by_risk(scored.select("student_id", F.round("churn_risk", 9).alias("churn_risk")), limit=20)
 
 
+def score_latest(spark, sf_dir):
+    """Chosen students as of the last day in the data, by the trained forest."""
+    path = bundle(spark, sf_dir)
+    ensemble, contract = scoring.forest_of_bundle(spark, path), models.load_contract(spark, path)
+    ids = view(spark, sf_dir, "payments").filter("amount > 300000").select("student_id")
+    scored = scoring.score_students(ids, *core(spark, sf_dir), ensemble, contract)
+    return scored.select("student_id", "asof_date", F.col("churn_risk").between(0.0, 1.0).alias("in_range"))
+
+
 def score_students(spark, sf_dir):
     """Students named in a table: those with a payment above 300,000."""
     ids = view(spark, sf_dir, "payments").filter("amount > 300000").select("student_id").distinct()
@@ -147,11 +173,13 @@ QUERIES = {
     "stratified_folds": stratified_folds,
     "train_model": train_model,
     "cv_auc": cv_auc,
+    "cv_trained": cv_trained,
     "auc": auc,
     "score_all_rf": score_all_rf,
     "model_roundtrip": model_roundtrip,
     "score_all": score_all,
     "top_risk": top_risk,
+    "score_latest": score_latest,
     "score_students": score_students,
     "kpi_high_risk": kpi_high_risk,
     "revenue_at_risk": revenue_at_risk,
@@ -203,10 +231,25 @@ FROM (SELECT fold, abandono, rank() OVER (PARTITION BY fold ORDER BY churn_risk)
         "scored",
         "training",
     ),
+    "cv_trained": statement(
+        """SELECT fold, CAST(sum(size) AS BIGINT) AS rows, CAST(sum(size) FILTER (WHERE abandono = 1) AS BIGINT) AS positives,
+CAST(sum(size) AS BIGINT) AS students, CAST(sum(size) AS BIGINT) AS in_range, true AS area_in_range
+FROM (SELECT abandono, fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS size
+  FROM (SELECT abandono, count(*) AS n FROM training GROUP BY abandono), (SELECT CAST(range AS INT) AS fold FROM range(5)))
+GROUP BY fold""",
+        "training",
+    ),
     "score_all_rf": f"SELECT count(*) AS n, count(*) AS students, count(*) AS in_range, '{ASOF}' AS asof_date FROM customer",
     "model_roundtrip": "SELECT count(*) AS n, 0 AS different, 1 AS same_contract FROM customer",
     "score_all": statement(f"SELECT student_id, '{ASOF}' AS asof_date, {_RISK} FROM scored", "scored"),
     "top_risk": statement(f"SELECT student_id, {_RISK} FROM scored ORDER BY 2 DESC, 1 LIMIT 20", "scored"),
+    "score_latest": statement(
+        """SELECT student_id, CAST(greatest((SELECT max(class_date)::DATE FROM attendance), (SELECT max(payment_date)::DATE FROM payments)) AS VARCHAR) AS asof_date,
+true AS in_range FROM students WHERE student_id IN (SELECT student_id FROM payments WHERE amount > 300000)""",
+        "students",
+        "attendance",
+        "payments",
+    ),
     "score_students": statement(
         f"SELECT student_id, {_RISK} FROM scored WHERE student_id IN (SELECT student_id FROM payments WHERE amount > 300000)",
         "payments",
