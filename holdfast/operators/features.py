@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions import dates, values
+from holdfast.operators import membership
+from holdfast.session import materialize
 
 # Trailing windows in days, paid statuses, sentinels for "never", the name of a
 # missing category.
@@ -18,7 +20,10 @@ PAYMENT_WINDOW = 90
 PAID_STATUSES = ("completed", "paid", "success", "approved", "ok")
 NEVER = 9999
 MISSING_CATEGORY = "None"
+# A key is hot if more than one row in so many has it; so there are fewer hot keys than that.
+HOT_SHARE = 256
 
+# The model's columns in order.
 FEATURES = [
     "student_id",
     "plan",
@@ -109,11 +114,12 @@ def payment_features(
     )
 
 
-def student_base(students: DataFrame, asof: str | dt.date) -> DataFrame:
+def student_base(students: DataFrame, asof: str | dt.date, keep: Sequence[str] = ()) -> DataFrame:
     """Per student row: cleaned plan and price, and whole days since signup (0 if unknown or later)."""
     tenure = dates.whole_days(dates.cutoff_of(asof), dates.lenient_timestamp(students, "signup_date"))
     return students.select(
         "student_id",
+        *keep,
         F.coalesce(F.col("plan").cast("string"), F.lit(MISSING_CATEGORY)).alias("plan"),
         values.number_or_zero(
             F.col("price_usd"), text=not isinstance(students.schema["price_usd"].dataType, T.NumericType)
@@ -131,19 +137,64 @@ def months_since(asof: str | dt.date, last: Column) -> Column:
     return F.coalesce(days.cast("double") / F.lit(30.0), F.lit(float(NEVER)))
 
 
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> tuple[list, bool]:
+    """The keys that more than one row in ``share`` has, by a sketch of fixed size, and whether NULL is one.
+
+    The sketch overestimates at most, by less than a tenth of the share, so it misses no hot key; one too many does no harm.
+    """
+    tracked = share * 64
+    top = F.call_function("approx_top_k", F.col(key), F.lit(share), F.lit(tracked))
+    found = df.select(key).agg(top.alias("top"), F.count(F.lit(1)).alias("rows"), F.count(key).alias("filled")).first()
+    hot = [x["item"] for x in found.top or [] if x["item"] is not None and x["count"] * share > found.rows]
+    return hot, (found.rows - found.filled) * share > found.rows
+
+
+def spread_joins(base: DataFrame, sides: Sequence[DataFrame], key: str, salt: str, hot: Sequence, parts: int) -> DataFrame:
+    """Left joins on a key that some of ``base`` share too often: its ``salt`` deals them to ``parts`` parts.
+
+    Only the hot keys' rows of the sides, one each, are copied to all parts. ``salt`` is dropped.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(parts - 1))
+    out = base
+    for side in sides:
+        copies = F.when(F.col(key).isin(*hot), numbers).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+        out = out.join(side.withColumn(salt, F.explode(copies)), [key, salt], "left")
+    return out.drop(salt)
+
+
 def student_features(
-    students: DataFrame, attendance: DataFrame, payments: DataFrame, asof: str | dt.date
+    students: DataFrame,
+    attendance: DataFrame,
+    payments: DataFrame,
+    asof: str | dt.date,
+    hot: tuple[Sequence, bool] | None = None,
 ) -> DataFrame:
     """The model's feature row per student row.
 
     Both histories are aggregated by student before the joins, so only partial sums are shuffled and
-    a student with a large share of the history costs no more than any other.
+    a student with a large share of the history costs no more than any other. Ids that a large share of ``students``
+    has, NULL among them, are found by a sketch of the id column unless ``hot`` names them (see `hot_keys`); their rows are dealt to
+    all partitions by a hash of the whole row, and only their sums are copied there.
     """
-    joined = (
-        student_base(students, asof)
-        .join(attendance_features(attendance, asof), "student_id", "left")
-        .join(payment_features(payments, asof), "student_id", "left")
-    )
+    aggregates = [attendance_features(attendance, asof), payment_features(payments, asof)]
+    return _feature_rows(students, aggregates, asof, hot)
+
+
+def _feature_rows(students: DataFrame, aggregates: Sequence[DataFrame], asof: str | dt.date, hot: tuple[Sequence, bool] | None) -> DataFrame:
+    """Feature rows from the students and what their histories came to."""
+    keys, nulls = hot_keys(students, "student_id") if hot is None else hot
+    if keys or nulls:
+        salt, parts = "_salt", int(students.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shared = F.col("student_id").isNull()
+        if keys:
+            shared = shared | F.col("student_id").isin(*keys)
+        drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in students.columns]), F.lit(parts)).cast("int")
+        salted = students.withColumn(salt, F.when(shared, drawn).otherwise(0))
+        joined = spread_joins(student_base(salted, asof, [salt]), aggregates, "student_id", salt, keys, parts)
+    else:
+        joined = student_base(students, asof)
+        for side in aggregates:
+            joined = joined.join(side, "student_id", "left")
 
     def filled(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
@@ -180,10 +231,17 @@ def features_of(
     payments: DataFrame,
     asof: str | dt.date,
 ) -> DataFrame:
-    """Features of chosen students. Listed ids filter the scans; ids in a table filter the students, whose histories
-    are aggregated first, so a student with much history is never shuffled row by row."""
+    """Features of chosen students. Listed ids filter the scans.
+
+    Ids in a table filter the students exactly; both histories are thinned out at their scans by a Bloom filter of the
+    ids, then aggregated, so a student with much history is never shuffled row by row. What the filter lets
+    through by mistake finds no student to join.
+    """
     if isinstance(ids, DataFrame):
-        return student_features(only_students(students, ids.distinct()), attendance, payments, asof)
+        wanted = materialize(ids.select("student_id").where("student_id IS NOT NULL").distinct())
+        n = wanted.count()
+        histories = [membership.possible(h, "student_id", wanted, "student_id", n) for h in (attendance, payments)]
+        return student_features(only_students(students, wanted), *histories, asof)
     return student_features(
         only_students(students, ids), only_students(attendance, ids), only_students(payments, ids), asof
     )
@@ -210,3 +268,88 @@ def align_features(
             c = values.number_or_zero(c, text=not is_number)
         out.append(c.alias(name))
     return df.select(*out)
+
+
+# Histories as daily partial sums. Partials of any days, in any order and number, add up: new days are appended, and every
+# as-of day is answered from them. A history up to 00:00 of the cutoff day needs that day's midnight rows apart.
+
+
+def _at_midnight(column: str) -> Column:
+    stamp = F.col(column).cast("timestamp_ntz")
+    return stamp == F.date_trunc("DAY", stamp)
+
+
+def daily_attendance(attendance: DataFrame) -> DataFrame:
+    """(student_id, day, latest, classes, midnight_rows, midnight_classes) per student and day."""
+    present, midnight = F.coalesce(F.col("present"), F.lit(1)).cast("bigint"), _at_midnight("class_date")
+    dated = attendance.where(F.col("class_date").isNotNull())
+    return dated.groupBy("student_id", F.col("class_date").cast("date").alias("day")).agg(
+        F.max(F.col("class_date").cast("timestamp_ntz")).alias("latest"),
+        F.sum(present).alias("classes"),
+        F.count_if(midnight).alias("midnight_rows"),
+        F.sum(F.when(midnight, present).otherwise(0)).alias("midnight_classes"),
+    )
+
+
+def daily_payments(payments: DataFrame, statuses: Sequence[str] = PAID_STATUSES) -> DataFrame:
+    """(student_id, day, latest, amount, payments, and the same at midnight) of the paid payments per student and day."""
+    midnight = _at_midnight("payment_date")
+    dated = paid_only(payments, statuses).where(F.col("payment_date").isNotNull())
+    return dated.groupBy("student_id", F.col("payment_date").cast("date").alias("day")).agg(
+        F.max(F.col("payment_date").cast("timestamp_ntz")).alias("latest"),
+        F.sum("amount").alias("amount"),
+        F.count("payment_id").alias("payments"),
+        F.count_if(midnight).alias("midnight_rows"),
+        F.sum(F.when(midnight, F.col("amount"))).alias("midnight_amount"),
+        F.count(F.when(midnight, F.col("payment_id"))).alias("midnight_payments"),
+    )
+
+
+def extend_daily(partials: DataFrame, path: str) -> None:
+    """Add the partials of new rows to a kept table, a folder per month; earlier files stay as they are."""
+    month = (F.year("day") * 100 + F.month("day")).alias("month")
+    partials.select("*", month).write.mode("append").partitionBy("month").parquet(path)
+
+
+def read_daily(spark: SparkSession, path: str, until: dt.date | None = None) -> DataFrame:
+    """The kept partials; only the months up to a day are read."""
+    kept = spark.read.parquet(path)
+    return kept if until is None else kept.where((F.col("month") <= until.year * 100 + until.month) & (F.col("day") <= F.lit(until)))
+
+
+def _last_until(cutoff: dt.date) -> Column:
+    """The latest time up to 00:00 of the cutoff day."""
+    midnight = F.lit(cutoff).cast("timestamp_ntz")
+    return F.max(F.when(F.col("day") < F.lit(cutoff), F.col("latest")).when(F.col("midnight_rows") > 0, midnight))
+
+
+def _days(cutoff: dt.date, days: int, whole: str, midnight: str) -> Column:
+    """A daily value of the trailing days: whole days before the cutoff day, and what that day has at midnight."""
+    first = F.lit(cutoff - dt.timedelta(days=days - 1))
+    day = F.col("day")
+    return F.when((day >= first) & (day < F.lit(cutoff)), F.col(whole)).when(day == F.lit(cutoff), F.col(midnight))
+
+
+def features_from_daily(
+    students: DataFrame,
+    attendance: DataFrame,
+    payments: DataFrame,
+    asof: str | dt.date,
+    hot: tuple[Sequence, bool] | None = None,
+) -> DataFrame:
+    """`student_features` from daily partials instead of histories."""
+    cutoff = dates.cutoff_of(asof)
+    seen = attendance.where(F.col("day") <= F.lit(cutoff)).groupBy("student_id")
+    paid = payments.where(F.col("day") <= F.lit(cutoff)).groupBy("student_id")
+    aggregates = [
+        seen.agg(
+            _last_until(cutoff).alias("last_class"),
+            *[F.coalesce(F.sum(_days(cutoff, n, "classes", "midnight_classes")), F.lit(0)).alias(f"total_classes_{n}d") for n in WINDOWS],
+        ),
+        paid.agg(
+            _last_until(cutoff).alias("last_payment"),
+            F.coalesce(F.sum(_days(cutoff, PAYMENT_WINDOW, "amount", "midnight_amount")), F.lit(0)).alias(f"payments_{PAYMENT_WINDOW}d_usd"),
+            F.coalesce(F.sum(_days(cutoff, PAYMENT_WINDOW, "payments", "midnight_payments")), F.lit(0)).alias(f"n_payments_{PAYMENT_WINDOW}d"),
+        ),
+    ]
+    return _feature_rows(students, aggregates, asof, hot)

@@ -188,6 +188,38 @@ def with_dense_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     return numbered.withColumn(name, start + F.col(place) + 1).drop(part, place)
 
 
+MOST_BROADCAST_SPLITS = 1_000_000
+
+
+def scan_row_ids(scan: DataFrame, start: int = 0, name: str = ROW_ID) -> DataFrame:
+    """Key start+1..start+n for the rows of a file scan, without a shuffle and without writing the rows first.
+
+    ``scan`` reads files and may project or filter. A first pass counts the rows of every split of every file, in order of
+    file and position; the second adds a row's place in its split to the rows before the split. Both passes cut the files
+    in the same way; a row of a split that the first one has not seen raises an error. Only one row per split reaches the driver.
+    """
+    part, split, place, file = "_part", "_split", "_place", "_metadata.file_path"
+    columns = [f"`{c}`" for c in scan.columns]
+    marks = [
+        F.spark_partition_id().alias(part),
+        F.struct(F.col(file).alias("file"), F.col("_metadata.file_block_start").alias("at")).alias(split),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place),
+    ]
+    key = F.xxhash64(f"{split}.file", f"{split}.at", part)
+    counted = scan.select(*marks).groupBy(part, split).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    found = sorted(counted.select(key.alias("key"), split, "n", "first").collect(), key=lambda r: (r[split].file, r[split].at, r["first"]))
+    bases, total = [], start
+    for r in found:
+        bases.append((r["key"], total - r["first"]))
+        total += r["n"]
+    table = scan.sparkSession.createDataFrame(bases, "_key long, _base long")
+    if len(bases) <= MOST_BROADCAST_SPLITS:
+        table = F.broadcast(table)
+    numbered = scan.select(*columns, *marks).withColumn("_key", key).join(table, "_key", "left")
+    lost = F.raise_error(F.lit("the files were cut in another way between the two passes")).cast("bigint")
+    return numbered.select(*columns, (F.coalesce("_base", lost) + F.col(place) + 1).alias(name))
+
+
 def table_columns(tables: dict[str, DataFrame], filled: bool = False) -> DataFrame:
     """Columns of tables: name, position and type, from the schemas alone; on demand the number of non-NULL values."""
     out = None

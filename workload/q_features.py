@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import dates, risk, text, values
 from holdfast.operators import features, messages
+from holdfast.session import work_path
 from workload.model import feature_rows
 from workload.oracle import PAID, days, statement
 from workload.pinned import CONTRACT
-from workload.tables import ASOF, CUTOFF, EVENTS_ASOF, core, view
+from workload.tables import ASOF, CUTOFF, EARLIER_ASOF, EARLIER_CUTOFF, EVENTS_ASOF, core, view
 
 
 def infer_asof(spark, sf_dir):
@@ -72,6 +73,22 @@ def student_features(spark, sf_dir):
     return feature_rows(spark, sf_dir).withColumn("months_since_last_payment", F.round("months_since_last_payment", 6))
 
 
+def features_incremental(spark, sf_dir):
+    """Two as-of days from one table of daily partials, which was written in two goes, the later days first."""
+    students, attendance, payments = core(spark, sf_dir)
+    folder, middle = work_path(spark, "daily"), F.lit("1999-01-01").cast("date")
+    for name, rows, column in (("attendance", attendance, "class_date"), ("payments", payments, "payment_date")):
+        daily = features.daily_attendance if name == "attendance" else features.daily_payments
+        for part in (F.col(column) >= middle, F.col(column) < middle):
+            features.extend_daily(daily(rows.where(part)), f"{folder}/{name}")
+    out = None
+    for asof in (ASOF, EARLIER_ASOF):
+        kept = [features.read_daily(spark, f"{folder}/{n}", dates.cutoff_of(asof)) for n in ("attendance", "payments")]
+        rows = features.features_from_daily(students, *kept, asof).withColumn("asof_date", F.lit(asof))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("months_since_last_payment", F.round("months_since_last_payment", 6))
+
+
 def align_features(spark, sf_dir):
     rows = feature_rows(spark, sf_dir).drop("total_classes_60d").withColumn("price_usd", F.col("price_usd").cast("string"))
     out = features.align_features(
@@ -135,6 +152,7 @@ QUERIES = {
     "attendance_features": attendance_features,
     "payment_features": payment_features,
     "student_features": student_features,
+    "features_incremental": features_incremental,
     "align_features": align_features,
     "unknown_students": unknown_students,
     "risk_tier": risk_tier,
@@ -181,6 +199,10 @@ CAST(coalesce(amount, 0) AS DOUBLE) AS payments_90d_usd, payments AS n_payments_
         "income",
     ),
     "student_features": statement(f"SELECT * REPLACE ({_MONTHS}) FROM features", "features"),
+    "features_incremental": statement(f"SELECT * REPLACE ({_MONTHS}), '{ASOF}' AS asof_date FROM features", "features")
+    + " UNION ALL ("
+    + statement(f"SELECT * REPLACE ({_MONTHS}), '{EARLIER_ASOF}' AS asof_date FROM features", "features").replace(CUTOFF, EARLIER_CUTOFF)
+    + ")",
     "align_features": statement(
         f"""SELECT student_id, plan, price_usd, CAST(tenure_days AS DOUBLE) AS tenure_days,
 CAST(days_since_last_attendance AS DOUBLE) AS days_since_last_attendance, CAST(total_classes_30d AS DOUBLE) AS total_classes_30d,

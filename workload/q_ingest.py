@@ -153,7 +153,11 @@ def schema_evolve(spark, sf_dir):
 
 def row_ids(spark, sf_dir):
     i = F.col("_row_id")
-    numbered = types.with_dense_row_id(base(spark, sf_dir, "lineitem").select("l_orderkey"))
+    """Numbers of two scans, the second from where the first one ends."""
+    lines = base(spark, sf_dir, "lineitem").select("l_orderkey")
+    orders = base(spark, sf_dir, "orders").select("o_orderkey")
+    first = types.scan_row_ids(orders)
+    numbered = first.select("_row_id").unionByName(types.scan_row_ids(lines, start=orders.count()).select("_row_id"))
     return numbered.agg(
         F.count(i).alias("n"), F.count_distinct(i).alias("ids"), F.min(i).alias("first"), F.max(i).alias("last")
     )
@@ -256,7 +260,7 @@ strftime({_STAMP}, '%Y-%m-%d %H:%M:%S') AS parsed_datetime FROM (SELECT row_id,
 UNION ALL SELECT payment_id, student_id, NULL, CAST(amount AS DOUBLE) FROM payments""",
         "payments",
     ),
-    "row_ids": "SELECT count(*) AS n, count(*) AS ids, 1 AS first, count(*) AS last FROM lineitem",
+    "row_ids": "SELECT count(*) AS n, count(*) AS ids, 1 AS first, count(*) AS last FROM (SELECT 1 FROM lineitem UNION ALL SELECT 1 FROM orders)",
     "label_count": statement("SELECT count(*) AS positives FROM training WHERE abandono = 1", "training"),
     "training_columns": statement(
         """SELECT column_name, role, CASE column_name WHEN 'email' THEN (SELECT count(email) FROM students)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ASOF = "2001-01-01"
 CUTOFF = "2000-12-31"
+EARLIER_ASOF = "1998-07-15"
+EARLIER_CUTOFF = "1998-07-14"
 EVENTS_ASOF = "2024-01-31"
 
 BASE = ["customer", "orders", "lineitem", "events"]
