@@ -26,6 +26,18 @@ def heavy(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     return counts.where(F.col(rows) * HEAVY_SHARE > total).select(key, parts.alias("parts"))
 
 
+def with_values(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, value: str) -> DataFrame:
+    """`rows` with the `value` (never null) that `table` has for their key; NULL where it has none.
+
+    `table` has one row per key and the `count` of rows with it, of `total` in all. Keys with a large share of them, which
+    are few, are looked up in a broadcast table; the others are joined by a shuffle.
+    """
+    plain = table.select(key, value)
+    first = rows.join(F.broadcast(heavy(table, key, count, total).select(key).join(plain, key)), key, "left")
+    rest = first.where(F.col(value).isNull()).drop(value).join(plain, key, "left")
+    return first.where(F.col(value).isNotNull()).unionByName(rest)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the links `a`-`b`; root is the smallest node that links reach.
 

@@ -6,14 +6,15 @@ link when 100 * intersection >= percent * union. The result is exact up to equal
 1. Equal sets are one class. Of every class the tokens below a hash threshold are counted over all classes. A token that no
    other class has is a miss against every other; a class with more misses than a link allows is alone. What is left are
    the candidates, whose whole sets are made.
-2. Candidates keep the tokens below a second threshold, and a prefix of the least tokens so long that two that link share
-   one of it. In a few rounds every class not yet linked is compared with one leader, the class that most of its tokens
-   name. The links found make groups; classes left alone join the ones with the same leader. Groups are split into blocks
-   of bounded size.
-3. The token-group matrix: every kept token with the blocks that have it, which is a block's union of tokens. Joining a
-   class with it counts the overlap with each block, and bounds the tokens that it misses in all members. Only blocks
-   within the allowed misses are opened, and their members compared. Pairs that links connect already need no comparison.
-4. Components over all links.
+2. In a few rounds every candidate not yet linked is compared with one leader, the class that most of its least tokens
+   name. The links found make groups.
+3. A token that only one group has is a miss against all classes outside of it. Classes with too many such misses are closed:
+   first by the tokens below a threshold, then by all tokens of the few that are left. Only open classes go on.
+4. The token-group matrix: open classes of a group, with sizes and shares of misses alike, are one coarse group; every token
+   with the coarse groups that have it is their unions of tokens. Joining a class with it counts its overlap with each union.
+   Where that overlap may suffice, the same is asked of the blocks of the coarse group, which are of bounded size; only
+   qualifying blocks are opened and their members compared. Pairs that links connect already need no comparison.
+5. Components over all links.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components, stored
+from holdfast.llm.components import components, stored, with_values
 from holdfast.llm.words import coded, hashes, mix, rolled, slices, split, starts_of
+from holdfast.operators.membership import possible
 
 PERCENT = 75
 SHINGLE = 5
 COUNTED = 0.4
-KEPT = 0.5
+KEPT = 0.4
 ROUNDS = 4
+# Least tokens by which classes name a leader, and coarse groups per size by the share of misses.
+NAMED_BY = 16
+SHARES = 8
 BLOCK = 128
 
 _BITS = 52
@@ -125,98 +130,134 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     text = F.col("text").cast("string")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     base = stored(docs.mapInArrow(_per_document(k, _describe), "doc_id long, mark long, n_shingles long, cls long"), "sets")
-    sets = _candidate_sets(docs, base, k, percent)
-    kept = _kept_tokens(sets, percent)
-    found, first = _leader_links(kept, sets, percent)
-    links = found.unionByName(_open_groups(kept, sets, components(found, "a", "b"), first, percent))
-    roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
-    named = base.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    whole = named.join(least, "root", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    named = base.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls")
+    classes = stored(named.agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
+    sets = _candidate_sets(docs, classes, k, percent)
+    found, near = _leader_links(sets, percent)
+    links = found.unionByName(_group_links(sets, components(found, "a", "b"), near, percent))
+    # A node sorts by its least doc_id, so the root of a component begins with the component's id.
+    ends = classes.select("cls", F.struct("least", "cls").alias("end"))
+    links = links.join(ends.withColumnsRenamed({"cls": "a", "end": "x"}), "a").join(ends.withColumnsRenamed({"cls": "b", "end": "y"}), "b")
+    roots = components(links, "x", "y").select(F.col("node.cls").alias("cls"), F.col("root.least").alias("root"))
+    known = classes.join(roots, "cls", "left").select("cls", "rows", F.coalesce("root", "least").alias("own"))
+    whole = with_values(base, stored(known, "known"), "cls", "rows", base.count(), "own")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), "mark")
 
 
-def _candidate_sets(docs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cls, n, tokens, low) of the classes that may link with another one; `low` tokens are below the KEPT threshold."""
+def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cls, n, tokens) of the classes that may link with another one; tokens in order."""
     counted = docs.mapInArrow(_per_document(k, _counted), "token long, cls long")
     ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
     misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
-    classes = base.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(misses, "cls", "left")
-    reps = classes.where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent)).select("cls", "doc_id")
-    reps = stored(reps, "candidates")
-    chosen = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = classes.join(misses, "cls", "left").where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent))
+    reps = stored(reps.select("cls", F.col("least").alias("doc_id")), "candidates")
+    chosen = possible(docs, "doc_id", reps, "doc_id", reps.count()).join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>")
     sets = sets.join(reps, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
-    low = F.size(F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS))))
-    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens", low.alias("low")), "tokens")
+    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens"), "tokens")
 
 
-def _kept_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, low, is_low) for the low and the prefix tokens of every class that other classes keep too."""
-    length = F.greatest(F.col("low"), (_allowed_misses("n", percent) + 1).cast("int"))
-    rows = sets.select("cls", "n", "low", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
-    ends = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    shared = rows.join(ends, "token", "left_semi")
-    return stored(shared.select("token", "cls", "n", "low", (F.col("at") < F.col("low")).alias("is_low")), "kept")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("own")), "a")
+    both = both.join(sets.select(F.col("cls").alias("b"), "tokens"), "b")
+    return both.where(_links("own", "tokens", percent)).select("a", "b")
 
 
-def _leader_links(kept: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _leader_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) with leaders, and (cls, leader) of the first round. Each round orders the classes differently."""
+    least = stored(sets.select("cls", F.least("n", F.lit(NAMED_BY)).alias("of"), F.explode(F.slice("tokens", 1, NAMED_BY)).alias("token")), "least")
     found = first = None
     for r in range(ROUNDS):
-        order = F.xxhash64(F.lit(r), "cls")
-        leaders = kept.groupBy("token").agg(F.min_by("cls", order).alias("leader"))
-        votes = kept.join(leaders, "token").where("cls <> leader")
+        leaders = least.groupBy("token").agg(F.min_by("cls", F.xxhash64(F.lit(r), "cls")).alias("leader"))
+        votes = least
         if found is not None:
-            linked = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            votes = votes.join(linked, "cls", "left_anti")
-        votes = votes.groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"))
-        named = votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+            votes = votes.join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti")
+        votes = votes.join(leaders, "token").where("cls <> leader").groupBy("cls", "leader")
+        votes = votes.agg(F.count(F.lit(1)).alias("votes"), F.max("of").alias("of")).groupBy("cls")
+        named = votes.agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"), F.max("votes").alias("votes"), F.max("of").alias("of"))
         if first is None:
             named = first = stored(named, "leaders")
-        pairs = named.join(sets.select("cls", F.col("tokens").alias("own")), "cls")
-        pairs = pairs.join(sets.select(F.col("cls").alias("leader"), "tokens"), "leader")
-        new = stored(pairs.where(_links("own", "tokens", percent)).select(F.col("cls").alias("a"), F.col("leader").alias("b")), "found")
+        # With fewer tokens in common a link is unlikely; the matrix finds it then.
+        pairs = named.where("2 * votes >= of").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+        new = stored(_verified(pairs, sets, percent), "found")
         found = new if found is None else found.unionByName(new)
-    return found, first
+    return found, first.select("cls", "leader")
 
 
-def _open_groups(kept: DataFrame, sets: DataFrame, grouped: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _open_classes(rows: DataFrame, percent: int) -> DataFrame:
+    """(cls, inner) of the classes whose `inner` tokens, those of their own group only, leave room for a link outside."""
+    spans = rows.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("token")
+    outer = rows.join(spans, "token", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("outer"))
+    mine = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")).join(outer, "cls")
+    inner = (F.col("held") - F.col("outer")).alias("inner")
+    return mine.select("cls", "n", inner).where(F.col("inner") <= _allowed_misses("n", percent)).select("cls", "inner")
+
+
+def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that are not connected yet."""
     labels = grouped.select(F.col("node").alias("cls"), "root")
-    leaders = first.join(labels.withColumnsRenamed({"cls": "leader", "root": "near"}), "leader", "left")
+    leaders = near.join(labels.withColumnsRenamed({"cls": "leader", "root": "near"}), "leader", "left")
     leaders = leaders.select("cls", F.coalesce("near", "leader").alias("near"))
-    members = kept.select("cls", "n").distinct().join(labels, "cls", "left").join(leaders, "cls", "left")
+    members = sets.select("cls", "n").join(labels, "cls", "left").join(leaders, "cls", "left")
     members = members.select(
         "cls",
+        "n",
         # Sizes of sets that link are in the same or in neighbouring classes.
         F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("size"),
-        F.coalesce("root", "cls").alias("root"),
+        F.coalesce("root", "cls").alias("gid"),
         F.col("root").isNull().alias("alone"),
         F.coalesce("root", "near", "cls").alias("group"),
     )
     members = stored(members, "members")
-    parts = members.groupBy("group", "alone", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    name = F.xxhash64("group", "alone", "size", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    placed = members.join(parts, ["group", "alone", "size"])
-    placed = placed.select("cls", "size", "root", "alone", "group", name.alias("block"))
-    placed = stored(placed, "placed")
-
-    # A class that is alone asks all blocks of a fitting size; a class of a group those of later groups.
-    rows = kept.join(placed, "cls")
-    names = {"group": "other", "alone": "others_alone", "size": "others_size"}
-    matrix = rows.select("token", "block", *names).withColumnsRenamed(names).distinct()
-    asked = rows.drop("block", "root").join(matrix, "token").where("abs(size - others_size) <= 1")
-    asked = asked.where("alone OR (NOT others_alone AND group < other)")
-    overlap = asked.groupBy("cls", "block", "n", "low").agg(F.count_if("is_low").alias("both"))
-    opened = overlap.where(F.col("low") - F.col("both") <= _allowed_misses("n", percent)).select("cls", "block")
-
-    blocks = placed.join(sets.select("cls", "tokens"), "cls").groupBy("block")
-    blocks = blocks.agg(F.collect_list(F.struct("cls", "root", "tokens")).alias("members"))
-    queries = opened.join(placed.select("cls", "root"), "cls").join(sets.select("cls", F.col("tokens").alias("own")), "cls")
-    pairs = queries.join(blocks, "block")
-    hits = F.filter("members", lambda m: (m["root"] != F.col("root")) & _links("own", m["tokens"], percent))
-    # One link to each group of the block would do; the classes of a block are few.
-    return stored(pairs.select(F.col("cls").alias("a"), F.explode(hits["cls"]).alias("b")), "opened")
+    below = F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS)))
+    low = sets.select("cls", F.explode(below).alias("token")).join(members.select("cls", "n", "gid"), "cls")
+    few = F.size(below) == 0
+    # Classes without a token below the threshold stay open.
+    open_ = _open_classes(low, percent).select("cls").unionByName(sets.where(few).select("cls"))
+    whole = sets.join(stored(open_, "open"), "cls", "left_semi").select("cls", F.explode("tokens").alias("token"))
+    rows = stored(whole.join(members.select("cls", "n", "gid"), "cls"), "rows")
+    placed = members.join(_open_classes(rows, percent), "cls")
+    share = F.floor(F.col("inner") * 100 * SHARES / (F.col("n") * (100 - percent)))
+    placed = placed.withColumn("coarse", F.xxhash64("group", "alone", "size", share))
+    parts = placed.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    block = F.xxhash64("coarse", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    placed = stored(placed.join(parts, "coarse").withColumn("block", block), "placed")
+    rows = rows.join(placed.drop("n", "gid"), "cls")
+
+    asked = _qualifying(rows, rows, "coarse", [], percent)
+    fine = rows.join(asked, "cls").where("asked_coarse IS NOT NULL")
+    opened = _qualifying(fine, rows, "block", [F.col("asked_coarse") == F.col("other_coarse")], percent)
+    opened = stored(opened, "opened")
+    a = opened.join(placed.select("cls", "n", "gid", "inner", "alone", "group"), "cls").withColumnRenamed("asked_block", "block")
+    others = {c: f"other_{c}" for c in ("cls", "n", "gid", "inner")}
+    b = placed.select("block", *others).withColumnsRenamed(others)
+    near_size = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.col("gid") != F.col("other_gid"))
+    # Each of the two has at least its inner tokens as misses.
+    room = F.col("inner") * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
+    room = room & (F.col("other_inner") * 100 + F.col("inner") * percent <= F.col("other_n") * (100 - percent))
+    pairs = a.join(b, "block").where(near_size & room)
+    pairs = pairs.select(F.least("cls", "other_cls").alias("a"), F.greatest("cls", "other_cls").alias("b")).distinct()
+    return stored(_verified(pairs, sets, percent), "opened_links")
+
+
+def _qualifying(asking: DataFrame, rows: DataFrame, level: str, also: list, percent: int) -> DataFrame:
+    """(cls, asked_<level>): the unions of tokens with which a class may have enough in common for a link.
+
+    A class that is alone asks all unions of a fitting size, a class of a group those of later groups.
+    """
+    names = ["coarse", "group", "alone", "size"]
+    unions = rows.groupBy("token", level, *[c for c in names if c != level]).agg(F.count(F.lit(1)).alias("holders"))
+    least = rows.groupBy(level).agg(F.min("inner").alias("other_inner"))
+    unions = unions.withColumnsRenamed({c: f"other_{c}" for c in dict.fromkeys([level, *names])})
+    met = asking.join(unions, "token").where(F.abs(F.col("size") - F.col("other_size")) <= 1)
+    met = met.where("alone OR (NOT other_alone AND group < other_group)")
+    # In its own union a class is one of the holders.
+    met = met.where((F.col(level) != F.col(f"other_{level}")) | (F.col("holders") > 1))
+    for condition in also:
+        met = met.where(condition)
+    overlap = met.groupBy("cls", "n", f"other_{level}").agg(F.count(F.lit(1)).alias("both"))
+    overlap = overlap.join(least.withColumnRenamed(level, f"other_{level}"), f"other_{level}")
+    room = (F.col("n") - F.col("both")) * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
+    return overlap.where(room).select("cls", F.col(f"other_{level}").alias(f"asked_{level}"))
