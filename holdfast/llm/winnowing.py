@@ -39,24 +39,54 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _kept_grams(rows: DataFrame, span: int) -> DataFrame:
-    """Rows (key columns, span, hash, pos) of the grams that winnowing keeps from the `words` of each row."""
-    gram = min(GRAM, span)
-    width = span - gram + 1
+def _paired(array: Column, other: Column, shift: int, size: Column, step) -> Column:
+    """step(array[i], other[i + shift]) for all i at which both are there; `size` is the size of `other`."""
+    left = F.greatest(size - shift, F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), left), F.slice(other, F.lit(shift + 1), left), step)
+
+
+def _with_runs(rows: DataFrame, one: str, out: str, length: int, step, joint: bool) -> DataFrame:
+    """Adds `out`: of every `length` consecutive values of `one`, the value of all by `step`, put together by doubling.
+
+    With `joint` the two halves of a run may overlap, as they may for a least value; else they follow each other.
+    """
+    names, done = {1: one}, 1
+    while done < length:
+        half = min(done, length - done)
+        if half not in names:
+            half = max(n for n in names if n <= half)
+        shift = length - done if joint and 2 * done >= length else done
+        other = names[done] if joint else names[half]
+        to = done + (shift if joint else half)
+        rows = rows.withColumn(f"{out}_{to}", _paired(F.col(names[done]), F.col(other), shift, F.size(other), step))
+        done = to
+        names[done] = f"{out}_{to}"
+    return rows.withColumn(out, F.col(names[length])).drop(*[n for n in names.values() if n != one])
+
+
+def _kept_grams(rows: DataFrame, spans: list[int]) -> DataFrame:
+    """Rows (key columns, span, hash, pos) of the grams that winnowing keeps from the `words` of each row, for every span.
+
+    Words are hashed once, grams once for each gram length, and the least of a window by few shifted comparisons.
+    """
     keys = [c for c in rows.columns if c != "words"]
-    marked = rows.where(F.size("words") >= span).select(*keys, F.transform("words", lambda w: F.hash(w)).alias("marks"))
-    hashed = marked.withColumn(
-        "grams", F.transform(_upto(F.size("marks") - gram + 1), lambda i: _placed_hash(F.slice("marks", i, gram), i))
-    )
-    least = F.transform(_upto(F.size("grams") - width + 1), lambda i: F.array_min(F.slice("grams", i, width)))
-    kept = hashed.select(*keys, F.lit(span).alias("span"), F.explode(F.array_distinct(least)).alias("kept"))
+    out = rows.select(*keys, F.transform("words", lambda w: F.hash(w)).alias("marks"))
+    grams = sorted({min(GRAM, s) for s in spans})
+    for gram in grams:
+        out = _with_runs(out, "marks", "run", gram, lambda a, b: F.hash(a, b), joint=False)
+        out = out.withColumn(f"grams_{gram}", F.transform("run", _placed)).drop("run")
+    for span in spans:
+        gram = min(GRAM, span)
+        out = _with_runs(out, f"grams_{gram}", f"least_{span}", span - gram + 1, lambda a, b: F.least(a, b), joint=True)
+    kept = [F.struct(F.lit(s).alias("span"), F.array_distinct(f"least_{s}").alias("kept")) for s in spans]
+    kept = out.select(*keys, F.inline(F.array(*kept))).select(*keys, "span", F.explode("kept").alias("kept"))
     pos = F.col("kept").bitwiseAND(F.lit(_LOW)).cast("int")
     return kept.select(*keys, "span", F.shiftright("kept", 31).alias("hash"), pos.alias("pos"))
 
 
-def _placed_hash(gram: Column, pos: Column) -> Column:
-    """A 31-bit hash of word hashes above the position (arrays have at most 2^31 elements): the least one is the first of the least."""
-    return F.shiftleft(F.hash(gram).cast("long").bitwiseAND(F.lit(_LOW)), 31).bitwiseOR(pos.cast("long"))
+def _placed(gram: Column, at: Column) -> Column:
+    """31 bits of a gram's hash above its place from 1 (arrays have at most 2^31 elements): the least one is the first of the least."""
+    return F.shiftleft(gram.cast("long").bitwiseAND(F.lit(_LOW)), 31).bitwiseOR(at.cast("long") + 1)
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -86,13 +116,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     if not spans:
         return _report(plain.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")}), with_mark)
 
-    hits = None
-    for length in spans:
-        known = items.where(F.col("span") == length).select(F.split("window", " ").alias("words"))
-        known = _kept_grams(known, length).select("span", "hash").distinct()
-        met = _kept_grams(docs, length).join(known, ["span", "hash"], "left_semi").drop("hash")
-        hits = met if hits is None else hits.unionByName(met)
-    hits = hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("span", "pos")).alias("places"))
+    known = [_kept_grams(items.where(F.col("span") == n).select(F.split("window", " ").alias("words")), [n]) for n in spans]
+    marks = known[0]
+    for more in known[1:]:
+        marks = marks.unionByName(more)
+    met = _kept_grams(docs, spans).join(marks.select("span", "hash").distinct(), ["span", "hash"], "left_semi").drop("hash")
+    # Rows that share id and text are looked at once from here on.
+    hits = met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("span", "pos")).alias("places"))
     hits = stored(hits, "hits").withColumnsRenamed({"doc_id": "hit_id", "mark": "hit_mark"})
 
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark"))
