@@ -142,3 +142,58 @@ def bounded_shards(documents: DataFrame, shards: int = 40, virtual: int = VIRTUA
         (F.col("slot_base") + F.col("rank")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded_rows(documents: DataFrame, shards: int = 40, **settings) -> DataFrame:
+    """All columns of the documents with those of `bounded_shards`, which win over columns of the same name.
+
+    Rows that agree in id, size and checksum take the places dealt to them in any order. Few rows do as a rule; a row that is
+    repeated without end is numbered in parts.
+    """
+    dealt = bounded_shards(documents, shards, **settings)
+    key = ["doc_id", "size", "text_crc32"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
+    dealt = stored(dealt, "dealt")
+    many = stored(dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+
+    single = _met(rows, dealt, key, many)
+    repeated = _met(_numbered(rows, key, many), _numbered(dealt, key, many), [*key, "number"])
+    added = [c for c in dealt.columns if c != "doc_id"]
+    kept = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in added]
+    return single.unionByName(repeated).select(*kept, *added)
+
+
+def _equal(a: str, b: str, names: list[str]):
+    found = F.lit(True)
+    for c in names:
+        found = found & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return found
+
+
+def _met(rows: DataFrame, dealt: DataFrame, key: list[str], without: DataFrame | None = None) -> DataFrame:
+    """Rows with what was dealt under the same key; keys in `without` are left out."""
+    if without is not None:
+        rows = rows.alias("r").join(without.alias("w"), _equal("r", "w", key), "left_anti")
+        dealt = dealt.alias("d").join(without.alias("w"), _equal("d", "w", key), "left_anti")
+    columns = [F.col(f"d.{c}").alias(c) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    return rows.alias("r").join(dealt.alias("d"), _equal("r", "d", key)).select(F.col("r.row").alias("row"), *columns)
+
+
+def _numbered(rows: DataFrame, key: list[str], many: DataFrame) -> DataFrame:
+    """The rows with a key of `many`, numbered from 1 under their key, in parts, so that no key fills a task."""
+    mine = rows.alias("r").join(many.alias("m"), _equal("r", "m", key), "left_semi")
+    # Written, so that both uses see the same parts.
+    fixed = stored(mine.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(CHUNK))), "numbered")
+    sizes = fixed.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(0)))
+    placed = fixed.withColumn("inside", inside).alias("r").join(starts.alias("s"), _equal("r", "s", [*key, "part"]))
+    columns = [F.col(f"r.{c}").alias(c) for c in rows.columns]
+    return placed.select(*columns, (F.col("start") + F.col("inside")).alias("number"))

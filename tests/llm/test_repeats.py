@@ -1,9 +1,11 @@
 """Repeats, near copies and benchmark passages against brute force."""
 
+import random
 from collections import Counter
 
 import corpus
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.llm import doubling, group_join, suffix_dedup, winnowing
 from holdfast.llm.components import components
@@ -106,6 +108,49 @@ def test_benchmark(spark, rows):
     assert collected(none) == corpus.contamination(rows, [], 10)
 
 
+def test_benchmark_items_of_every_length(spark, rows):
+    long = [t for _, t in rows if t and len(t) > 900][0].split(" ")
+    items = [(n, " ".join(long[5 * n : 6 * n])) for n in range(1, 13)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert collected(winnowing.contamination(corpus.frame(spark, rows), bench)) == corpus.contamination(rows, items, 10)
+
+
+def test_runs_by_doubling(spark):
+    """Least values and hashes of runs of any length, and of arrays that are shorter than the run."""
+    arrays = [[5, 3, 8, 1, 9, 2, 7, 7, 0, 4], [3], [], [2, 1]]
+    table = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "id int, a array<int>")
+    for n in range(1, 9):
+        out = winnowing._with_runs(table, "a", "m", n, lambda a, b: F.least(a, b), joint=True)
+        out = winnowing._with_runs(out, "a", "s", n, lambda a, b: F.concat(a.cast("string"), F.lit("-"), b.cast("string")) if n > 1 else a, joint=False)
+        for r in out.collect():
+            a = arrays[r.id]
+            assert r.m == [min(a[i : i + n]) for i in range(len(a) - n + 1)]
+            if n > 1:
+                assert r.s == ["-".join(map(str, a[i : i + n])) for i in range(len(a) - n + 1)]
+
+
+@pytest.mark.parametrize("named_by", [1, 16])
+def test_join_where_leaders_find_little(spark, monkeypatch, named_by):
+    """Chains of texts of which only neighbours link, and many texts with one passage that do not link."""
+    monkeypatch.setattr(group_join, "NAMED_BY", named_by)
+    monkeypatch.setattr(group_join, "ROUNDS", 1)
+    monkeypatch.setattr(group_join, "BLOCK", 3)
+    rng = random.Random(4)
+    word = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    passage, made, i = word(30), [], 0
+    for _ in range(25):
+        made.append((i := i + 1, " ".join(passage + word(rng.choice([1, 2, 6, 7])))))
+    for _ in range(6):
+        text = word(60)
+        for _ in range(6):
+            made.append((i := i + 1, " ".join(text)))
+            at = rng.randrange(50)
+            text = text[:at] + word(1) + text[at + 1 :]
+    rng.shuffle(made)
+    found = group_join.jaccard_components(corpus.frame(spark, made)).drop("mark")
+    assert collected(found) == corpus.components(made)
+
+
 def test_native_plan(spark, rows):
     """Winnowing runs no Python."""
     found = winnowing.contamination(corpus.frame(spark, rows), spark.createDataFrame([(1, "one")], "item_id long, text string"))
