@@ -52,8 +52,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for every document that is left."""
-    return ring.bounded_shards(docs)
+    """Every document that is left, with all its columns, its shard and its slot in it."""
+    return ring.sharded_rows(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
