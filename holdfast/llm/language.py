@@ -5,7 +5,9 @@ language has a probability for every piece. The probability of a word is the sum
 products of the pieces' probabilities, found by a forward pass over the characters. Piece probabilities are learned by
 expectation maximisation with forward and backward passes over word counts.
 
-Words are the maximal runs of letters, lower-cased. The language with the largest sum of log probabilities over all words
+Words are the maximal runs of letters, lower-cased. A long run, as in scripts without spaces, is scored as a whole: what a
+piece of it does to the sums over the last characters is a small matrix for each language, and the matrices of the consecutive pieces are
+multiplied, scaled as they go. For the fit alone, long runs count as consecutive runs of 64 letters. The language with the largest sum of log probabilities over all words
 of the text and of the log prior wins.
 """
 
@@ -27,6 +29,9 @@ TRAIN_DOCS = 20_000
 ROUNDS = 3
 LONGEST = 8
 FLOOR = 0.1
+# Letters of a run that are scored in one pass; a longer run is put together from steps of STEP letters.
+SHORT = 24
+STEP = 16
 UNKNOWN = "und"
 SLICE = 8 << 20
 
@@ -95,7 +100,7 @@ def letter_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def by_length(runs: list[str], most: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(which, characters) blocks of runs of equal length. A run beyond `most` is scored in consecutive pieces of it."""
+    """(which, characters) blocks of runs of equal length. A run beyond `most` is taken in consecutive pieces of it."""
     parts = [(i, r[s : s + most]) for i, r in enumerate(runs) for s in range(0, len(r), most)]
     lengths = np.array([len(p) for _, p in parts], np.int64)
     which = np.array([i for i, _ in parts], np.int64)
@@ -126,12 +131,56 @@ def forward(edges, p: np.ndarray, rows: int) -> list[np.ndarray]:
     return alpha
 
 
+def steps(pieces: Pieces, p: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What steps of a run do: rows x languages x to x from, where `from` and `to` count back from the step's start and end.
+
+    `chars` holds the `pieces.longest` - 1 characters before each step and those of the step, `lengths` of them in use.
+    """
+    back, rows, langs = pieces.longest, len(chars), p.shape[1]
+    n = chars.shape[1] - back + 1
+    # sums[back - 1 + e][row, k]: of all ways to end at e that leave the run's part before the step at its k-th last place.
+    sums = np.zeros((back + n, rows, back, langs))
+    for k in range(back):
+        sums[back - 1 - k, :, k] = 1.0
+    for e in range(1, n + 1):
+        for size in range(1, back + 1):
+            number = pieces.find(chars[:, e + back - 1 - size : e + back - 1])
+            # Unlisted pieces have the number -1, the row of zeros.
+            sums[back - 1 + e] += sums[back - 1 + e - size] * p[number][:, None, :]
+    ends = back - 1 + lengths[:, None] - np.arange(back)
+    return sums[ends, np.arange(rows)[:, None]].transpose(0, 3, 1, 2)
+
+
+def long_run_score(pieces: Pieces, p: np.ndarray, run: str) -> np.ndarray:
+    """Log probability of one run of any length in every language, by the products of its steps."""
+    back, langs = pieces.longest, p.shape[1]
+    chars = np.frombuffer(run.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    count = -(-len(chars) // STEP)
+    padded = np.zeros(back - 1 + count * STEP, np.uint64)
+    padded[back - 1 : back - 1 + len(chars)] = chars
+    windows = np.lib.stride_tricks.sliding_window_view(padded, back - 1 + STEP)[::STEP]
+    lengths = np.full(count, STEP)
+    lengths[-1] = len(chars) - (count - 1) * STEP
+    state, scale = np.zeros((langs, back, 1)), np.zeros(langs)
+    state[:, 0] = 1.0
+    for first in range(0, count, 1024):
+        some = slice(first, first + 1024)
+        for step in steps(pieces, p, windows[some], lengths[some]):
+            state = step @ state
+            most = state.max(axis=(1, 2))
+            state, scale = state / most[:, None, None], scale + np.log(most)
+    return scale + np.log(state[:, 0, 0])
+
+
 def word_scores(pieces: Pieces, log_free: np.ndarray, runs: list[str]) -> np.ndarray:
-    """Log probability of every run in every language."""
+    """Log probability of every run in every language, over all segmentations of the whole run."""
     out = np.zeros((len(runs), log_free.shape[1]))
-    for which, chars in by_length(runs):
-        end = forward(lattice(pieces, chars), log_free, len(chars))[-1]
-        np.add.at(out, which, np.log(np.maximum(end, 1e-300)))
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    short = np.flatnonzero(sizes <= SHORT)
+    for which, chars in by_length([runs[i] for i in short.tolist()]):
+        out[short[which]] = np.log(forward(lattice(pieces, chars), log_free, len(chars))[-1])
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = long_run_score(pieces, log_free, runs[i])
     return out
 
 
@@ -146,7 +195,8 @@ def expected(pieces: Pieces, p: np.ndarray, runs: list[str], weight: np.ndarray)
             for start, number in edges[e - 1]:
                 at = np.flatnonzero(number >= 0)
                 beta[start][at] += p[number[at]] * beta[e][at]
-        scale = weight[which][:, None] / np.maximum(alpha[n], 1e-300)
+        # A run whose probability is beyond doubles says nothing about its pieces.
+        scale = np.where(alpha[n] > 1e-290, weight[which][:, None] / np.maximum(alpha[n], 1e-290), 0.0)
         for e in range(1, n + 1):
             for start, number in edges[e - 1]:
                 at = np.flatnonzero(number >= 0)
