@@ -386,13 +386,20 @@ def score_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     seed = _seeded(packed, told)
     shared = spark.sparkContext.broadcast(seed.flat())
 
-    def adapt(row, content):
-        model = Attention().filled(shared.value)
-        n = train_on(model, content, told.value, 0.003, row["gid"] & 0xFFFF)
-        for i, x in enumerate(model.flat().tolist() if n else ()):
-            yield i, float(n), x * n
-
-    steps = b.each_batch(packed.table.select("gid", "blob"), adapt, "bucket long, n double, x double")
+    def adapt(batches):
+        """Trains on every batch from the seed's weights; the task's weighted sums, once."""
+        total, sums = 0.0, None
+        for part in batches:
+            for row in part.to_pylist():
+                model = Attention().filled(shared.value)
+                n = train_on(model, b.expand(row["blob"]), told.value, 0.003, row["gid"] & 0xFFFF)
+                if n:
+                    flat = model.flat().astype(np.float64) * n
+                    total, sums = total + n, flat if sums is None else sums + flat
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(np.full(len(sums), total)), pa.array(sums)], ["bucket", "n", "x"])
+
+    steps = packed.table.select("gid", "blob").mapInArrow(adapt, "bucket long, n double, x double")
     mean = steps.groupBy("bucket").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("bucket").toPandas()
     weights = mean["x"].to_numpy(np.float64) if len(mean) else seed.flat()
     final = spark.sparkContext.broadcast(weights)
@@ -437,6 +444,8 @@ def _seeded(packed: b.Packed, told) -> Attention:
                 train_on(model, b.expand(blob), told.value, 0.01 / (1 + epoch), epoch * 100 + i, epoch, SEED_EPOCHS)
         return pd.DataFrame({"data": [b.squeeze(model.flat())]})
 
-    few = packed.table.orderBy(F.xxhash64("gid"), "gid").limit(SEED_BATCHES).select(F.lit(0).alias("one"), "gid", "blob")
+    # The batches are chosen by their numbers, so no task reads others.
+    chosen = [r.gid for r in packed.table.select("gid").orderBy(F.xxhash64("gid"), "gid").limit(SEED_BATCHES).collect()]
+    few = packed.table.where(F.col("gid").isin(chosen)).select(F.lit(0).alias("one"), "gid", "blob")
     made = few.groupBy("one").applyInPandas(train, "data binary").collect()
     return Attention().filled(b.expand(made[0].data)) if made else Attention()
