@@ -260,3 +260,25 @@ def test_forward_sums_all_segmentations():
     counts = language.expected(pieces, p[:, :1], ["abab"], np.array([2.0]))
     length = sum(len(n) * c for n, c in zip([*pieces.names, "?"], counts, strict=True))
     assert length == pytest.approx(8.0)
+
+
+def test_long_runs_are_scored_as_a_whole():
+    """Runs of scripts without spaces against sums of logarithms, letter by letter."""
+    rng, draw = np.random.default_rng(3), random.Random(1)
+    names = sorted({"".join(draw.choice("abcd") for _ in range(draw.randrange(1, 6))) for _ in range(60)} | set("abcd"))
+    pieces = language.Pieces(names)
+    p = np.vstack([rng.random((pieces.other + 1, 2)) * 1e-3, np.zeros(2)])
+    number = {n: i for i, n in enumerate(pieces.names)}
+
+    def plain(word, j):
+        sums = [0.0]
+        for e in range(1, len(word) + 1):
+            heads = [(s, number.get(word[s:e], pieces.other if e - s == 1 else None)) for s in range(max(0, e - pieces.longest), e)]
+            logs = [sums[s] + np.log(p[k, j]) for s, k in heads if k is not None]
+            sums.append(max(logs) + np.log(np.exp(np.array(logs) - max(logs)).sum()))
+        return sums[-1]
+
+    sizes = (1, 23, 24, 25, 32, 33, 64, 65, 1000, 10_000)
+    words = ["".join(draw.choice("abcdz") for _ in range(n)) for n in sizes] + ["z" * 64, "z" * 10_000, "é" * 300]
+    got = language.word_scores(pieces, p, words)
+    assert got == pytest.approx(np.array([[plain(w, j) for j in (0, 1)] for w in words]), rel=1e-9)
