@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,7 +25,7 @@ MOST = 0.75
 # Element names, class words and frequent function words.
 RAW = "script style noscript template textarea title iframe svg object select"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = set("nav footer aside form button dialog menu fieldset figure".split())
+LEFT_OUT = set("nav footer aside form button dialog menu".split())
 ARTICLES = {"article", "main"}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -36,9 +35,9 @@ IN_HEAD = {"head", "base", "link", "meta"}
 ABOUT = {"has", "with", "no", "without"}  # what follows in a class is not what the element is
 CLASS_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
-    "navigation breadcrumb breadcrumbs cookie cookies consent notice notification alert popup modal overlay comment "
-    "comments discussion disqus respond reply share sharing social related recommended newsletter subscribe signup login "
-    "footer header masthead toolbar pagination pager widget search copyright".split()
+    "navigation breadcrumb breadcrumbs cookie cookies consent notice notification alert popup modal comment comments "
+    "discussion disqus respond reply share sharing social related recommended newsletter subscribe signup "
+    "footer header masthead toolbar pagination pager".split()
 )
 ROLES = set("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 STOP_WORDS = set(
@@ -66,11 +65,24 @@ class Block:
     linked: int
     container: int
     in_article: bool
-    marked: tuple[int, ...] = ()  # the elements around it with a word of CLASS_WORDS
-    held: tuple[int, ...] = ()  # those of them that hold its article
+    mark: int = 0  # the innermost element around it with a word of CLASS_WORDS
+    held: int = 0  # the innermost such element around its article
     label: str = ""
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element, and what holds for everything in it."""
+
+    tag: str
+    out: bool = False
+    container: int = 0
+    mark: int = 0
+    held: int = 0
+    inside: bool = False  # an article
+    linked: bool = False
+
+
 def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether structure other than class words says that an element holds no article text."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
@@ -98,24 +110,35 @@ def _marked(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Reader:
-    """Collects the blocks of a page from its tags and texts."""
+    """Collects the blocks of a page from its tags and texts. Every tag costs the same, however many are open."""
 
     def __init__(self):
-        # Tag, whether left out from here on, container, marked elements, those of them that hold the article here.
-        self.open: list[tuple[str, bool, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.root = _Open("")
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by tag
+        self.solid: list[int] = []  # places of those that are not inline
         self.blocks: list[Block] = []
         self.parts: list[tuple[str, bool]] = []
         self.containers = 0
-        self.marks = 0
+        self.around = [0]  # for every marked element the marked one around it
         self.head: int | None = None  # where the head ends, -1 if at the first element or text of the body
 
     @property
-    def out(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
-
-    @property
-    def in_head(self) -> bool:
-        return bool(self.open) and self.open[-1][0] == "head"
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else self.root
+
+    def push(self, element: _Open):
+        self.places.setdefault(element.tag, []).append(len(self.open))
+        if element.tag not in INLINE:
+            self.solid.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, place: int):
+        """Close the elements from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+            if self.solid and self.solid[-1] == len(self.open):
+                self.solid.pop()
 
     def reach(self, at: int):
         """Close the head where it ends."""
@@ -124,65 +147,54 @@ class _Reader:
             self.end("head")
 
     def text(self, raw: str):
-        if self.head == -1 and self.in_head and raw.strip():
-            self.open.pop()
-        if not self.out and raw:
-            self.parts.append((html.unescape(raw), any(tag == "a" for tag, *_ in self.open)))
+        if self.head == -1 and self.top.tag == "head" and raw.strip():
+            self.cut(len(self.open) - 1)
+        if not self.top.out and raw:
+            self.parts.append((html.unescape(raw), self.top.linked))
 
     def end_block(self):
         text = _SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
             linked = len(_SPACE.sub(" ", "".join(t for t, link in self.parts if link)).strip())
-            container = self.open[-1][2] if self.open else 0
-            inside = any(tag in ARTICLES for tag, *_ in self.open)
-            self.blocks.append(Block(text, linked, container, inside, *(self.open[-1][3:] if self.open else ())))
+            top = self.top
+            self.blocks.append(Block(text, linked, top.container, top.inside, top.mark, top.held))
         self.parts = []
 
     def start(self, tag: str, attrs: str):
-        if self.in_head and tag not in IN_HEAD and (self.head == -1 or tag == "body"):
-            self.open.pop()
+        if self.top.tag == "head" and tag not in IN_HEAD and (self.head == -1 or tag == "body"):
+            self.cut(len(self.open) - 1)
         if tag in ("br", "wbr"):
             self.parts.append((" " if tag == "br" else "", False))
             return
         if tag not in INLINE:
             self.end_block()
-            if any(t == "p" for t, *_ in self.open) and tag != "p" or tag == "p":
-                self.close_within("p")
+            # A block ends a paragraph that is open around it.
+            if self.solid and self.open[self.solid[-1]].tag == "p":
+                self.cut(self.solid[-1])
         if tag in VOID or attrs.endswith("/"):
             return
-        inside = any(t in ARTICLES for t, *_ in self.open)
-        container = self.open[-1][2] if self.open else 0
+        top = self.top
+        new = _Open(tag, top.out, top.container, top.mark, top.held, top.inside or tag in ARTICLES, top.linked or tag == "a")
         if tag in ARTICLES:
             self.containers += 1
-            container = self.containers
-        marked, held = self.open[-1][3:] if self.open else ((), ())
-        out = self.out or tag == "head" or _left_out(tag, attrs, inside)
-        if not out and _marked(tag, attrs, inside):
+            new.container = self.containers
+            new.held = top.mark
+        new.out = top.out or tag == "head" or _left_out(tag, attrs, top.inside)
+        if not new.out and _marked(tag, attrs, top.inside):
             if tag in INLINE:
-                out = True
+                new.out = True
             else:
-                self.marks += 1
-                marked = (*marked, self.marks)
-        self.open.append((tag, out, container, marked, marked if tag in ARTICLES else held))
-
-    def close_within(self, tag: str):
-        """Close an open `tag` unless a container was opened after it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] not in INLINE:
-                return
+                self.around.append(top.mark)
+                new.mark = len(self.around) - 1
+        self.push(new)
 
     def end(self, tag: str):
         if tag not in INLINE:
             self.end_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        places = self.places.get(tag)
+        # An inline element is not closed from inside of a block in it.
+        if places and not (tag in INLINE and self.solid and self.solid[-1] > places[-1]):
+            self.cut(places[-1])
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -202,33 +214,47 @@ def blocks_of(page: str) -> list[Block]:
             reader.text("")
     reader.text(page[at:])
     reader.end_block()
-    return _kept(reader.blocks)
+    return _kept(reader.blocks, reader.around)
 
 
-def _kept(blocks: list[Block]) -> list[Block]:
-    """The blocks without those of marked elements.
+def _kept(blocks: list[Block], around: list[int]) -> list[Block]:
+    """The blocks without those of marked elements; `around` names the marked element around each (0: none).
 
     A marked element stays if it holds more text of articles than lies outside of marked elements, or, where no article
     does, at least `MOST` of all text.
     """
-    if not any(b.marked for b in blocks):
-        return blocks
-    size, article = Counter(), Counter()
+    marks = range(1, len(around))
+    size, article, waiting = ([0] * len(around) for _ in range(3))
     for b in blocks:
-        for mark in b.marked:
-            size[mark] += len(b.text)
-        for mark in b.held:
-            article[mark] += len(b.text)
-    free: set[int] = set()
-    plain = lambda: sum(len(b.text) for b in blocks if b.in_article and free.issuperset(b.marked))
-    own, whole = plain(), sum(len(b.text) for b in blocks)
-    for mark in sorted(article, key=lambda x: (-article[x], x)):
-        if article[mark] > own:
-            free.add(mark)
-            own = plain()
+        size[b.mark] += len(b.text)
+        article[b.held] += len(b.text)
+        waiting[b.mark] += len(b.text) if b.in_article else 0
+    whole, own = sum(size), waiting[0]
+    for m in reversed(marks):
+        size[around[m]] += size[m]
+        article[around[m]] += article[m]
+    free, outward = [True] + [False] * len(marks), list(around)
+    for m in sorted((m for m in marks if article[m]), key=lambda x: (-article[x], x)):
+        if article[m] <= own:
+            continue
+        free[m] = True
+        # The text of its articles now waits for the next element outward that is not free.
+        path, to = [], m
+        while to and free[to]:
+            path.append(to)
+            to = outward[to]
+        for x in path:
+            outward[x] = to
+        if to:
+            waiting[to] += waiting[m]
+        else:
+            own += waiting[m]
     if not own:
-        free |= {mark for mark in size if size[mark] >= MOST * whole}
-    return [b for b in blocks if free.issuperset(b.marked)]
+        for m in marks:
+            free[m] = free[m] or bool(size[m]) and size[m] >= MOST * whole
+    for m in marks:
+        free[m] = free[m] and free[around[m]]
+    return [b for b in blocks if free[b.mark]]
 
 
 def first_pass(block: Block, page_has_article: bool) -> str:

@@ -1,5 +1,6 @@
 """Ring shards, mixing, main text and the pipeline."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -218,6 +219,23 @@ def test_page_without_article():
     assert "menu" not in main_text.main_text(page)
 
 
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=ad>x", "<span>x", "<p><a href=x>x", "<article class=ad>text ", "<div class=ad><article>text "])
+def test_unclosed_tags_cost_the_same_each(piece):
+    """Time in proportion to the tags; without that, the larger page takes a hundred times as long and more."""
+    took = []
+    for n in (3_000, 30_000):
+        start = time.thread_time()
+        main_text.main_text(piece * n)
+        took.append(time.thread_time() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_captions_and_fieldsets_of_an_article_stay():
+    page = "<article><p>One text.</p><figure><img src=x><figcaption>What it shows.</figcaption></figure><fieldset>Two.</fieldset></article>"
+    assert main_text.main_text(page) == "One text.\n\nWhat it shows.\n\nTwo."
+    assert main_text.main_text("<article><p>One text.</p><form><fieldset>Name</fieldset></form><div class=search>Found.</div></article>") == "One text.\n\nFound."
+
+
 def test_pages(spark):
     pages = [(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (1, "u", PAGE, "t"), (3, "w", "<p>" + "word " * 50000, "t")]
     got = main_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()
@@ -226,6 +244,21 @@ def test_pages(spark):
     assert main_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_sharded_rows_keep_the_documents(spark, monkeypatch):
+    """Every row once with its columns; equal rows, and rows of one id, take the places dealt to them."""
+    rows = corpus.texts(9) + [(77, "again")] * 300 + [(None, "nobody")] * 40
+    docs = corpus.frame(spark, rows)
+    got = ring.sharded_rows(docs, 7)
+    assert got.columns == [c for c in docs.columns if c != "shard"] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    found = got.collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+    assert Counter((r.doc_id, r.text, r.source, r.lang) for r in found) == Counter((r.doc_id, r.text, r.source, r.lang) for r in docs.collect())
+    places = sorted((r.shard, r.slot) for r in found)
+    counts = Counter(s for s, _ in places)
+    assert places == [(s, i) for s in sorted(counts) for i in range(counts[s])]
+    assert ring.sharded_rows(docs.limit(0), 7).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = corpus.texts(12)
     docs = corpus.frame(spark, rows).withColumn("lang", F.lit("en"))
