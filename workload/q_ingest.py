@@ -188,6 +188,7 @@ QUERIES = {
     "training_columns": training_column_roles,
 }
 
+# Patterns of numbers, boolean words and date layouts that the library accepts too.
 _INT = r"regexp_full_match(v, '[+-]?[0-9]+')"
 _NUM = r"regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')"
 _BOOL = "lower(v) IN ('true', 'false', '0', '1', 'yes', 'no', 'y', 'n')"
