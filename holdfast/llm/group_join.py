@@ -13,20 +13,24 @@ link when 100 * intersection >= percent * union. The result is exact up to equal
 4. The token-group matrix: open classes of a group, with sizes and shares of misses alike, are one coarse group; every token
    with the coarse groups that have it is their unions of tokens. Joining a class with it counts its overlap with each union.
    Where that overlap may suffice, the same is asked of the blocks of the coarse group, which are of bounded size; only
-   qualifying blocks are opened and their members compared. Pairs that links connect already need no comparison.
+   qualifying blocks are opened. Their members are compared in rounds, one, two, four and so on at a time, all of them
+   in the end; between the rounds pairs that links have connected meanwhile drop out.
 5. Components over all links.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.components import components, stored, with_values
 from holdfast.llm.words import coded, hashes, mix, rolled, slices, split, starts_of
 from holdfast.operators.membership import possible
+from holdfast.session import work_path
 
 PERCENT = 75
 SHINGLE = 5
@@ -132,9 +136,10 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     base = stored(docs.mapInArrow(_per_document(k, _describe), "doc_id long, mark long, n_shingles long, cls long"), "sets")
     named = base.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls")
     classes = stored(named.agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
-    sets = _candidate_sets(docs, classes, k, percent)
+    sets, name = _candidate_sets(docs, classes, k, percent)
     found, near = _leader_links(sets, percent)
     links = found.unionByName(_group_links(sets, components(found, "a", "b"), near, percent))
+    documents.sparkSession.sql(f"DROP TABLE {name}")
     # A node sorts by its least doc_id, so the root of a component begins with the component's id.
     ends = classes.select("cls", F.struct("least", "cls").alias("end"))
     links = links.join(ends.withColumnsRenamed({"cls": "a", "end": "x"}), "a").join(ends.withColumnsRenamed({"cls": "b", "end": "y"}), "b")
@@ -145,17 +150,26 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), "mark")
 
 
-def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cls, n, tokens) of the classes that may link with another one; tokens in order."""
+def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[DataFrame, str]:
+    """(cls, n, tokens) of the classes that may link with another one, tokens in order; and the table's name.
+
+    The table is bucketed by class, so later joins by class move no tokens of it.
+    """
+    spark = docs.sparkSession
     counted = docs.mapInArrow(_per_document(k, _counted), "token long, cls long")
     ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
     misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
     reps = classes.join(misses, "cls", "left").where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent))
     reps = stored(reps.select("cls", F.col("least").alias("doc_id")), "candidates")
-    chosen = possible(docs, "doc_id", reps, "doc_id", reps.count()).join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>")
-    sets = sets.join(reps, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
-    return stored(sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens"), "tokens")
+    # The filter lets few other rows through; whatever row a class comes from, its set is the same.
+    chosen = possible(docs, "doc_id", reps, "doc_id", reps.count())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>").select("cls", "tokens")
+    sets = sets.repartition(buckets, "cls").join(reps.select("cls").repartition(buckets, "cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    name = f"token_sets_{uuid.uuid4().hex}"
+    sets = sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens")
+    sets.write.bucketBy(buckets, "cls").option("path", work_path(spark, name)).saveAsTable(name)
+    return spark.table(name), name
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,13 +200,17 @@ def _leader_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return found, first.select("cls", "leader")
 
 
-def _open_classes(rows: DataFrame, percent: int) -> DataFrame:
-    """(cls, inner) of the classes whose `inner` tokens, those of their own group only, leave room for a link outside."""
-    spans = rows.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("token")
-    outer = rows.join(spans, "token", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("outer"))
-    mine = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")).join(outer, "cls")
-    inner = (F.col("held") - F.col("outer")).alias("inner")
-    return mine.select("cls", "n", inner).where(F.col("inner") <= _allowed_misses("n", percent)).select("cls", "inner")
+def _outer_tokens(rows: DataFrame) -> DataFrame:
+    """(cls, outer): how many of the tokens (token, cls, gid) of a class another group has too."""
+    placed = rows.select("token", "cls", "gid").repartition("token")
+    spans = placed.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("token")
+    return placed.join(spans, "token", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("outer"))
+
+
+def _open_classes(sets: DataFrame, held, outer: DataFrame, percent: int) -> DataFrame:
+    """The sets whose `inner` tokens, of `held` those that only their own group has, leave room for a link outside."""
+    inner = held - F.coalesce("outer", F.lit(0))
+    return sets.join(outer, "cls", "left").withColumn("inner", inner).drop("outer").where(F.col("inner") <= _allowed_misses("n", percent))
 
 
 def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +221,6 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
     members = sets.select("cls", "n").join(labels, "cls", "left").join(leaders, "cls", "left")
     members = members.select(
         "cls",
-        "n",
         # Sizes of sets that link are in the same or in neighbouring classes.
         F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("size"),
         F.coalesce("root", "cls").alias("gid"),
@@ -211,35 +228,58 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
         F.coalesce("root", "near", "cls").alias("group"),
     )
     members = stored(members, "members")
+    named = sets.join(members, "cls")
     below = F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS)))
-    low = sets.select("cls", F.explode(below).alias("token")).join(members.select("cls", "n", "gid"), "cls")
-    few = F.size(below) == 0
-    # Classes without a token below the threshold stay open.
-    open_ = _open_classes(low, percent).select("cls").unionByName(sets.where(few).select("cls"))
-    whole = sets.join(stored(open_, "open"), "cls", "left_semi").select("cls", F.explode("tokens").alias("token"))
-    rows = stored(whole.join(members.select("cls", "n", "gid"), "cls"), "rows")
-    placed = members.join(_open_classes(rows, percent), "cls")
+    outer = _outer_tokens(named.select("cls", "gid", F.explode(below).alias("token")))
+    opened = stored(_open_classes(named, F.size(below), outer, percent), "open")
+    outer = _outer_tokens(opened.select("cls", "gid", F.explode("tokens").alias("token")))
+    opened = _open_classes(opened.drop("inner"), F.col("n"), outer, percent)
     share = F.floor(F.col("inner") * 100 * SHARES / (F.col("n") * (100 - percent)))
-    placed = placed.withColumn("coarse", F.xxhash64("group", "alone", "size", share))
-    parts = placed.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    opened = stored(opened.withColumn("coarse", F.xxhash64("group", "alone", "size", share)), "open")
+    parts = opened.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     block = F.xxhash64("coarse", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    placed = stored(placed.join(parts, "coarse").withColumn("block", block), "placed")
-    rows = rows.join(placed.drop("n", "gid"), "cls")
+    placed = stored(opened.drop("tokens").join(parts, "coarse").withColumn("block", block), "placed")
+    rows = opened.select("cls", F.explode("tokens").alias("token")).join(placed, "cls")
 
     asked = _qualifying(rows, rows, "coarse", [], percent)
-    fine = rows.join(asked, "cls").where("asked_coarse IS NOT NULL")
-    opened = _qualifying(fine, rows, "block", [F.col("asked_coarse") == F.col("other_coarse")], percent)
-    opened = stored(opened, "opened")
-    a = opened.join(placed.select("cls", "n", "gid", "inner", "alone", "group"), "cls").withColumnRenamed("asked_block", "block")
-    others = {c: f"other_{c}" for c in ("cls", "n", "gid", "inner")}
-    b = placed.select("block", *others).withColumnsRenamed(others)
-    near_size = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.col("gid") != F.col("other_gid"))
-    # Each of the two has at least its inner tokens as misses.
-    room = F.col("inner") * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
-    room = room & (F.col("other_inner") * 100 + F.col("inner") * percent <= F.col("other_n") * (100 - percent))
-    pairs = a.join(b, "block").where(near_size & room)
-    pairs = pairs.select(F.least("cls", "other_cls").alias("a"), F.greatest("cls", "other_cls").alias("b")).distinct()
-    return stored(_verified(pairs, sets, percent), "opened_links")
+    fine = rows.join(asked, "cls")
+    found = _qualifying(fine, rows, "block", [F.col("asked_coarse") == F.col("other_coarse")], percent)
+    return _compared(found.select("cls", F.col("asked_block").alias("block")), placed, sets, percent)
+
+
+def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the classes and the members of the blocks that they ask."""
+    number = F.row_number().over(Window.partitionBy("block").orderBy("cls")) - 1
+    others = placed.select("block", number.alias("number"), *[F.col(c).alias(f"other_{c}") for c in ("cls", "n", "gid", "inner")])
+    others = stored(others, "numbered")
+    sizes = others.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+    waiting = stored(asked.join(sizes, "block").join(placed.select("cls", "n", "gid", "inner"), "cls"), "waiting")
+    links, tried, take = None, 0, 1
+    while True:
+        at = F.explode(F.sequence(F.lit(tried), F.least(F.lit(tried + take), F.col("members")) - 1))
+        turn = waiting.withColumn("number", at).withColumn("number", F.pmod(F.col("number") + F.pmod(F.xxhash64("cls"), F.col("members")), F.col("members")))
+        near_size = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.col("gid") != F.col("other_gid"))
+        # Each of the two has at least its inner tokens as misses.
+        room = F.col("inner") * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
+        room = room & (F.col("other_inner") * 100 + F.col("inner") * percent <= F.col("other_n") * (100 - percent))
+        pairs = turn.join(others, ["block", "number"]).where(near_size & room)
+        pairs = pairs.select(F.least("cls", "other_cls").alias("a"), F.greatest("cls", "other_cls").alias("b")).distinct()
+        new = stored(_verified(pairs, sets, percent), "opened_links")
+        links = new if links is None else links.unionByName(new)
+        tried, take = tried + take, 2 * take
+        waiting = waiting.where(F.col("members") > tried)
+        if not new.isEmpty():
+            gids = others.select(F.col("other_cls").alias("a"), F.col("other_gid").alias("x"))
+            met = new.join(gids, "a").join(gids.withColumnsRenamed({"a": "b", "x": "y"}), "b")
+            roots = components(met, "x", "y").select(F.col("node").alias("gid"), "root")
+            waiting = waiting.join(roots, "gid", "left").withColumn("gid", F.coalesce("root", "gid")).drop("root")
+            others = others.join(roots.withColumnRenamed("gid", "other_gid"), "other_gid", "left")
+            others = stored(others.withColumn("other_gid", F.coalesce("root", "other_gid")).drop("root"), "numbered")
+            spans = others.groupBy("block").agg(F.min("other_gid").alias("low"), F.max("other_gid").alias("high"))
+            waiting = waiting.join(spans, "block").where("low <> high OR low <> gid").drop("low", "high")
+        waiting = stored(waiting, "waiting")
+        if waiting.isEmpty():
+            return links
 
 
 def _qualifying(asking: DataFrame, rows: DataFrame, level: str, also: list, percent: int) -> DataFrame:
