@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.text import initials
@@ -167,7 +168,24 @@ def campaign_trained(spark, sf_dir):
     ).join(checked)
 
 
+def importance_trained(spark, sf_dir):
+    """Global importance by a trained forest over all students: the features it ranks, and what must hold for any model."""
+    path = bundle(spark, sf_dir)
+    ensemble, contract = scoring.forest_of_bundle(spark, path), models.load_contract(spark, path)
+    x = explain.encode(aligned_rows(spark, sf_dir, contract), contract["numeric_cols"], contract["categories"])
+    origins = explain.encoded_origins(contract["numeric_cols"], contract["categories"])
+    ranked = explain.global_importance(forest.shap_values(x, ensemble), origins)
+    before = F.lag("global_sum_abs_shap").over(Window.orderBy("rank"))  # one row a feature
+    return ranked.select(
+        "orig_feature",
+        F.coalesce(before >= F.col("global_sum_abs_shap"), F.lit(True)).alias("in_order"),
+        (F.abs("global_net") <= F.col("global_mean_abs_shap") + 1e-12).alias("net_within_mean"),
+        F.col("rank").between(1, len(set(origins))).alias("ranked"),
+    )
+
+
 QUERIES = {
+    "importance_trained": importance_trained,
     "campaign_scored": campaign_scored,
     "campaign_trained": campaign_trained,
     "feature_map": feature_map,
@@ -185,6 +203,9 @@ QUERIES = {
 _N = len(NUMBERS)
 
 ORACLES = {
+    "importance_trained": "SELECT unnest(["
+    + ", ".join(f"'{c}'" for c in [*NUMBERS, "plan"])
+    + "]) AS orig_feature, true AS in_order, true AS net_within_mean, true AS ranked",
     "campaign_scored": statement(
         """SELECT customer_id, email, tier, round(prob_churn, 9) AS churn_prob, subject, text_body, idempotency_key, true AS is_valid
 FROM own_rendered""",
