@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -94,6 +95,45 @@ def test_json_top_level_must_be_an_array(spark, tmp_path):
         files.json_records_scan(spark, str(bad))
 
 
+def test_json_array_is_read_by_splits(spark, tmp_path):
+    """One line, with braces, brackets, quotes and escapes inside of strings, cut at places of every kind."""
+    texts = ['}', '{"a": [', '\\"}{', 'x\\\\', 'é}é', "", "],[", "\n}"]
+    rows = [{"customer_id": str(i), "name": texts[i % 8] * (i % 5), "top_reasons": [{"feature": texts[(i + j) % 8]} for j in range(i % 4)]} for i in range(400)]
+    (tmp_path / "in").mkdir()
+    for name, indent in (("line.json", None), ("pretty.json", 1)):
+        text = json.dumps([{**r, "email": name} for r in rows], ensure_ascii=name == "line.json", indent=indent)
+        (tmp_path / "in" / name).write_text(text, "utf-8")
+    (tmp_path / "in" / "empty.json").write_text(" [ ]\n")
+    (tmp_path / "in" / "blank.json").write_text("\n")
+    conf = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        found = files.json_records_scan(spark, str(tmp_path / "in"))
+        assert found.rdd.getNumPartitions() > 20
+        got = found.select("email", "customer_id", "name", F.transform("top_reasons", lambda r: r["feature"]).alias("f")).collect()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    wanted = [(e, r["customer_id"], r["name"], [x["feature"] for x in r["top_reasons"]]) for e in ("line.json", "pretty.json") for r in rows]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_json_record_over_many_splits_and_broken_array(spark, tmp_path):
+    long, broken = tmp_path / "long.json", tmp_path / "broken.json"
+    long.write_text(json.dumps([{"name": "a"}, {"name": "b}" * 3000}, {}, {"name": "c"}]))
+    broken.write_text('[{"name": "a"}, {"name": "b"')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = files.json_records_scan(spark, str(long)).collect()
+        same = files.json_records_scan(spark, str(broken)).collect()
+        before = spark.read.schema(files.RECORD).json(str(broken), multiLine=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["name"] or "" for r in got) == ["", "a", "b}" * 3000, "c"]
+    assert same == before
+
+
 def test_label_count(spark):
     rows = frame(spark, ["abandono"], [("1",), ("0",), ("x",), (None,), ("1",)])
     assert ty.label_count(rows).first()[0] == 2
