@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from holdfast.operators import explain, forest, training
+from holdfast.operators import explain, forest, kernel, training
 from holdfast.plans import scoring
 from holdfast.sources import models
 
@@ -165,3 +165,29 @@ def test_global_importance_means(spark):
     rows = spark.createDataFrame([([1.0, 0.5, -0.5],), ([-1.0, 0.0, 0.5],)], "phi array<double>")
     got = explain.global_importance(rows, explain.encoded_origins(["a"], {"plan": ["x", "y"]})).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [("a", 2.0, 1.0, 0.0, 1), ("plan", 1.5, 0.375, 0.125, 2)]
+
+
+def test_neighbouring_paths_share_tables():
+    """The same contributions by tables of groups, by a table per path and row by row, over repeated features and ranks of every kind."""
+    rng = np.random.default_rng(5)
+    parts = []
+    for tree in range(4):
+        features, low, high, share = [], [], [], []
+        for leaf in range(60):
+            d = int(rng.integers(1, 7)) if leaf else 13
+            names = sorted(rng.choice(15, d, replace=False).tolist())
+            a = rng.integers(0, 5, d).tolist()
+            features.append(names)
+            low.append(a)
+            high.append([kernel.TOP if rng.random() < 0.4 else x + int(rng.integers(0, 3)) for x in a])
+            share.append(rng.random(d).tolist())
+        parts.append(kernel.group_paths(features, low, high, share, rng.random(60).tolist()))
+    blocks = kernel.merge_blocks(parts)
+    groups = np.concatenate([b["group"] for b in blocks])
+    assert len(np.unique(groups)) < 120 and sum(len(b["value"]) for b in blocks) == 240
+    ranks = rng.integers(0, 8, (15, kernel.GROUPED_ROWS + 9)).astype(np.uint16)
+    got = kernel.contributions(ranks, blocks)
+    one = np.zeros(ranks.shape)
+    for b in blocks:
+        kernel._add_by_row(ranks, b, one)
+    assert np.allclose(got, one, atol=1e-12) and np.allclose(kernel.contributions(ranks[:, :50], blocks), one[:, :50], atol=1e-12)
