@@ -17,6 +17,8 @@ from holdfast.functions.text import contains_ignoring_case
 FIELDS = ("name", "email")
 GRAM = 3
 RAREST = 3
+# A task sorts or counts so many postings, however many there are.
+POSTINGS_PER_TASK = 1_000_000
 
 
 def _grams(c: Column) -> Column:
@@ -31,9 +33,14 @@ def write_index(students: DataFrame, path: str, key: str = "student_id", fields:
     """Postings (gram, key) in ranges of gram and key, so that a frequent trigram is spread, and the number of postings per gram."""
     spark = students.sparkSession
     grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(f)) for f in fields])))
-    postings = students.select(F.explode(grams).alias("gram"), F.col(key)).distinct()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings.repartitionByRange(n, "gram", key).sortWithinPartitions("gram", key).write.mode("overwrite").parquet(f"{path}/postings")
+    n = files
+    if n is None:
+        total = students.agg(F.sum(F.size(grams))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTINGS_PER_TASK))
+    # A file of students has many times its bytes of postings, so the students are dealt to tasks first.
+    dealt = students.select(key, *fields).repartition(n, key, *fields)
+    postings = dealt.select(F.explode(grams).alias("gram"), F.col(key)).repartitionByRange(n, "gram", key).distinct()
+    postings.sortWithinPartitions("gram", key).write.mode("overwrite").parquet(f"{path}/postings")
     kept = spark.read.parquet(f"{path}/postings")
     counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(max(1, n // 8), "gram")
     counts.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
@@ -63,8 +70,9 @@ def search(
     known = spark.read.parquet(f"{path}/grams").where(F.col("gram").isin(wanted)).collect()
     if len(known) < len(wanted):
         return students.limit(0)
-    chosen = [r["gram"] for r in sorted(known, key=lambda r: (r["n"], r["gram"]))[:rarest]]
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(chosen))
+    rows = sorted(known, key=lambda r: (r["n"], r["gram"]))[:rarest]
+    chosen, tasks = [r["gram"] for r in rows], -(-sum(r["n"] for r in rows) // POSTINGS_PER_TASK)
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(chosen)).repartition(max(1, tasks), key)
     holders = postings.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(chosen))
     return matches(students.join(holders, F.col(key).eqNullSafe(F.col("_key")), "left_semi"), text, fields)
 

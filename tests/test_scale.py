@@ -258,3 +258,15 @@ def test_search_equals_the_scan(spark, tmp_path):
         got = found.collect()
         assert sorted(repr((r["student_id"], r["name"])) for r in got) == want
         assert {r["results"] for r in got} <= {len(want)}
+
+
+def test_search_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "POSTINGS_PER_TASK", 200)
+    rows = [(i if i % 9 else None, f"student {i % 70:04d}", None) for i in range(280)] * 2
+    students = spark.createDataFrame(rows, "student_id long, name string, email string").coalesce(1)
+    index = search.write_index(students, str(tmp_path / "i"))
+    postings = spark.read.parquet(f"{index}/postings")
+    # 560 rows with 10 trigrams each.
+    assert len(postings.inputFiles()) > 20 and postings.count() == postings.distinct().count()
+    found = search.search(spark, index, students, "Ent 001")
+    assert found.count() == sum("ent 001" in n for _, n, _ in rows) == 80
