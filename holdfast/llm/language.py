@@ -13,6 +13,7 @@ of the text and of the log prior wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,9 @@ FLOOR = 0.1
 SHORT = 24
 STEP = 16
 UNKNOWN = "und"
-SLICE = 8 << 20
+SLICE = 4 << 20
+# Words of a length that are scored at once.
+WORDS = 1 << 14
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +181,9 @@ def word_scores(pieces: Pieces, log_free: np.ndarray, runs: list[str]) -> np.nda
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     short = np.flatnonzero(sizes <= SHORT)
     for which, chars in by_length([runs[i] for i in short.tolist()]):
-        out[short[which]] = np.log(forward(lattice(pieces, chars), log_free, len(chars))[-1])
+        for a in range(0, len(which), WORDS):
+            some = chars[a : a + WORDS]
+            out[short[which[a : a + WORDS]]] = np.log(forward(lattice(pieces, some), log_free, len(some))[-1])
     for i in np.flatnonzero(sizes > SHORT).tolist():
         out[i] = long_run_score(pieces, log_free, runs[i])
     return out
@@ -313,24 +318,28 @@ def identify(documents: DataFrame, model: dict) -> DataFrame:
     `score` is the share of the best language among all (0 to 1); `und` with score 0 if the text is null or has no letter,
     or if nothing could be learned. The whole text counts. An empty table gives an empty table.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # vocabulary x languages numbers
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    rows = documents.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages numbers
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
 
-    def score(batches):
+    # Only the text goes to Python; all other columns stay in the JVM.
+    @F.arrow_udf("lang_pred string, score double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         pieces = Pieces(vocabulary_pieces(model["path"]))
-        for part in slices(batches, "text", SLICE):
-            if model["langs"]:
-                names, share = _score_slice(part.column("text"), model, pieces)
-            else:
-                names, share = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            columns = [part.column("row"), pa.array(names, pa.string()), pa.array(share)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
-
-    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(score, schema).select("row.*", "lang_pred", "score")
+        for texts in batches:
+            names, shares = [], [np.zeros(0)]
+            for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE):
+                if model["langs"]:
+                    some, share = _score_slice(part.column("text"), model, pieces)
+                else:
+                    some, share = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                names += some
+                shares.append(share)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(shares))], ["lang_pred", "score"])
+
+    # Spark would repeat a deterministic function in a filter.
+    found = documents.select(*kept, score.asNondeterministic()(F.col("text").cast("string")).alias("_language"))
+    return found.select(*kept, "_language.lang_pred", "_language.score")
 
 
 def predict_language(documents: DataFrame, **settings) -> DataFrame:

@@ -223,6 +223,16 @@ def test_language(spark):
     assert language.predict_language(docs.limit(0)).count() == 0
 
 
+def test_language_sends_only_the_text_to_python(spark):
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in language_rows(60, 4)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("a.b", docs.doc_id + 1).withColumn("score", docs.doc_id)
+    named = language.identify(docs, language.learn(docs))
+    plan = named.where("lang_pred <> 'und' AND score > 0.1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert named.columns == ["doc_id", "text", "lang", "a.b", "lang_pred", "score"]
+    assert all(r["a.b"] == r.doc_id + 1 and 0 <= r.score <= 1 for r in named.collect())
+
+
 def test_rare_language_and_one_id_in_the_sample(spark):
     many = [(None if i % 3 == 0 else i, t, x) for i, t, x in language_rows(3000, 5) if x != "fr"]
     few = [(10_000 + i, t, x) for i, t, x in language_rows(400, 6) if x == "fr"][:40]
