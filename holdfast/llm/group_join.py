@@ -7,9 +7,10 @@ link when 100 * intersection >= percent * union. The result is exact up to equal
    other class has is a miss against every other; a class with more misses than a link allows is alone. What is left are
    the candidates, whose whole sets are made.
 2. In a few rounds every candidate not yet linked is compared with one leader, the class that most of its least tokens
-   name. The links found make groups.
+   name; leaders have few tokens of their own. The links found make groups.
 3. A token that only one group has is a miss against all classes outside of it. Classes with too many such misses are closed:
-   first by the tokens below a threshold, then by all tokens of the few that are left. Only open classes go on.
+   first by the tokens below a threshold, then by all tokens of the few that are left. Only open classes go on. Those that are
+   alone are compared with the hub of the group near them.
 4. The token-group matrix: open classes of a group, with sizes and shares of misses alike, are one coarse group; every token
    with the coarse groups that have it is their unions of tokens. Joining a class with it counts its overlap with each union.
    Where that overlap may suffice, the same is asked of the blocks of the coarse group, which are of bounded size; only
@@ -119,6 +120,14 @@ def _links(a, b, percent: int):
     return both * 100 >= (F.size(a) + F.size(b) - both) * percent
 
 
+def _fits(common, sizes, percent: int):
+    """Whether sets whose sizes add up to `sizes` may link with at most `common` tokens in common.
+
+    They link when 100 * intersection >= percent * (sizes - intersection).
+    """
+    return common * (100 + percent) >= sizes * percent
+
+
 def _allowed_misses(n: str, percent: int):
     """How many tokens of a set of size n may be missing from a set that links with it."""
     return F.col(n) - F.ceil(F.col(n) * percent / 100)
@@ -151,7 +160,9 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
 
 
 def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[DataFrame, str]:
-    """(cls, n, tokens) of the classes that may link with another one, tokens in order; and the table's name.
+    """(cls, n, own, tokens) of the classes that may link with another one, tokens in order; and the table's name.
+
+    `own` is the share of a class's counted tokens that no other class has, in SHARES parts of what a link allows.
 
     The table is bucketed by class, so later joins by class move no tokens of it.
     """
@@ -160,14 +171,15 @@ def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -
     ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
     misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
     reps = classes.join(misses, "cls", "left").where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent))
-    reps = stored(reps.select("cls", F.col("least").alias("doc_id")), "candidates")
+    own = F.coalesce("misses", F.lit(0)) * (100 * SHARES / (COUNTED * (100 - percent))) / F.col("n")
+    reps = stored(reps.select("cls", F.col("least").alias("doc_id"), own.alias("own")), "candidates")
     # The filter lets few other rows through; whatever row a class comes from, its set is the same.
     chosen = possible(docs, "doc_id", reps, "doc_id", reps.count())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>").select("cls", "tokens")
-    sets = sets.repartition(buckets, "cls").join(reps.select("cls").repartition(buckets, "cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = sets.repartition(buckets, "cls").dropDuplicates(["cls"]).join(reps.select("cls", "own").repartition(buckets, "cls"), "cls")
     name = f"token_sets_{uuid.uuid4().hex}"
-    sets = sets.select("cls", F.size("tokens").cast("long").alias("n"), "tokens")
+    sets = sets.select("cls", F.size("tokens").cast("long").alias("n"), "own", "tokens")
     sets.write.bucketBy(buckets, "cls").option("path", work_path(spark, name)).saveAsTable(name)
     return spark.table(name), name
 
@@ -180,11 +192,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leader_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) with leaders, and (cls, leader) of the first round. Each round orders the classes differently."""
-    least = stored(sets.select("cls", F.least("n", F.lit(NAMED_BY)).alias("of"), F.explode(F.slice("tokens", 1, NAMED_BY)).alias("token")), "least")
+    """Links (a, b) with leaders, and (cls, leader) of the first round.
+
+    Leaders have few tokens of their own, so they are amid their near copies; the first round takes the class with
+    the fewest, the others order classes with about as few differently.
+    """
+    named_by = F.explode(F.slice("tokens", 1, NAMED_BY)).alias("token")
+    least = stored(sets.select("cls", "own", F.least("n", F.lit(NAMED_BY)).alias("of"), named_by), "least")
     found = first = None
     for r in range(ROUNDS):
-        leaders = least.groupBy("token").agg(F.min_by("cls", F.xxhash64(F.lit(r), "cls")).alias("leader"))
+        order = F.struct(F.col("own") if r == 0 else F.floor("own"), F.xxhash64(F.lit(r), "cls"))
+        leaders = least.groupBy("token").agg(F.min_by("cls", order).alias("leader"))
         votes = least
         if found is not None:
             votes = votes.join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti")
@@ -228,12 +246,13 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
         F.coalesce("root", "near", "cls").alias("group"),
     )
     members = stored(members, "members")
-    named = sets.join(members, "cls")
+    named = sets.drop("own").join(members, "cls")
     below = F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS)))
     outer = _outer_tokens(named.select("cls", "gid", F.explode(below).alias("token")))
     opened = stored(_open_classes(named, F.size(below), outer, percent), "open")
     outer = _outer_tokens(opened.select("cls", "gid", F.explode("tokens").alias("token")))
-    opened = _open_classes(opened.drop("inner"), F.col("n"), outer, percent)
+    opened = stored(_open_classes(opened.drop("inner"), F.col("n"), outer, percent), "open")
+    heard, opened = _hub_links(opened, sets, percent)
     share = F.floor(F.col("inner") * 100 * SHARES / (F.col("n") * (100 - percent)))
     opened = stored(opened.withColumn("coarse", F.xxhash64("group", "alone", "size", share)), "open")
     parts = opened.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
@@ -241,10 +260,25 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
     placed = stored(opened.drop("tokens").join(parts, "coarse").withColumn("block", block), "placed")
     rows = opened.select("cls", F.explode("tokens").alias("token")).join(placed, "cls")
 
-    asked = _qualifying(rows, rows, "coarse", [], percent)
+    # Two that are alone would ask each other, so only one of them asks.
+    asked = _qualifying(rows, rows, "coarse", [F.expr("NOT other_alone OR coarse <= other_coarse")], percent)
     fine = rows.join(asked, "cls")
-    found = _qualifying(fine, rows, "block", [F.col("asked_coarse") == F.col("other_coarse")], percent)
-    return _compared(found.select("cls", F.col("asked_block").alias("block")), placed, sets, percent)
+    once = F.expr("NOT other_alone OR coarse < other_coarse OR block <= other_block")
+    found = _qualifying(fine, rows, "block", [F.col("asked_coarse") == F.col("other_coarse"), once], percent)
+    return heard.unionByName(_compared(found.select("cls", F.col("asked_block").alias("block")), placed, sets, percent))
+
+
+def _hub_links(opened: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of open classes that are alone with the hub of their group, and the open classes, those linked in its group.
+
+    The hub is the member that has the fewest tokens to itself, of all tokens.
+    """
+    order = F.struct("inner", F.xxhash64("cls"))
+    hubs = opened.where("NOT alone").groupBy("group", "size").agg(F.min_by("cls", order).alias("b"))
+    pairs = opened.where("alone").join(hubs, ["group", "size"]).select(F.col("cls").alias("a"), "b")
+    links = stored(_verified(pairs, sets, percent), "hub_links")
+    joined = opened.join(links.select(F.col("a").alias("cls"), "b"), "cls", "left").withColumn("alone", F.col("alone") & F.col("b").isNull())
+    return links, joined.withColumn("gid", F.when(F.col("b").isNull(), F.col("gid")).otherwise(F.col("group"))).drop("b")
 
 
 def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,11 +292,10 @@ def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame, percent: int
     while True:
         at = F.explode(F.sequence(F.lit(tried), F.least(F.lit(tried + take), F.col("members")) - 1))
         turn = waiting.withColumn("number", at).withColumn("number", F.pmod(F.col("number") + F.pmod(F.xxhash64("cls"), F.col("members")), F.col("members")))
-        near_size = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.col("gid") != F.col("other_gid"))
         # Each of the two has at least its inner tokens as misses.
-        room = F.col("inner") * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
-        room = room & (F.col("other_inner") * 100 + F.col("inner") * percent <= F.col("other_n") * (100 - percent))
-        pairs = turn.join(others, ["block", "number"]).where(near_size & room)
+        common = F.least(F.col("n") - F.col("inner"), F.col("other_n") - F.col("other_inner"))
+        room = _fits(common, F.col("n") + F.col("other_n"), percent) & (F.col("gid") != F.col("other_gid"))
+        pairs = turn.join(others, ["block", "number"]).where(room)
         pairs = pairs.select(F.least("cls", "other_cls").alias("a"), F.greatest("cls", "other_cls").alias("b")).distinct()
         new = stored(_verified(pairs, sets, percent), "opened_links")
         links = new if links is None else links.unionByName(new)
@@ -285,11 +318,13 @@ def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame, percent: int
 def _qualifying(asking: DataFrame, rows: DataFrame, level: str, also: list, percent: int) -> DataFrame:
     """(cls, asked_<level>): the unions of tokens with which a class may have enough in common for a link.
 
-    A class that is alone asks all unions of a fitting size, a class of a group those of later groups.
+    A class that is alone asks all unions of a fitting size, a class of a group those of later groups; `also` narrows that.
     """
     names = ["coarse", "group", "alone", "size"]
     unions = rows.groupBy("token", level, *[c for c in names if c != level]).agg(F.count(F.lit(1)).alias("holders"))
-    least = rows.groupBy(level).agg(F.min("inner").alias("other_inner"))
+    # What a member may have in common with a set of size s is enough if `most` is at least percent * s.
+    most = F.col("n") * 100 - F.col("inner") * (100 + percent)
+    ends = rows.groupBy(F.col(level).alias(f"other_{level}")).agg(F.min("inner").alias("other_inner"), F.min("n").alias("other_n"), F.max(most).alias("most"))
     unions = unions.withColumnsRenamed({c: f"other_{c}" for c in dict.fromkeys([level, *names])})
     met = asking.join(unions, "token").where(F.abs(F.col("size") - F.col("other_size")) <= 1)
     met = met.where("alone OR (NOT other_alone AND group < other_group)")
@@ -298,6 +333,7 @@ def _qualifying(asking: DataFrame, rows: DataFrame, level: str, also: list, perc
     for condition in also:
         met = met.where(condition)
     overlap = met.groupBy("cls", "n", f"other_{level}").agg(F.count(F.lit(1)).alias("both"))
-    overlap = overlap.join(least.withColumnRenamed(level, f"other_{level}"), f"other_{level}")
+    overlap = overlap.join(ends, f"other_{level}")
     room = (F.col("n") - F.col("both")) * 100 + F.col("other_inner") * percent <= F.col("n") * (100 - percent)
+    room = room & _fits(F.col("both"), F.col("n") + F.col("other_n"), percent) & (F.col("most") >= F.col("n") * percent)
     return overlap.where(room).select("cls", F.col(f"other_{level}").alias(f"asked_{level}"))

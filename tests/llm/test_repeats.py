@@ -151,6 +151,48 @@ def test_join_where_leaders_find_little(spark, monkeypatch, named_by):
     assert collected(found) == corpus.components(made)
 
 
+def test_large_groups_of_near_copies_compare_few_pairs(spark, monkeypatch):
+    """Copies with one to nine edits, on both sides of the limit: what is left to compare is far below all pairs."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(10**6, " ".join(base))]
+    for i in range(300):
+        v = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 10)):
+            v[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    compared, asks = group_join._compared, []
+
+    def counted(asked, placed, sets, percent):
+        members = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+        asks.append(asked.join(members, "block").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+        return compared(asked, placed, sets, percent)
+
+    monkeypatch.setattr(group_join, "_compared", counted)
+    found = group_join.jaccard_components(corpus.frame(spark, rows)).drop("mark")
+    assert collected(found) == corpus.components(rows)
+    assert asks[0] < 1000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_around_the_limit(spark, monkeypatch, seed):
+    """Texts with words left out, put in and replaced by few others, so that sizes differ and edits are shared."""
+    monkeypatch.setattr(group_join, "BLOCK", 3)
+    rng = random.Random(seed)
+    rows = []
+    for k in range(3):
+        base = [f"b{k}-{i}" for i in range(rng.randrange(40, 90))]
+        for i in range(50):
+            v = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.choice([3, 11, 20, 31, rng.randrange(len(v))])
+                v[at : at + rng.randrange(2)] = [f"new{rng.randrange(3)}"] * rng.randrange(3)
+            rows.append((1000 * k + i, " ".join(v)))
+    rng.shuffle(rows)
+    found = group_join.jaccard_components(corpus.frame(spark, rows)).drop("mark")
+    assert collected(found) == corpus.components(rows)
+
+
 def test_native_plan(spark, rows):
     """Winnowing runs no Python."""
     found = winnowing.contamination(corpus.frame(spark, rows), spark.createDataFrame([(1, "one")], "item_id long, text string"))
