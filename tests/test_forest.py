@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.operators import explain, forest, kernel, training
 from holdfast.plans import scoring
 from holdfast.sources import models
+from workload import q_model
 
 
 def random_nodes(rng, n_trees, depth, n_features):
@@ -191,3 +192,20 @@ def test_neighbouring_paths_share_tables():
     for b in blocks:
         kernel._add_by_row(ranks, b, one)
     assert np.allclose(got, one, atol=1e-12) and np.allclose(kernel.contributions(ranks[:, :50], blocks), one[:, :50], atol=1e-12)
+
+
+def test_a_roundtrip_scores_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Rows that come in one partition are dealt evenly before two models score them."""
+    model, contract = training.train(training_rows(spark), trees=3, max_depth=3)
+    path = models.save_bundle(spark, model, contract, str(tmp_path / "bundle"))
+    score, parts = training.probability, []
+
+    def watched(df, model, out="churn_risk", keep_vector=False):
+        parts.append([r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return score(df, model, out, keep_vector)
+
+    monkeypatch.setattr(q_model, "bundle", lambda spark, sf_dir: path)
+    monkeypatch.setattr(q_model, "feature_rows", lambda spark, sf_dir: training_rows(spark).coalesce(1))
+    monkeypatch.setattr(training, "probability", watched)
+    assert [tuple(r) for r in q_model.model_roundtrip(spark, "").collect()] == [(400, 0, 1)]
+    assert len(parts) == 2 and all(len(p) >= 16 and sum(p) == 400 and max(p) <= 2 * min(p) for p in parts)

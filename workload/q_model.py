@@ -123,7 +123,7 @@ def model_roundtrip(spark, sf_dir):
     """Rows whose score changes when the model is saved and loaded again."""
     model, contract = models.load_bundle(spark, bundle(spark, sf_dir))
     again, same = models.load_bundle(spark, models.save_bundle(spark, model, contract, work_path(spark, "copy")))
-    rows = scoring.aligned(feature_rows(spark, sf_dir), contract)
+    rows = training.dealt(scoring.aligned(feature_rows(spark, sf_dir), contract))
     first = training.probability(rows, model, "before")
     both = training.probability(first, again, "after")
     return both.agg(
