@@ -33,9 +33,9 @@ def with_values(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     are few, are looked up in a broadcast table; the others are joined by a shuffle.
     """
     plain = table.select(key, value)
-    first = rows.join(F.broadcast(heavy(table, key, count, total).select(key).join(plain, key)), key, "left")
-    rest = first.where(F.col(value).isNull()).drop(value).join(plain, key, "left")
-    return first.where(F.col(value).isNotNull()).unionByName(rest)
+    large = F.broadcast(heavy(table, key, count, total).select(key).join(plain, key))
+    rest = rows.join(large.select(key), key, "left_anti").join(plain, key, "left")
+    return rows.join(large, key).unionByName(rest)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -47,15 +47,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
     both = stored(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
+    labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
         least = near.groupBy("node").agg(F.min("seen").alias("seen")).join(labels, "node")
         moved = least.select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
-        moved = stored(moved, "labels")
         jump = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = moved.join(jump, "root").select("node", "old", F.col("next").alias("root"))
-        after = stored(after, "labels")
+        # One job a round: both sides of the join share their shuffles.
+        after = stored(moved.join(jump, "root").select("node", "old", F.col("next").alias("root")), "labels")
         changed = after.where("root <> old").limit(1).count()
         labels = after.select("node", "root")
         if not changed:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.llm import doubling, group_join, suffix_dedup, winnowing
-from holdfast.llm.components import components
+from holdfast.llm.components import components, with_values
 
 
 def collected(df):
@@ -92,6 +92,28 @@ def test_near_copies_in_chains_and_large_groups(spark, monkeypatch):
     assert collected(found) == corpus.components(rows)
 
 
+def test_components_write_once_a_round(spark, monkeypatch):
+    """A chain of 64 nodes takes few rounds, and a round is one written table."""
+    from holdfast.llm import components as module
+
+    write, names = module.stored, []
+    monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or write(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(63)], "a long, b long")
+    assert {r.root for r in components(links, "a", "b").collect()} == {0}
+    assert names.count("links") == 1
+    assert names.count("labels") <= 8
+
+
+def test_values_of_large_keys_join_each_row_once(spark):
+    """Large keys, small keys, keys without a value and null: every row comes back once, by one outer join."""
+    keys = [1] * 50 + [2, 3, 3, None, None, 9]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id int, k int")
+    table = spark.createDataFrame([(1, 3000, 10), (2, 1, 20), (3, 2, 30)], "k int, n long, v int")
+    found = with_values(rows, table, "k", "n", 3003, "v")
+    assert sorted((r.id, r.v or 0) for r in found.collect()) == [(i, {1: 10, 2: 20, 3: 30}.get(k, 0)) for i, k in enumerate(keys)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 9), (None, 3), (7, 7)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
