@@ -183,6 +183,7 @@ class Attention:
             "bias": np.zeros(CLASSES, np.float32),
         }
         gap = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
+        self.cells = np.arange(CONTEXTS * WIDTH).reshape(CONTEXTS, WIDTH)
         self.gap, self.mask = np.maximum(gap, 0), np.where(gap >= 0, 0, -1e9).astype(np.float32)
 
     def flat(self) -> np.ndarray:
@@ -198,68 +199,97 @@ class Attention:
 
     def attend(self, seen: np.ndarray):
         """Hidden states of windows of contexts (windows x CONTEXT)."""
-        w, scale = self.w, np.float32(WIDTH**-0.5)
-        x = w["embed"][seen]
-        q, k, v = ((w["embed"] @ w[n])[seen] for n in ("query", "key", "value"))
+        w = self.w
+        # One row per context: its embedding, query, key and value.
+        rows = np.concatenate([w["embed"], w["embed"] @ self._projections()], axis=1)
+        x, q, k, v = np.split(np.take(rows, seen, axis=0), 4, axis=2)
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= scale
+        s *= np.float32(WIDTH**-0.5)
         s += w["near"][self.gap] + self.mask
-        np.clip(s, None, 60, out=s)
+        np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s /= _row_sums(s)
         return x, q, k, v, s, x + np.matmul(s, v)
 
-    def log_probability(self, hidden: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log P of the target class after each hidden state."""
+    def _projections(self) -> np.ndarray:
+        return np.concatenate([self.w[n] for n in ("query", "key", "value")], axis=1)
+
+    def _weights(self, hidden: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Logits of the classes after each hidden state."""
         logits = hidden @ self.w["out"]
         logits += self.w["bias"]
         np.clip(logits, -60, 60, out=logits)
         logits += prior
+        return logits
+
+    def log_probability(self, hidden: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log P of the target class after each hidden state."""
+        logits = self._weights(hidden, prior)
         picked = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
-        return picked - np.log(logits.sum(axis=1))
+        return picked - np.log(_row_sums(logits)[:, 0])
 
     def gradients(self, seen: np.ndarray, prior: np.ndarray, target: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the mean loss over the positions that count."""
-        w, scale = self.w, np.float32(WIDTH**-0.5)
+        """Gradient of the mean loss over the positions that count, given the prior of all positions or of those that count."""
+        w = self.w
         x, q, k, v, a, h = self.attend(seen)
-        flat, flat_seen = h.reshape(-1, WIDTH), seen.ravel()
-        p = flat @ w["out"] + w["bias"]
-        p = np.exp(np.clip(p, -60, 60) + prior.reshape(-1, CLASSES))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target.ravel()] -= 1
-        p *= (counts.ravel() / max(counts.sum(), 1))[:, None].astype(np.float32)
-        dh = (p @ w["out"].T).reshape(h.shape)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-        xf, grads = x.reshape(-1, WIDTH), {"out": flat.T @ p, "bias": p.sum(axis=0)}
-        dx = dh.reshape(-1, WIDTH).copy()
-        for name, d in (("query", dq), ("key", dk), ("value", dv)):
-            df = d.reshape(-1, WIDTH)
-            grads[name] = xf.T @ df
-            dx += df @ w[name].T
+        # Positions that do not count have no loss; the others attend to them.
+        used = np.flatnonzero(counts)
+        flat, xf = h.reshape(-1, WIDTH)[used], x.reshape(-1, WIDTH)
+        prior = prior.reshape(-1, CLASSES)
+        p = self._weights(flat, prior if len(prior) == len(used) else prior[used])
+        np.exp(p, out=p)
+        share = p.dtype.type(1 / max(len(used), 1))
+        p *= share / _row_sums(p)
+        p[np.arange(len(p)), target.ravel()[used]] -= share
+        dx = np.zeros(xf.shape, p.dtype)
+        dx[used] = p @ w["out"].T
+        dh = dx.reshape(h.shape)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= _row_sums(ds * a)
+        ds *= a
+        scaled = ds * np.float32(WIDTH**-0.5)
+        d = np.empty((*seen.shape, 3 * WIDTH), p.dtype)
+        np.matmul(scaled, k, out=d[..., :WIDTH])
+        np.matmul(scaled.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 2 * WIDTH :])
+        d = d.reshape(-1, 3 * WIDTH)
+        grads = {"out": flat.T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+        grads |= zip(("query", "key", "value"), np.split(xf.T @ d, 3, axis=1), strict=True)
+        dx = dx + d @ self._projections().T
         grads["near"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * (self.mask == 0)).ravel(), minlength=CONTEXT)
-        embed = np.zeros_like(w["embed"])
-        np.add.at(embed, flat_seen, dx)
+        cell = np.take(self.cells, seen.ravel(), axis=0)
+        embed = np.bincount(cell.ravel(), dx.ravel(), minlength=CONTEXTS * WIDTH).reshape(-1, WIDTH)
         return grads | {"embed": embed}
 
 
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is kept; as a product, for short rows."""
+    return values @ np.ones((values.shape[-1], 1), values.dtype)
+
+
 class Adam:
+    """Steps on all weights as one array; the model's weights are views of it."""
+
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.t = model, rate, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.w.items()}
-        self.s = {n: np.zeros_like(x) for n, x in model.w.items()}
+        self.flat = model.flat().astype(np.float32)
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        at = 0
+        for n in model.NAMES:
+            shape, size = model.w[n].shape, model.w[n].size
+            model.w[n] = self.flat[at : at + size].reshape(shape)
+            at += size
 
     def step(self, grads: dict[str, np.ndarray]):
         self.t += 1
-        for n, g in grads.items():
-            g = g.astype(np.float32)
-            self.m[n] = 0.9 * self.m[n] + 0.1 * g
-            self.s[n] = 0.99 * self.s[n] + 0.01 * g * g
-            up = self.m[n] / (1 - 0.9**self.t)
-            self.model.w[n] = (self.model.w[n] - self.rate * up / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        g = np.concatenate([grads[n].ravel() for n in self.model.NAMES], dtype=np.float32)
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.01 * (g * g - self.s)
+        up = self.m / (1 - 0.9**self.t)
+        up /= np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8
+        up *= self.rate
+        self.flat -= up
 
 
 def _stream(content: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +330,13 @@ def train_on(model: Attention, content: dict, tables: Tables, rate: float, seed:
         now = use[i : i + STEP]
         at, real = _placed(lengths, text[now], first[now])
         real &= first[now, None] + np.arange(CONTEXT) >= scored[now, None]
-        adam.step(model.gradients(seen[at], tables.prior[seen[at]], target[at], real))
+        context = seen[at]
+        adam.step(model.gradients(context, np.take(tables.prior, context[real], axis=0), target[at], real))
         total += int(real.sum())
     return total
 
 
-def score_texts(model: Attention, content: dict, tables: Tables, block: int = 512) -> np.ndarray:
+def score_texts(model: Attention, content: dict, tables: Tables, block: int = STEP) -> np.ndarray:
     """log10 probability of every text of a batch."""
     piece, lengths = _stream(content)
     target, seen = tables.kinds.kind[piece], _before(tables.kinds.context[piece], lengths)
@@ -315,7 +346,7 @@ def score_texts(model: Attention, content: dict, tables: Tables, block: int = 51
         at, real = _placed(lengths, text[i : i + block], first[i : i + block])
         real &= first[i : i + block, None] + np.arange(CONTEXT) >= scored[i : i + block, None]
         hidden, now = model.attend(seen[at])[-1][real], at[real]
-        log_p[now] += model.log_probability(hidden, tables.prior[seen[now]], target[now])
+        log_p[now] += model.log_probability(hidden, np.take(tables.prior, seen[now], axis=0), target[now])
     return np.add.reduceat(log_p.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)
 
 

@@ -143,6 +143,32 @@ def test_model_gradients():
         assert grads[name][at] == pytest.approx((up - down) / (2 * e), rel=1e-3, abs=1e-9)
 
 
+def test_gradients_need_the_prior_of_counted_positions_only():
+    """Positions that do not count take no part in the softmax over classes."""
+    rng, model = np.random.default_rng(1), attention_lm.Attention()
+    seen = rng.integers(0, attention_lm.CONTEXTS, (3, attention_lm.CONTEXT))
+    target, real = rng.integers(0, attention_lm.CLASSES, seen.shape), rng.random(seen.shape) < 0.6
+    prior = rng.standard_normal((attention_lm.CONTEXTS, attention_lm.CLASSES)).astype(np.float32)
+    whole = model.gradients(seen, prior[seen], target, real)
+    few = model.gradients(seen, prior[seen[real]], target, real)
+    assert all((whole[n] == few[n]).all() and np.abs(few[n]).max() > 0 for n in model.NAMES)
+
+
+def test_adam_steps_as_written_out():
+    """Steps on the flat array do to every weight what the formula says."""
+    rng, model = np.random.default_rng(2), attention_lm.Attention()
+    want = {n: x.astype(float) for n, x in model.w.items()}
+    m, v = ({n: 0.0 for n in want} for _ in range(2))
+    adam = attention_lm.Adam(model, 0.01)
+    for t in range(1, 4):
+        grads = {n: rng.standard_normal(x.shape) for n, x in want.items()}
+        adam.step(grads)
+        for n, g in grads.items():
+            m[n], v[n] = 0.9 * m[n] + 0.1 * g, 0.99 * v[n] + 0.01 * g * g
+            want[n] = want[n] - 0.01 * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
+    assert all(model.w[n] == pytest.approx(want[n], abs=1e-5) for n in want)
+
+
 def test_windows_score_each_prediction_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 500])
     text, first, scored = attention_lm.windows_of(lengths)
