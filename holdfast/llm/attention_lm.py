@@ -17,6 +17,7 @@ Long texts are scored in overlapping windows: each prediction is made once, in t
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,14 @@ SMOOTH = 50.0
 WIDTH = 16
 CONTEXT = 32
 STRIDE = 24
+EARLY = CONTEXT - STRIDE  # positions that later windows only attend to
 SEED_BATCHES = 4
 SEED_EPOCHS = 3
 STEP = 64
+KNOWN_WORDS = 1 << 18
+KNOWN_LETTERS = 64
+COLUMNS = [slice(i * WIDTH, (i + 1) * WIDTH) for i in range(4)]
+PAD = CONTEXTS  # before a text's start
 END = 0  # class and context of the end; the first input of every text is the end
 
 
@@ -48,29 +54,56 @@ def held_out(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.fromiter((zlib.crc32(t) % 7 == 2 for t in texts), bool, len(texts))
 
 
+class Cutter:
+    """Cuts words into pieces. The first `KNOWN_WORDS` words are kept with their pieces, as many come again in later batches."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.known: dict[str, bytes] = {}
+
+    def cut(self, words: list[str]) -> list[bytes]:
+        """The pieces of each word, as the bytes of uint16 numbers."""
+        got = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(got) if x is None]
+        if new:
+            made = self.model.encode([words[i] for i in new], num_threads=1)
+            raw = np.fromiter(chain.from_iterable(made), np.uint16).tobytes()
+            at = 0
+            for i, x in zip(new, made, strict=True):
+                got[i] = raw[at : (at := at + 2 * len(x))]
+            room = KNOWN_WORDS - len(self.known)
+            self.known.update((words[i], got[i]) for i in new[:room] if len(words[i]) <= KNOWN_LETTERS)
+        return got
+
+
 def piece_content(path: str):
     """Words and pieces of a batch; the vocabulary is opened once per task."""
     opened = []
 
     def run(part: pa.RecordBatch) -> dict:
         if not opened:
-            import sentencepiece
-
-            opened.append(sentencepiece.SentencePieceProcessor(model_file=path))
+            opened.append(Cutter(path))
         ids, null = b.ids_of(part)
         words, owner = split(part.column("text"), lower=True)
         distinct, codes = coded(words)
-        cut = opened[0].encode(distinct.to_pylist(), num_threads=1) if len(distinct) else []
-        lens = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((p for c in cut for p in c), np.uint16, int(lens.sum()))
+        # Words are numbered in the order of their hashes, which are all that later steps need of them.
+        key = hashes(distinct)
+        order = np.argsort(key, kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        cut = opened[0].cut(distinct.to_numpy(zero_copy_only=False).tolist())
+        cut = [cut[i] for i in order.tolist()]
+        lens = np.fromiter(map(len, cut), np.int64, len(cut)) // 2
         return {
             "ids": ids,
             "null": null,
             "held": held_out(ids, null),
-            "words": distinct.cast(pa.binary()).to_pylist(),
-            "codes": b.planes(codes.astype(np.uint32)),
+            "keys": b.planes(np.diff(key[order], prepend=np.uint64(0))),
+            "codes": b.planes(number[codes]),
             "counts": np.bincount(owner, minlength=part.num_rows),
-            "pieces": b.planes(flat),
+            "pieces": b.planes(np.frombuffer(b"".join(cut), np.uint16)),
             "lens": b.planes(lens.astype(np.uint32)),
         }
 
@@ -82,6 +115,11 @@ def _codes(content: dict) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(content["counts"])), content["counts"])
 
 
+def _keys(content: dict) -> np.ndarray:
+    """Hashes of the batch's words, in order."""
+    return np.cumsum(b.unplanes(content["keys"]))
+
+
 def _sequence(content: dict, codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts in order, and how many each text has."""
     lens = b.unplanes(content["lens"]).astype(np.int64)
@@ -197,69 +235,94 @@ class Attention:
             at += size
         return Attention(out)
 
-    def attend(self, seen: np.ndarray):
-        """Hidden states of windows of contexts (windows x CONTEXT)."""
-        w = self.w
-        # One row per context: its embedding, query, key and value.
-        rows = np.concatenate([w["embed"], w["embed"] @ self._projections()], axis=1)
-        x, q, k, v = np.split(np.take(rows, seen, axis=0), 4, axis=2)
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(WIDTH**-0.5)
-        s += w["near"][self.gap] + self.mask
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s /= _row_sums(s)
-        return x, q, k, v, s, x + np.matmul(s, v)
+    def attend(self, seen: np.ndarray, skip: int = 0, table: np.ndarray | None = None):
+        """Hidden states of windows of contexts (windows x CONTEXT), without those of the first `skip` positions.
+
+        A window may begin with `PAD`s, to which no other attends. `table` are the model's `rows`, if they are at hand.
+        """
+        rows = np.take(self.rows() if table is None else table, seen, axis=0, mode="clip")
+        x, q, k, v = (rows[..., c] for c in COLUMNS)
+        a = np.matmul(q[:, skip:], k.transpose(0, 2, 1))
+        a += (self.w["near"][self.gap] + self.mask)[skip:]
+        padded = np.flatnonzero(seen[:, 0] == PAD)
+        if len(padded):
+            pad = seen[padded] == PAD
+            a[padded] += np.where(pad[:, None, :] & ~pad[:, skip:, None], -1e9, 0).astype(a.dtype)
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a /= _row_sums(a)
+        mixed = np.matmul(a, v)
+        return rows, a, mixed, x[:, skip:] + mixed
+
+    def rows(self) -> np.ndarray:
+        """Embedding, scaled query, key and value of every context, side by side, and a -1."""
+        rows = np.empty((CONTEXTS, 4 * WIDTH + 1), self.w["embed"].dtype)
+        rows[:, :WIDTH] = self.w["embed"]
+        rows[:, WIDTH:-1] = self.w["embed"] @ self._projections()
+        rows[:, -1] = -1
+        return rows
 
     def _projections(self) -> np.ndarray:
-        return np.concatenate([self.w[n] for n in ("query", "key", "value")], axis=1)
+        """Side by side; the scale of the dot products, a power of 2, is in the query's."""
+        return np.concatenate([self.w["query"] * np.float32(WIDTH**-0.5), self.w["key"], self.w["value"]], axis=1)
 
     def _weights(self, hidden: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """Logits of the classes after each hidden state."""
-        logits = hidden @ self.w["out"]
-        logits += self.w["bias"]
+        """Logits of the classes after each hidden state, which has a 1 at its end."""
+        logits = hidden @ np.concatenate([self.w["out"], self.w["bias"][None]])
         np.clip(logits, -60, 60, out=logits)
         logits += prior
         return logits
 
     def log_probability(self, hidden: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log P of the target class after each hidden state."""
-        logits = self._weights(hidden, prior)
+        flat = np.ones((len(hidden), WIDTH + 1), hidden.dtype)
+        flat[:, :WIDTH] = hidden
+        logits = self._weights(flat, prior)
         picked = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
         return picked - np.log(_row_sums(logits)[:, 0])
 
     def gradients(self, seen: np.ndarray, prior: np.ndarray, target: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the mean loss over the positions that count, given the prior of all positions or of those that count."""
-        w = self.w
-        x, q, k, v, a, h = self.attend(seen)
-        # Positions that do not count have no loss; the others attend to them.
-        used = np.flatnonzero(counts)
-        flat, xf = h.reshape(-1, WIDTH)[used], x.reshape(-1, WIDTH)
+        """Gradient of the mean loss over the positions that count, given the prior of all positions or of those that count.
+
+        Positions that do not count have no loss; the others attend to them. If none of the first `EARLY` counts, these do not attend.
+        """
+        w, skip = self.w, 0 if counts[:, :EARLY].any() else EARLY
+        rows, a, mixed, h = self.attend(seen, skip)
+        x, q, k, v = (rows[..., c] for c in COLUMNS)
+        used = np.flatnonzero(counts[:, skip:])
+        flat = np.ones((len(used), WIDTH + 1), h.dtype)
+        flat[:, :WIDTH] = np.take(h.reshape(-1, WIDTH), used, axis=0)
         prior = prior.reshape(-1, CLASSES)
-        p = self._weights(flat, prior if len(prior) == len(used) else prior[used])
+        p = self._weights(flat, prior if len(prior) == len(used) else prior[counts.ravel()])
         np.exp(p, out=p)
         share = p.dtype.type(1 / max(len(used), 1))
         p *= share / _row_sums(p)
-        p[np.arange(len(p)), target.ravel()[used]] -= share
-        dx = np.zeros(xf.shape, p.dtype)
-        dx[used] = p @ w["out"].T
-        dh = dx.reshape(h.shape)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds -= _row_sums(ds * a)
+        p.ravel()[np.arange(0, p.size, CLASSES) + target[counts]] -= share
+        back = flat.T @ p
+        grads = {"out": back[:WIDTH], "bias": back[WIDTH]}
+        # Gradients of hidden states; the last column meets the -1 of the rows.
+        dh = np.zeros((*h.shape[:2], WIDTH + 1), p.dtype)
+        dh.reshape(-1, WIDTH + 1)[used, :WIDTH] = p @ w["out"].T
+        dx = dh[..., :WIDTH]
+        dh[..., WIDTH:] = _row_sums(dx * mixed)
+        ds = np.matmul(dh, rows[..., 3 * WIDTH :].transpose(0, 2, 1))
         ds *= a
-        scaled = ds * np.float32(WIDTH**-0.5)
+        near = (np.ones(len(ds), p.dtype) @ ds.reshape(len(ds), -1)).reshape(ds.shape[1:])
+        grads["near"] = np.bincount(self.gap[skip:].ravel(), near.ravel(), minlength=CONTEXT)
         d = np.empty((*seen.shape, 3 * WIDTH), p.dtype)
-        np.matmul(scaled, k, out=d[..., :WIDTH])
-        np.matmul(scaled.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
-        np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 2 * WIDTH :])
+        d[:, :skip, :WIDTH] = 0
+        np.matmul(ds, k, out=d[:, skip:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q[:, skip:], out=d[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dx, out=d[..., 2 * WIDTH :])
         d = d.reshape(-1, 3 * WIDTH)
-        grads = {"out": flat.T @ p, "bias": np.ones(len(p), p.dtype) @ p}
-        grads |= zip(("query", "key", "value"), np.split(xf.T @ d, 3, axis=1), strict=True)
-        dx = dx + d @ self._projections().T
-        grads["near"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * (self.mask == 0)).ravel(), minlength=CONTEXT)
-        cell = np.take(self.cells, seen.ravel(), axis=0)
-        embed = np.bincount(cell.ravel(), dx.ravel(), minlength=CONTEXTS * WIDTH).reshape(-1, WIDTH)
+        made = x.reshape(-1, WIDTH).T @ d
+        made[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        grads |= {n: made[:, c] for n, c in zip(("query", "key", "value"), COLUMNS, strict=False)}
+        into = (d @ self._projections().T).reshape(x.shape)
+        into[:, skip:] += dx
+        cell = np.take(self.cells, seen.ravel(), axis=0, mode="clip")
+        embed = np.bincount(cell.ravel(), into.ravel(), minlength=CONTEXTS * WIDTH).reshape(-1, WIDTH)
         return grads | {"embed": embed}
 
 
@@ -294,14 +357,16 @@ class Adam:
 
 def _stream(content: dict) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts with an end (-1) after each, and the number of predictions of each text."""
-    codes, owner = _codes(content)
-    flat, per_text = _sequence(content, codes, owner)
-    lengths = per_text + 1
-    piece = np.full(int(lengths.sum()), -1)
-    body = np.ones(len(piece), bool)
-    body[np.cumsum(lengths) - 1] = False
-    piece[body] = flat
-    return piece, lengths
+    lens = np.r_[b.unplanes(content["lens"]).astype(np.int64), 1]
+    flat = np.r_[b.unplanes(content["pieces"]).astype(np.int64), -1] if len(lens) > 1 else np.full(1, -1)
+    ends = np.cumsum(content["counts"])
+    # The end follows a text's words as one more word.
+    word = np.insert(b.unplanes(content["codes"]).astype(np.int64), ends, len(lens) - 1)
+    each = lens[word]
+    stop = np.cumsum(each)
+    at = np.repeat((np.cumsum(lens) - lens)[word] - (stop - each), each)
+    at += np.arange(len(at))
+    return flat[at], np.diff(stop[ends + np.arange(len(ends))], prepend=0)
 
 
 def _before(context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -311,27 +376,49 @@ def _before(context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return seen
 
 
-def _placed(lengths, text, first):
-    """Positions of the predictions of windows, and which of them exist."""
-    begin = (np.cumsum(lengths) - lengths)[text] + first
-    real = first[:, None] + np.arange(CONTEXT) < lengths[text][:, None]
-    return np.minimum(begin[:, None] + np.arange(CONTEXT), int(lengths.sum()) - 1), real
+class Windows:
+    """The windows of a batch's texts: where their predictions are, and which of these are scored there."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.text, self.first, scored = windows_of(lengths)
+        self.begin = (np.cumsum(lengths) - lengths)[self.text] + self.first
+        self.low, self.high = scored - self.first, np.minimum(lengths[self.text] - self.first, CONTEXT)
+        self.last, self.step = int(lengths.sum()) - 1, np.arange(CONTEXT)
+
+    def at(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the predictions of some windows, and which of them they score."""
+        scored = (self.step >= self.low[some, None]) & (self.step < self.high[some, None])
+        return np.minimum(self.begin[some, None] + self.step, self.last), scored
+
+
+def _apart(seen: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The early positions that count moved to the ends of padded windows, if few windows have any: so none attends early."""
+    some = np.flatnonzero(counts[:, :EARLY].any(axis=1))
+    if not 0 < len(some) * 8 <= len(seen):
+        return seen, target, counts
+    made = []
+    for values, pad in ((seen, PAD), (target, END), (counts, False)):
+        more = np.full((len(some), CONTEXT), pad, values.dtype)
+        more[:, STRIDE:] = values[some, :EARLY]
+        made.append(np.concatenate([values, more]))
+    made[2][: len(seen), :EARLY] = False
+    return made[0], made[1], made[2]
 
 
 def train_on(model: Attention, content: dict, tables: Tables, rate: float, seed: int, share: int = 0, shares: int = 1) -> int:
     """Adam steps on the windows of the training texts, dealt to `shares` in turn; how many positions were trained on."""
     piece, lengths = _stream(content)
     target, seen = tables.kinds.kind[piece], _before(tables.kinds.context[piece], lengths)
-    text, first, scored = windows_of(lengths)
+    windows = Windows(lengths)
+    text, first = windows.text, windows.first
     use = np.flatnonzero(((first // STRIDE + text) % shares == share) & ~content["held"][text])
     np.random.default_rng(seed).shuffle(use)
     adam, total = Adam(model, rate), 0
     for i in range(0, len(use), STEP):
         now = use[i : i + STEP]
-        at, real = _placed(lengths, text[now], first[now])
-        real &= first[now, None] + np.arange(CONTEXT) >= scored[now, None]
-        context = seen[at]
-        adam.step(model.gradients(context, np.take(tables.prior, context[real], axis=0), target[at], real))
+        at, real = windows.at(now)
+        context, wanted, real = _apart(seen[at], target[at], real)
+        adam.step(model.gradients(context, np.take(tables.prior, context[real], axis=0), wanted, real))
         total += int(real.sum())
     return total
 
@@ -340,13 +427,14 @@ def score_texts(model: Attention, content: dict, tables: Tables, block: int = ST
     """log10 probability of every text of a batch."""
     piece, lengths = _stream(content)
     target, seen = tables.kinds.kind[piece], _before(tables.kinds.context[piece], lengths)
-    text, first, scored = windows_of(lengths)
     log_p = tables.piece[seen, piece] - tables.prior[seen, target]
-    for i in range(0, len(text), block):
-        at, real = _placed(lengths, text[i : i + block], first[i : i + block])
-        real &= first[i : i + block, None] + np.arange(CONTEXT) >= scored[i : i + block, None]
-        hidden, now = model.attend(seen[at])[-1][real], at[real]
-        log_p[now] += model.log_probability(hidden, np.take(tables.prior, seen[now], axis=0), target[now])
+    windows, table = Windows(lengths), model.rows()
+    for skip, some in ((0, windows.first == 0), (EARLY, windows.first > 0)):
+        group = np.flatnonzero(some)
+        for i in range(0, len(group), block):
+            at, real = windows.at(group[i : i + block])
+            hidden, now = model.attend(seen[at], skip, table)[-1][real[:, skip:]], at[real]
+            log_p[now] += model.log_probability(hidden, np.take(tables.prior, seen[now], axis=0), target[now])
     return np.add.reduceat(log_p.astype(np.float64), np.cumsum(lengths) - lengths) / np.log(10)
 
 
@@ -363,7 +451,9 @@ def _pair_counts(rows: DataFrame, kinds) -> DataFrame:
                 piece, lengths = _stream(content)
                 train = np.repeat(~content["held"], lengths)
                 key = _before(told.context[piece], lengths) * size + np.where(piece < 0, size - 1, piece)
-                np.add.at(table, key[train], 1)
+                key = np.sort(key[train].astype(np.int32))
+                edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+                table[key[edge[:-1]]] += np.diff(edge).astype(np.int32)
         used = np.flatnonzero(table)
         for i in range(0, len(used), 1 << 16):
             part = used[i : i + (1 << 16)]
@@ -387,10 +477,9 @@ def score_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
         """Questions for the words' training counts, and the batch's piece counts and training texts."""
         codes, owner = _codes(content)
         train = ~content["held"]
-        n = np.bincount(codes[train[owner]], minlength=len(content["words"])).astype(np.int64)
-        key = hashes(pa.array(content["words"], pa.binary()))
-        order = np.argsort(key)
-        for bucket, gid, data in b.questions(row["gid"], key[order], 64, owners, n[order]):
+        key = _keys(content)
+        n = np.bincount(codes[train[owner]], minlength=len(key)).astype(np.int64)
+        for bucket, gid, data in b.questions(row["gid"], key, 64, owners, n):
             yield 1, gid, bucket, data, 0
         each = np.repeat(n, b.unplanes(content["lens"]))
         pieces = b.unplanes(content["pieces"]).astype(np.int64) if len(each) else np.zeros(0, np.int64)
@@ -437,10 +526,7 @@ def score_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 
     def finish(row, content):
         codes, owner = _codes(content)
-        key = hashes(pa.array(content["words"], pa.binary()))
-        order = np.argsort(key)
-        c = np.zeros(len(key), np.int64)
-        c[order] = b.answers(row, "totals", key[order], 64, owners, np.int64)
+        c = b.answers(row, "totals", _keys(content), 64, owners, np.int64)
         log_base = np.log10((c + 1.0) / (n_all + 1.0 * (v_all + 1)))
         end = np.log10((texts + 1.0) / (n_all + 1.0 * (v_all + 1)))
         size = len(content["ids"])

@@ -52,7 +52,7 @@ def coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def hashes(words: pa.Array) -> np.ndarray:
     """64-bit hash of each word's bytes, the same in every task."""
-    raw = words.cast(pa.binary()).to_pylist()
+    raw = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
 
 

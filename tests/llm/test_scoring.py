@@ -154,6 +154,63 @@ def test_gradients_need_the_prior_of_counted_positions_only():
     assert all((whole[n] == few[n]).all() and np.abs(few[n]).max() > 0 for n in model.NAMES)
 
 
+def test_early_positions_of_later_windows_do_not_attend(monkeypatch):
+    """What is skipped changes neither the other hidden states nor the gradient of the same predictions in whole windows."""
+    lm, rng = attention_lm, np.random.default_rng(3)
+    model = lm.Attention()
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    seen, target = rng.integers(0, lm.CONTEXTS, (9, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (9, lm.CONTEXT))
+    prior, counts = rng.standard_normal((lm.CONTEXTS, lm.CLASSES)), rng.random(seen.shape) < 0.8
+    assert model.attend(seen, lm.EARLY)[-1] == pytest.approx(model.attend(seen)[-1][:, lm.EARLY :], abs=1e-12)
+    counts[1:, : lm.EARLY] = False
+    whole, asked, plain = model.gradients(seen, prior[seen], target, counts), [], lm.Attention.attend
+    monkeypatch.setattr(lm.Attention, "attend", lambda self, seen, skip=0, table=None: (asked.append(skip), plain(self, seen, skip, table))[1])
+    context, wanted, real = lm._apart(seen, target, counts)
+    assert len(context) == 10 and sorted(zip(context[real], wanted[real], strict=True)) == sorted(zip(seen[counts], target[counts], strict=True))
+    apart = model.gradients(context, prior[context[real]], wanted, real)
+    assert asked == [lm.EARLY] and all(apart[n] == pytest.approx(whole[n], abs=1e-12) for n in model.NAMES)
+    many = lm._apart(seen, target, np.ones(seen.shape, bool))
+    assert many[0] is seen and many[2].all()
+
+
+def test_words_are_cut_once(monkeypatch):
+    """A word that comes again in a later batch is not cut again, as long as few words are kept."""
+    cutter = attention_lm.Cutter(attention_lm.VOCABULARY)
+    words = ["some", "words", "come", "again", "x" * 200, "\u00a0", "\x01"]
+    want = [np.array(cutter.model.encode(w), np.uint16).tobytes() for w in words]
+    asked, plain = [], cutter.model
+
+    class Noted:
+        def encode(self, some, **more):
+            asked.extend(some)
+            return plain.encode(some, **more)
+
+    cutter.model = Noted()
+    assert [cutter.cut(words) for _ in range(3)] == [want] * 3
+    assert Counter(asked) == {w: 3 if len(w) > attention_lm.KNOWN_LETTERS else 1 for w in words}
+    monkeypatch.setattr(attention_lm, "KNOWN_WORDS", len(cutter.known) + 1)
+    assert cutter.cut(["new", "newer", *words])[2:] == want and len(cutter.known) == attention_lm.KNOWN_WORDS
+
+
+def test_pairs_are_counted_in_training_texts(spark):
+    texts = ["one two one two " * 30, "one two", None, "held " * 9, "", "x" * 300]
+    run = attention_lm.piece_content(attention_lm.VOCABULARY)
+    content = run(pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    content["held"] = np.array([False, False, False, True, False, False])
+    piece, lengths = attention_lm._stream(content)
+    kinds = attention_lm.Kinds(np.bincount(piece[piece >= 0], minlength=32_000).astype(float), np.zeros(32_000, bool))
+    want, at = Counter(), 0
+    for n, held in zip(lengths.tolist(), content["held"].tolist(), strict=True):
+        text = piece[at : at + n].tolist()
+        if not held:
+            before = [attention_lm.END, *kinds.context[text[:-1]].tolist()]
+            want.update((c, p % 32_001) for c, p in zip(before, text, strict=True))
+        at += n
+    rows = spark.createDataFrame([(attention_lm.b.squeeze(content),)] * 2, "blob binary")
+    got = attention_lm._pair_counts(rows, spark.sparkContext.broadcast(kinds)).collect()
+    assert {divmod(r.key, 32_001): r.n for r in got} == {k: 2 * n for k, n in want.items()}
+
+
 def test_adam_steps_as_written_out():
     """Steps on the flat array do to every weight what the formula says."""
     rng, model = np.random.default_rng(2), attention_lm.Attention()
