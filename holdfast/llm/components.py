@@ -17,6 +17,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """The table, marked to be joined by a shuffle of both sides, whatever size Spark takes them for.
+
+    Spark sizes a stored table by its compressed file and an exploded one by its rows before; a side that seems to be
+    small on that account goes through the driver whole. Tables that grow with the input are joined by this.
+    """
+    return table.hint("merge")
+
+
 def heavy(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """The values of `key` with more than `total` / HEAVY_SHARE rows, and the number of `parts` to deal each to.
 

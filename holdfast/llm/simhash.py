@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components, heavy, stored
+from holdfast.llm.components import components, heavy, merged, stored
 from holdfast.llm.words import slices, split, starts_of
 
 SHINGLE = 3
@@ -124,12 +124,12 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, paired: int = PAIRED)
         ends = [F.count(F.lit(1)).alias("members"), F.min("bit").alias("low"), F.max("bit").alias("high"), F.max("place").alias("at")]
         # Members that agree in a whole segment meet under its variant 0; under the others only those that differ in it count.
         sizes = wide.groupBy("key").agg(*ends).where("members > 1 AND (at = 0 OR low <> high)").select("key", "members")
-        met = stored(wide.drop("place", "bit").join(sizes, "key"), "variants")
+        met = stored(wide.drop("place", "bit").join(merged(sizes), "key"), "variants")
         last = width <= LEAST_WIDTH
         few = met if last else met.where(F.col("members") <= paired)
         a, b = few.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select("key", F.col("node").alias("b"), F.col("fp").alias("y"))
         near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
-        found = stored(a.join(b, "key").where(near).select("a", "b"), "near")
+        found = stored(a.join(merged(b), "key").where(near).select("a", "b"), "near")
         links = found if links is None else links.unionByName(found)
         rows = met.where(F.col("members") > paired).select("node", "fp", "key", "offset")
         if last or rows.isEmpty():
@@ -152,11 +152,11 @@ def near_copies(documents: DataFrame, k: int = SHINGLE, distance: int = DISTANCE
     nodes = stored(nodes.select(F.struct("least", "fp").alias("node"), "fp", "least", "rows"), "nodes")
     roots = components(near_links(nodes, distance), "a", "b")
     linked = roots.select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"))
-    known = stored(nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    known = stored(nodes.join(merged(linked), "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "classes")
     total = named.count()
     hot = heavy(known, "fp", "rows", total).select("fp").join(known.select("fp", "component_id"), "fp")
     first = named.join(F.broadcast(hot), "fp", "left")
-    rest = first.where("component_id IS NULL").select("doc_id", "fp").join(known.select("fp", "component_id"), "fp")
+    rest = first.where("component_id IS NULL").select("doc_id", "fp").join(merged(known.select("fp", "component_id")), "fp")
     nameless = base.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
     columns = ["doc_id", "fp", "component_id"]
     return first.where("component_id IS NOT NULL").select(columns).unionByName(rest.select(columns)).unionByName(nameless.select(columns))

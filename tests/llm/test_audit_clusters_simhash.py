@@ -170,6 +170,16 @@ def test_links_of_crowded_variants(spark, paired):
     assert got == {frozenset((a, b)) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2}
 
 
+def test_variants_do_not_go_through_the_driver(spark, monkeypatch):
+    """A small file of nodes has 64 variants a node, which Spark takes for as small as the file."""
+    write, plans = simhash.stored, []
+    nodes = write(spark.range(300).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp")), "nodes")
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    assert simhash.near_links(nodes).count() == 0
+    assert len(plans) == 2
+    assert all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_copies(corpus.frame(spark, [(1, "a")]).limit(0)).count() == 0
 
