@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.session import work_path
 
 HEAVY_SHARE = 1024
+# Links of components that Spark may join as it likes.
+FEW_LINKS = 1 << 14
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +34,11 @@ def heavy(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     Such keys are fewer than HEAVY_SHARE, so they may be broadcast however large the table is.
     """
     parts = F.ceil(F.col(rows) * HEAVY_SHARE / F.lit(max(1, total))).cast("int")
-    return counts.where(F.col(rows) * HEAVY_SHARE > total).select(key, parts.alias("parts"))
+    return counts.where(is_heavy(rows, total)).select(key, parts.alias("parts"))
+
+
+def is_heavy(rows: str, total: int) -> Column:
+    return F.col(rows) * HEAVY_SHARE > total
 
 
 def with_values(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, value: str) -> DataFrame:
@@ -42,8 +48,8 @@ def with_values(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     are few, are looked up in a broadcast table; the others are joined by a shuffle.
     """
     plain = table.select(key, value)
-    large = F.broadcast(heavy(table, key, count, total).select(key).join(plain, key))
-    rest = rows.join(large.select(key), key, "left_anti").join(plain, key, "left")
+    large = F.broadcast(table.where(is_heavy(count, total)).select(key, value))
+    rest = rows.join(large.select(key), key, "left_anti").join(merged(plain), key, "left")
     return rows.join(large, key).unionByName(rest)
 
 
@@ -56,14 +62,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
     both = stored(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
+    side = merged if both.count() > FEW_LINKS else lambda table: table
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
-        least = near.groupBy("node").agg(F.min("seen").alias("seen")).join(labels, "node")
+        near = both.join(side(labels.select(F.col("node").alias("other"), F.col("root").alias("seen"))), "other")
+        least = near.groupBy("node").agg(F.min("seen").alias("seen")).join(side(labels), "node")
         moved = least.select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         jump = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
         # One job a round: both sides of the join share their shuffles.
-        after = stored(moved.join(jump, "root").select("node", "old", F.col("next").alias("root")), "labels")
+        after = stored(moved.join(side(jump), "root").select("node", "old", F.col("next").alias("root")), "labels")
         changed = after.where("root <> old").limit(1).count()
         labels = after.select("node", "root")
         if not changed:

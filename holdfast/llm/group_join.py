@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components, stored, with_values
+from holdfast.llm.components import components, merged, stored, with_values
 from holdfast.llm.words import coded, hashes, mix, rolled, slices, split, starts_of
 from holdfast.operators.membership import possible
 from holdfast.session import work_path
@@ -150,10 +150,10 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     links = found.unionByName(_group_links(sets, components(found, "a", "b"), near, percent))
     documents.sparkSession.sql(f"DROP TABLE {name}")
     # A node sorts by its least doc_id, so the root of a component begins with the component's id.
-    ends = classes.select("cls", F.struct("least", "cls").alias("end"))
+    ends = merged(classes.select("cls", F.struct("least", "cls").alias("end")))
     links = links.join(ends.withColumnsRenamed({"cls": "a", "end": "x"}), "a").join(ends.withColumnsRenamed({"cls": "b", "end": "y"}), "b")
     roots = components(links, "x", "y").select(F.col("node.cls").alias("cls"), F.col("root.least").alias("root"))
-    known = classes.join(roots, "cls", "left").select("cls", "rows", F.coalesce("root", "least").alias("own"))
+    known = classes.join(merged(roots), "cls", "left").select("cls", "rows", F.coalesce("root", "least").alias("own"))
     whole = with_values(base, stored(known, "known"), "cls", "rows", base.count(), "own")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), "mark")
@@ -170,14 +170,14 @@ def _candidate_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -
     counted = docs.mapInArrow(_per_document(k, _counted), "token long, cls long")
     ends = counted.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
     misses = ends.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("misses"))
-    reps = classes.join(misses, "cls", "left").where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent))
+    reps = classes.join(merged(misses), "cls", "left").where(F.coalesce("misses", F.lit(0)) <= _allowed_misses("n", percent))
     own = F.coalesce("misses", F.lit(0)) * (100 * SHARES / (COUNTED * (100 - percent))) / F.col("n")
     reps = stored(reps.select("cls", F.col("least").alias("doc_id"), own.alias("own")), "candidates")
     # The filter lets few other rows through; whatever row a class comes from, its set is the same.
     chosen = possible(docs, "doc_id", reps, "doc_id", reps.count())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = chosen.mapInArrow(_per_document(k, _whole), "doc_id long, cls long, tokens array<long>").select("cls", "tokens")
-    sets = sets.repartition(buckets, "cls").dropDuplicates(["cls"]).join(reps.select("cls", "own").repartition(buckets, "cls"), "cls")
+    sets = sets.repartition(buckets, "cls").dropDuplicates(["cls"]).join(merged(reps.select("cls", "own").repartition(buckets, "cls")), "cls")
     name = f"token_sets_{uuid.uuid4().hex}"
     sets = sets.select("cls", F.size("tokens").cast("long").alias("n"), "own", "tokens")
     sets.write.bucketBy(buckets, "cls").option("path", work_path(spark, name)).saveAsTable(name)
@@ -205,8 +205,8 @@ def _leader_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         leaders = least.groupBy("token").agg(F.min_by("cls", order).alias("leader"))
         votes = least
         if found is not None:
-            votes = votes.join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti")
-        votes = votes.join(leaders, "token").where("cls <> leader").groupBy("cls", "leader")
+            votes = votes.join(merged(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "cls", "left_anti")
+        votes = votes.join(merged(leaders), "token").where("cls <> leader").groupBy("cls", "leader")
         votes = votes.agg(F.count(F.lit(1)).alias("votes"), F.max("of").alias("of")).groupBy("cls")
         named = votes.agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"), F.max("votes").alias("votes"), F.max("of").alias("of"))
         if first is None:
@@ -222,7 +222,7 @@ def _outer_tokens(rows: DataFrame) -> DataFrame:
     """(cls, outer): how many of the tokens (token, cls, gid) of a class another group has too."""
     placed = rows.select("token", "cls", "gid").repartition("token")
     spans = placed.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("token")
-    return placed.join(spans, "token", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("outer"))
+    return placed.join(merged(spans), "token", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("outer"))
 
 
 def _open_classes(sets: DataFrame, held, outer: DataFrame, percent: int) -> DataFrame:
@@ -234,9 +234,9 @@ def _open_classes(sets: DataFrame, held, outer: DataFrame, percent: int) -> Data
 def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that are not connected yet."""
     labels = grouped.select(F.col("node").alias("cls"), "root")
-    leaders = near.join(labels.withColumnsRenamed({"cls": "leader", "root": "near"}), "leader", "left")
+    leaders = near.join(merged(labels.withColumnsRenamed({"cls": "leader", "root": "near"})), "leader", "left")
     leaders = leaders.select("cls", F.coalesce("near", "leader").alias("near"))
-    members = sets.select("cls", "n").join(labels, "cls", "left").join(leaders, "cls", "left")
+    members = sets.select("cls", "n").join(merged(labels), "cls", "left").join(merged(leaders), "cls", "left")
     members = members.select(
         "cls",
         # Sizes of sets that link are in the same or in neighbouring classes.
@@ -246,7 +246,7 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
         F.coalesce("root", "near", "cls").alias("group"),
     )
     members = stored(members, "members")
-    named = sets.drop("own").join(members, "cls")
+    named = sets.drop("own").join(merged(members), "cls")
     below = F.filter("tokens", lambda t: t < int(KEPT * (1 << _BITS)))
     outer = _outer_tokens(named.select("cls", "gid", F.explode(below).alias("token")))
     opened = stored(_open_classes(named, F.size(below), outer, percent), "open")
@@ -258,7 +258,7 @@ def _group_links(sets: DataFrame, grouped: DataFrame, near: DataFrame, percent:
     parts = opened.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     block = F.xxhash64("coarse", F.pmod(F.xxhash64("cls"), F.col("parts")))
     placed = stored(opened.drop("tokens").join(parts, "coarse").withColumn("block", block), "placed")
-    rows = opened.select("cls", F.explode("tokens").alias("token")).join(placed, "cls")
+    rows = opened.select("cls", "tokens").join(merged(placed), "cls").withColumn("token", F.explode("tokens")).drop("tokens")
 
     # Two that are alone would ask each other, so only one of them asks.
     asked = _qualifying(rows, rows, "coarse", [F.expr("NOT other_alone OR coarse <= other_coarse")], percent)
@@ -277,7 +277,7 @@ def _hub_links(opened: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     hubs = opened.where("NOT alone").groupBy("group", "size").agg(F.min_by("cls", order).alias("b"))
     pairs = opened.where("alone").join(hubs, ["group", "size"]).select(F.col("cls").alias("a"), "b")
     links = stored(_verified(pairs, sets, percent), "hub_links")
-    joined = opened.join(links.select(F.col("a").alias("cls"), "b"), "cls", "left").withColumn("alone", F.col("alone") & F.col("b").isNull())
+    joined = opened.join(merged(links.select(F.col("a").alias("cls"), "b")), "cls", "left").withColumn("alone", F.col("alone") & F.col("b").isNull())
     return links, joined.withColumn("gid", F.when(F.col("b").isNull(), F.col("gid")).otherwise(F.col("group"))).drop("b")
 
 
@@ -295,7 +295,7 @@ def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame, percent: int
         # Each of the two has at least its inner tokens as misses.
         common = F.least(F.col("n") - F.col("inner"), F.col("other_n") - F.col("other_inner"))
         room = _fits(common, F.col("n") + F.col("other_n"), percent) & (F.col("gid") != F.col("other_gid"))
-        pairs = turn.join(others, ["block", "number"]).where(room)
+        pairs = turn.join(merged(others), ["block", "number"]).where(room)
         pairs = pairs.select(F.least("cls", "other_cls").alias("a"), F.greatest("cls", "other_cls").alias("b")).distinct()
         new = stored(_verified(pairs, sets, percent), "opened_links")
         links = new if links is None else links.unionByName(new)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components, heavy, merged, stored
+from holdfast.llm.components import components, is_heavy, merged, stored
 from holdfast.llm.words import slices, split, starts_of
 
 SHINGLE = 3
@@ -154,7 +154,7 @@ def near_copies(documents: DataFrame, k: int = SHINGLE, distance: int = DISTANCE
     linked = roots.select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"))
     known = stored(nodes.join(merged(linked), "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "classes")
     total = named.count()
-    hot = heavy(known, "fp", "rows", total).select("fp").join(known.select("fp", "component_id"), "fp")
+    hot = known.where(is_heavy("rows", total)).select("fp", "component_id")
     first = named.join(F.broadcast(hot), "fp", "left")
     rest = first.where("component_id IS NULL").select("doc_id", "fp").join(merged(known.select("fp", "component_id")), "fp")
     nameless = base.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))

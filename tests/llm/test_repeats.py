@@ -1,6 +1,7 @@
 """Repeats, near copies and benchmark passages against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import corpus
@@ -114,6 +115,30 @@ def test_values_of_large_keys_join_each_row_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
 
 
+def test_joins_of_growing_tables_do_not_go_through_the_driver(spark, monkeypatch):
+    """Tables whose files are small are joined by a shuffle: labels of many links, values of keys, members of open blocks."""
+    from holdfast.llm import components as module
+
+    write, verify, plans, pairs = module.stored, group_join._verified, [], []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    links = write(spark.range(20_000).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b")), "given")
+    monkeypatch.setattr(module, "stored", lambda df, name: plans.append(plan(df)) or write(df, name))
+    assert components(links, "a", "b").where("root <> node - node % 2").count() == 0
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+    table = write(spark.range(5000).select("id", F.lit(1).alias("n"), F.col("id").alias("v")), "values")
+    found = plan(with_values(links.select(F.col("a").alias("id")), table, "id", "n", 5000, "v"))
+    assert re.search(r"SortMergeJoin \[id#\d+L\], \[id#\d+L\], LeftOuter", found)
+
+    monkeypatch.setattr(group_join, "_verified", lambda df, *rest: pairs.append(plan(df)) or verify(df, *rest))
+    group_join.jaccard_components(corpus.frame(spark, corpus.texts(3)))
+    opened = [p for p in pairs if "sequence(" in p]
+    assert opened and all("SortMergeJoin [block" in p and "BroadcastHashJoin [block" not in p for p in opened)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 9), (None, 3), (7, 7)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
